@@ -17,46 +17,43 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch
 
-#: Characters that mark up or decorate, and upper-case letters.
-SYMBOLS = "#$%&*|<>{}~^\\=_@+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
-#: Bins of a feature at most, and characters (or words) that a share is shrunk by, since short texts say little.
-BINS, SHRINK = 48, 60
+#: Characters that mark up or decorate, and a word of upper-case letters.
+SYMBOLS = "#$%&*|<>{}~^\\"
+SHOUTED = r"(?<!\S)[\p{Lu}]{2,}+(?!\p{Ll})"
+REPEATED = r"(?<!\S)(\S++)(?=\s++\1(?!\S))"
+#: Bins of a share, finer near zero; characters that a share is shrunk by, since short texts say little; weight
+#: of the overall rate in each bin, in documents.
+BINS, SHRINK, DOUBT = 8, 30, 1.0
+EDGES = [(i / BINS) ** 2 for i in range(1, BINS)]
 #: Sites that are broadcast at most, counted before; a shuffled join serves beyond.
 MOST_BROADCAST = 100_000
-FEATURES = ("symbols", "upper", "repeats", "exclaims", "variety")
+FEATURES = ("symbols", "shouted", "repeats")
 
 
 def features(text: Column) -> dict[str, Column]:
-    """Shares of symbols, upper-case letters, words equal to the next one and exclamations, and words per distinct word."""
-    n = F.length(text) + SHRINK
-    lost = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    words = F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1
+    """Shares of symbols in the characters, and of upper-case words and of words equal to the next one in the words."""
+    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    words = F.length(text) - F.length(F.translate(text, " \n\t", "")) + F.lit(SHRINK / 6)
     return {
-        "symbols": lost(SYMBOLS),
-        "upper": lost(UPPER),
-        "repeats": F.regexp_count(text, F.lit(r"(?<!\S)(\S++)(?=\s++\1(?!\S))")) / (words + SHRINK / 6),
-        "exclaims": lost("!?"),
-        "variety": F.size(F.array_distinct(F.split(text, r"\s+"))) / F.sqrt(words),
+        "symbols": symbols / (F.length(text) + SHRINK),
+        "shouted": F.regexp_count(text, F.lit(SHOUTED)) / words,
+        "repeats": F.regexp_count(text, F.lit(REPEATED)) / words,
     }
 
 
 @dataclass
 class Model:
-    """``edges`` and ``ratios`` per feature, the global prior and the table of sites (host, path, prior)."""
+    """``ratios`` per feature and bin, the global prior, and the tables of hosts and paths with their priors."""
 
-    edges: dict[str, list[float]]
     ratios: dict[str, list[float]]
     prior: float
     hosts: DataFrame
     paths: DataFrame
 
 
-def bin_of(value: Column, edges: list[float]) -> Column:
-    """How many edges the value exceeds."""
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e))
+def bin_of(value: Column) -> Column:
+    """How many edges the value exceeds. The value is bound first, so that it is computed once and not for each edge."""
+    return F.transform(F.array(value), lambda v: F.size(F.filter(F.array(*map(F.lit, EDGES)), lambda e: v > e)))[0]
 
 
 def strength(sites: DataFrame, prior: float) -> float:
@@ -76,17 +73,14 @@ def fit(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col:
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) == 0).cast("int").alias("low"))
     seen = docs.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *(c.alias(k) for k, c in features(text).items()))
     rows = scratch.keep(seen.join(scratch.keep(known, "known"), "id"), "features")
-    n, low, *marks = rows.agg(F.count("*"), F.sum("low"), *(F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10000) for k in FEATURES)).first()
-    low = low or 0
+    n, low = rows.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0))).first()
     prior = (low + 1) / (n + 2)
-    edges = {k: sorted(set(m or [])) for k, m in zip(FEATURES, marks)}
-    bins = F.array(*(F.struct(F.lit(k).alias("feature"), bin_of(F.col(k), edges[k]).alias("bin")) for k in FEATURES))
+    bins = F.array(*(F.struct(F.lit(k).alias("feature"), bin_of(F.col(k)).alias("bin")) for k in FEATURES))
     counts = rows.select("low", F.explode(bins).alias("b")).groupBy("b.feature", "b.bin").agg(F.count("*").alias("n"), F.sum("low").alias("low"))
-    ratios = {k: [0.0] * (len(edges[k]) + 1) for k in FEATURES}
+    ratios = {k: [0.0] * BINS for k in FEATURES}
     for r in counts.collect():  # a row for each feature and bin
-        size = len(ratios[r["feature"]])
-        bad, good = (r["low"] + 0.5) / (low + 0.5 * size), (r["n"] - r["low"] + 0.5) / (n - low + 0.5 * size)
-        ratios[r["feature"]][r["bin"]] = math.log(bad / good)
+        bad, good = (r["low"] + DOUBT * prior) / (low + DOUBT), (r["n"] - r["low"] + DOUBT * (1 - prior)) / (n - low + DOUBT)
+        ratios[r["feature"]][r["bin"]] = math.log(bad / good) - math.log(prior / (1 - prior)) + math.log((low + DOUBT) / (n - low + DOUBT))
     paths = scratch.keep(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("low").alias("low")), "paths")
     hosts = scratch.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "hosts")
     k = strength(hosts, prior)
@@ -94,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col:
     k = strength(paths, prior)
     above = paths.join(hosts, "host")
     paths = above.select("host", "path", ((F.col("low") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior"))
-    return Model(edges, ratios, prior, scratch.keep(hosts, "host-priors"), scratch.keep(paths, "path-priors"))
+    return Model(ratios, prior, scratch.keep(hosts, "host-priors"), scratch.keep(paths, "path-priors"))
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -108,7 +102,7 @@ def score(docs: DataFrame, model: Model, host: Column, path: Column, text_col: s
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     made = features(text)
-    evidence = sum((F.element_at(F.array(*map(F.lit, model.ratios[k])), bin_of(made[k], model.edges[k]) + 1) for k in FEATURES), F.lit(0.0))
+    evidence = sum((F.element_at(F.array(*map(F.lit, model.ratios[k])), bin_of(made[k]) + 1) for k in FEATURES), F.lit(0.0))
     rows = docs.drop("evidence", "prior", "p_low").withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_path", F.coalesce(path, F.lit("")))
     rows = rows.withColumn("evidence", evidence)
     hosts = model.hosts.withColumnRenamed("host", "_host")
