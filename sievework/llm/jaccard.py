@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .tables import Scratch
 from .wordbytes import chunks, lowered_words, mix
 
-#: Share of the hash space whose tokens are counted in the corpus; a token in more than one of so many
-#: documents, and in ``LEAST_HEAVY`` at least, is heavy. There are at most COUNTED * (mean set size) * RARE of them.
-COUNTED, RARE, LEAST_HEAVY = 0.25, 5000, 24
+#: Tokens counted in the corpus, as a multiple of the prefix: those in the lowest part of the hash space. A token
+#: in more than one of so many documents, and in ``LEAST_HEAVY`` at least, is heavy. There are at most
+#: (counted tokens of a mean document) * RARE of them.
+COUNTED, RARE, LEAST_HEAVY = 2.5, 5000, 24
 #: First tokens through which near copies are folded before the trees.
 LEADS = 3
 #: Members of a token's list that one task takes at most; longer lists are dealt as pairs of parts.
@@ -77,9 +78,9 @@ def set_hash(own: np.ndarray) -> int:
         return int(mix(both[:1] * np.uint64(3) + both[1:]).view(np.int64)[0])
 
 
-def counted(own: np.ndarray) -> np.ndarray:
+def counted(own: np.ndarray, percent: int) -> np.ndarray:
     """Whether each token is among those counted in the corpus."""
-    return own.view(np.uint64) < np.uint64(int(COUNTED * 2**64))
+    return own.view(np.uint64) < np.uint64(min(1.0, COUNTED * (1 - percent / 100)) * (2**64 - 2**12))
 
 
 def prefix(own: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def prefix(own: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     """
     n = len(own)
     need = n - -(-percent * n // 100) + 1
-    known = counted(own)
+    known = counted(own, percent)
     often = np.zeros(n, bool)
     if len(heavy):
         often = known & (heavy[np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)] == own)
@@ -313,7 +314,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     def tally(batches):
         for pdf in batches:
-            found = [s[counted(s)] for _, s in in_batches(pdf, n)]
+            found = [s[counted(s, percent)] for _, s in in_batches(pdf, n)]
             token, times = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
             yield pd.DataFrame({"token": token, "n": times})
 
