@@ -28,7 +28,7 @@ from .wordbytes import hashes
 
 CACHE = 1_000_000
 #: White space as the tokenizer's pattern means it, then the pattern itself.
-WHITE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 

@@ -34,8 +34,8 @@ PART = 1024
 MOST_BROADCAST = 1_000_000
 #: Members of a leaf, and nodes below an inner node.
 LEAF, FAN = 16, 8
-#: Bits of a bitmap: a power of two for each size, within these.
-FEWEST_BITS, MOST_BITS = 256, 4096
+#: Bits of a bitmap: four for each token at least, a power of two within these.
+FEWEST_BITS, MOST_BITS = 256, 1 << 17
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -99,7 +99,7 @@ def prefix(own: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(2 * size - 1).bit_length()))
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(4 * size - 1).bit_length()))
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -229,7 +229,7 @@ class Members:
 
 
 def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs (a < b) that the lists of a frame, one after another, let through. Members of part 0 meet each other
+    """Pairs (a < b) that the lists of a frame, one after another, let through, and their components (p < q). Members of part 0 meet each other
     where there is no part 1, else those of part 1. Short lists are single leaves; the others become trees."""
     m = Members(pdf)
     key = pdf[["token", "i", "j"]].to_numpy()
@@ -260,8 +260,9 @@ def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         found.append((x[a], y[b]))
     a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     apart = m.comp[a] != m.comp[b]
-    a, b = m.node[a[apart]], m.node[b[apart]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    a, b = a[apart], b[apart]
+    x, y, p, q = m.node[a], m.node[b], m.comp[a], m.comp[b]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "p": np.minimum(p, q), "q": np.maximum(p, q)}).drop_duplicates()
 
 
 def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -340,11 +341,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     heads = rows.where("prefix is not null").dropDuplicates(["node"]).join(classes.select("node"), "node", "left_semi")
     heads = scratch.keep(heads.select("node", "size", "prefix", "map"), "heads")
     entries = heads.select("node", "size", F.posexplode("prefix").alias("place", "token"))
-    lists = entries.groupBy("token").agg(
-        F.count("*").alias("length"), F.min("node").alias("leader"), F.min_by("node", "size").alias("shortest"), F.max_by("node", "size").alias("longest"),
-        F.min("size").alias("least"), F.max("size").alias("most"), F.min("place").alias("lead")).where("length > 1")
+    counts = scratch.keep(entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"), "counts")
+    shared = scratch.keep(entries.join(counts, "token"), "shared")
+    lists = shared.where(F.col("place") < LEADS).groupBy("token").agg(F.min("node").alias("leader"), F.min_by("node", "size").alias("shortest"), F.max_by("node", "size").alias("longest"))
     lists = scratch.keep(lists, "lists")
-    shared = scratch.keep(entries.join(lists.select("token", "length"), "token"), "shared")
 
     def texts(wanted: DataFrame) -> DataFrame:
         own = wanted.join(classes, "node")
@@ -393,9 +393,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             yield list_pairs(rest, percent)
 
     sorted_lists = live.join(maps, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    crossed = scratch.keep(sorted_lists.mapInPandas(search, "a long, b long").distinct(), "crossed")
-    far = verified(scratch, crossed, texts, percent)
-    comps = components(scratch, heads, near.unionByName(far))
+    crossed = scratch.keep(sorted_lists.mapInPandas(search, "a long, b long, p long, q long").distinct(), "crossed")
+    # one pair for each two components first; then the pairs that are still in different ones
+    tried = scratch.keep(crossed.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b"), "tried")
+    far = verified(scratch, tried, texts, percent)
+    links = near.unionByName(far)
+    comps = components(scratch, heads, links)
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
+    rest = crossed.select("a", "b").join(tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b").select("a", "b")
+    rest = scratch.keep(rest, "rest")
+    if not rest.isEmpty():
+        comps = components(scratch, heads, links.unionByName(verified(scratch, rest, texts, percent)))
 
     first = scratch.keep(comps.join(classes, "node"), "firsts")
     named = scratch.keep(first.join(first.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "component_id"), "named")
