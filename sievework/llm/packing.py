@@ -53,7 +53,7 @@ class WordTokens(IdStore):
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
         lead = np.flatnonzero(data[:-1] == 0xC3) + 1  # the second byte of À to Þ
-        data[lead[data[lead] < 0xA0]] += 32
+        data[lead[data[lead] < 0x9F]] += 32
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=at[1:])
         kind = CLASS[data]
