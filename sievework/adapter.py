@@ -34,7 +34,7 @@ POSTS_SQL = r"""
 posts AS (
   SELECT doc_id AS id, source AS channel, doc_id AS msg_id, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR)[1:10] AS date,
     1704067200 + (doc_id % 365) * 86400 AS ts, n_chars AS views,
-    regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\x{00a0}]+', ' ', 'g'), '\n{2,}', '\n', 'g'), '^\s+|\s+$', '', 'g') AS text,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\x{00a0}]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text,
     lang AS category,
     list_filter([CASE WHEN doc_id % 2 = 0 THEN '免费' END, CASE WHEN doc_id % 3 = 0 THEN '限时' END, CASE WHEN doc_id % 5 = 0 THEN '风险' END, CASE WHEN doc_id % 7 = 0 THEN '开源' END], lambda x: x IS NOT NULL) AS tags,
     CAST((doc_id * 7) % 21 AS DOUBLE) * 0.5 AS value, CAST((doc_id * 5) % 13 AS DOUBLE) * 0.5 AS content,
