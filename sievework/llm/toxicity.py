@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-A text becomes a stream of eight-byte codes, one for the beginning of each word, so that a word is one unit
-to the compressor. Two zstandard dictionaries are trained from labelled texts: both hold the codes that are
+A text becomes a stream of eight-byte codes, two for the beginning of each word, so that a stem and a longer
+part of a word are units to the compressor. Two zstandard dictionaries are trained from labelled texts: both hold the codes that are
 common in ordinary text, one of them also those that set toxic texts apart, the other as many more ordinary
 ones. Windows of the stream are compressed with either; a window that the toxic dictionary makes shorter
 is evidence. A logistic threshold over the gains of a text, fitted on labelled texts that trained no
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from .wordbytes import LOWER, chunks, joined, mix, runs
 
-#: Bytes of a word that its code stands for, and words in a window.
-PREFIX, WINDOW = 4, 8
+#: Bytes of a word that its codes stand for (a stem and a longer part), and codes in a window of eight words.
+PREFIXES, WINDOW = (4, 6), 16
 #: Codes that a dictionary shares with the other one, and codes of its own at most.
 SHARED, OWN = 1024, 1024
-#: A code sets toxic texts apart from this log odds ratio on, in so many texts at least.
-LEAST_ODDS, LEAST_TEXTS = 2.5, 3
+#: A code sets toxic texts apart from this log odds ratio on, in so many texts at least, and with a likelihood-ratio
+#: statistic that chance reaches for about one of a million codes.
+LEAST_ODDS, LEAST_TEXTS, LEAST_RATIO = 2.0, 3, 24.0
 #: Labelled rows of each class that are fetched to fit, at most.
 SAMPLE = 2500
 WORD = np.zeros(256, bool)
@@ -36,15 +37,19 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each word, and the place of each text's first one."""
+    """The codes of each word, one for each prefix, and the place of each text's first one."""
     data, at = joined(texts)
-    data = np.concatenate([data, np.zeros(PREFIX, np.uint8)])
+    data = np.concatenate([data, np.zeros(max(PREFIXES), np.uint8)])
     starts, ends = runs(WORD[data])
     data = LOWER[data]
-    out = np.zeros(len(starts), np.uint64)
-    for j in range(PREFIX):
-        out |= np.where(starts + j < ends, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
-    return mix(out), np.searchsorted(starts, at)
+    code = np.zeros(len(starts), np.uint64)
+    out = np.zeros((len(starts), len(PREFIXES)), np.uint64)
+    for j in range(max(PREFIXES)):
+        code |= np.where(starts + j < ends, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        if j + 1 in PREFIXES:
+            k = PREFIXES.index(j + 1)
+            out[:, k] = mix(code ^ np.uint64(k << 56))
+    return out.ravel(), np.searchsorted(starts, at) * len(PREFIXES)
 
 
 @dataclass
@@ -67,7 +72,7 @@ def compressors(model: Model) -> list[zstandard.ZstdCompressor]:
 
 
 def gains(texts: list[bytes], pair: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """For each text: words, windows, bytes that the toxic dictionary saves over windows it makes shorter, and those windows."""
+    """For each text: codes, windows, bytes that the toxic dictionary saves over windows it makes shorter, and those windows."""
     out = np.zeros((len(texts), 4))
     for first, last, own in chunks(texts):
         code, at = codes(own)
@@ -111,6 +116,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
     return w
 
 
+def likelihood_ratio(k1: int, n1: int, k0: int, n0: int) -> float:
+    """Twice the log likelihood that a code's rates in two classes gain over one common rate."""
+    def log_of(k: int, n: int, p: float) -> float:
+        return (k * np.log(p) if k else 0.0) + ((n - k) * np.log1p(-p) if n > k else 0.0)
+
+    p = (k1 + k0) / (n1 + n0)
+    return 2 * (log_of(k1, n1, k1 / n1) + log_of(k0, n0, k0 / n0) - log_of(k1, n1, p) - log_of(k0, n0, p))
+
+
 def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """A model from labelled texts; ``share``: how many of all labelled texts are toxic. Two thirds train dictionaries, the rest the threshold."""
     raw = [[t.encode() for t in x] for x in (toxic, ordinary)]
@@ -125,7 +139,7 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
         seen.append(total)
     n1, n0 = len(learn[0]) + 1, len(learn[1]) + 1
     odds = {c: np.log((k + 0.5) / n1) - np.log((seen[1].get(c, 0) + 0.5) / n0) for c, k in seen[0].items() if k >= LEAST_TEXTS}
-    apart = sorted((v * seen[0][c], c) for c, v in odds.items() if v >= LEAST_ODDS)[-OWN:]
+    apart = sorted((v * seen[0][c], c) for c, v in odds.items() if v >= LEAST_ODDS and likelihood_ratio(seen[0][c], n1, seen[1].get(c, 0), n0) >= LEAST_RATIO)[-OWN:]
     common = [c for c, _ in sorted(seen[1].items(), key=lambda x: (-x[1], x[0]))]
     apart, shared, more = [c for _, c in apart], common[:SHARED][::-1], common[SHARED : SHARED + max(1, len(apart))]
     content = [np.array([*own, *shared, 1, 2], "<u8").tobytes() for own in (apart, more)]
