@@ -34,7 +34,8 @@ PART = 1024
 MOST_BROADCAST = 1_000_000
 #: Members of a leaf, and nodes below an inner node.
 LEAF, FAN = 16, 8
-#: Bits of a bitmap: four for each token at least, a power of two within these.
+#: Bits of a bitmap: one for each token at least, a power of two within these. Unlike sets then still differ in
+#: a fifth of their size, twice what linked ones may at 80 percent.
 FEWEST_BITS, MOST_BITS = 256, 1 << 17
 
 
@@ -99,7 +100,7 @@ def prefix(own: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(4 * size - 1).bit_length()))
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(size - 1).bit_length())) if size else FEWEST_BITS
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -336,10 +337,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             done.insert(0, "id", pdf["id"].values)
             yield done
 
-    rows = scratch.keep(given.mapInPandas(heads_of, "id long, node long, size int, prefix array<long>, map binary"), "rows")
-    classes = scratch.keep(rows.where("size > 0 and id is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
-    heads = rows.where("prefix is not null").dropDuplicates(["node"]).join(classes.select("node"), "node", "left_semi")
+    wide = scratch.keep(given.mapInPandas(heads_of, "id long, node long, size int, prefix array<long>, map binary"), "wide")
+    classes = scratch.keep(wide.where("size > 0 and id is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
+    heads = wide.where("prefix is not null").dropDuplicates(["node"]).join(classes.select("node"), "node", "left_semi")
     heads = scratch.keep(heads.select("node", "size", "prefix", "map"), "heads")
+    rows = scratch.keep(wide.select("id", "node", "size"), "rows")
+    scratch.drop(wide)
     entries = heads.select("node", "size", F.posexplode("prefix").alias("place", "token"))
     counts = scratch.keep(entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"), "counts")
     shared = scratch.keep(entries.join(counts, "token"), "shared")
@@ -376,6 +379,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     # trees over the lists that still hold more than one component; long lists as pairs of parts
     held = scratch.keep(shared.select("token", "node", "length").join(comps, "node"), "held")
+    scratch.drop(shared, counts, lists, pairs)
     mixed = scratch.keep(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "mixed")
     live = held.join(mixed, "token").withColumn("k", F.ceil(F.col("length") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     live = live.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "node", "comp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("part"))
