@@ -30,6 +30,8 @@ COUNTED, RARE, LEAST_HEAVY = 2.5, 5000, 24
 LEADS = 3
 #: Members of a token's list that one task takes at most; longer lists are dealt as pairs of parts.
 PART = 1024
+#: Pairs of one class that are verified together.
+SPOKES = 128
 #: Classes whose texts are fetched by a broadcast at most, counted before; a shuffled join serves beyond.
 MOST_BROADCAST = 1_000_000
 #: Members of a leaf, and nodes below an inner node.
@@ -290,17 +292,30 @@ def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFram
     return out
 
 
-def verified(scratch: Scratch, pairs: DataFrame, texts, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; ``texts`` gives node and tokens of the classes in question, made anew."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = scratch.keep(texts(wanted), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    out = scratch.keep(linked.select("a", "b"), "links")
-    scratch.drop(sets)
-    return out
+def verified(scratch: Scratch, pairs: DataFrame, sets, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. For each pair the set of ``a`` moves once, to that of ``b``; a ``b``
+    of many pairs is salted. ``sets`` turns rows (node, mate, salt, hub) into the same with tokens, made anew from the texts.
+    """
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
+    spokes = pairs.join(salts, "b").select(F.col("a").alias("node"), F.col("b").alias("mate"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("hub"))
+    hubs = salts.select(F.col("b").alias("node"), F.col("b").alias("mate"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
+
+    def check(batches):
+        at, y = None, None
+        for pdf in batches:
+            out = []
+            for node, mate, salt, hub, x in zip(pdf["node"], pdf["mate"], pdf["salt"], pdf["hub"], pdf["tokens"]):
+                x = x.view(np.uint64)  # sets are in the order of unsigned numbers
+                if hub:
+                    at, y = (mate, salt), x
+                elif at == (mate, salt):
+                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        out.append((node, mate))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    met = sets(spokes.unionByName(hubs)).repartition("mate", "salt").sortWithinPartitions("mate", "salt", F.desc("hub"))
+    return scratch.keep(met.mapInPandas(check, "a long, b long"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -349,18 +364,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     lists = shared.where(F.col("place") < LEADS).groupBy("token").agg(F.min("node").alias("leader"), F.min_by("node", "size").alias("shortest"), F.max_by("node", "size").alias("longest"))
     lists = scratch.keep(lists, "lists")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        own = wanted.join(classes, "node")
-        few = scratch.keep(own.select("node", F.col("first").alias("id")), "wanted")
+    def sets(asked: DataFrame) -> DataFrame:
+        few = scratch.keep(asked.join(classes, "node").withColumnRenamed("first", "id"), "asked")
         side = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
 
         def sets_of(batches):
             for pdf in batches:
-                found = [s for _, s in in_batches(pdf, n)]
-                right = [set_hash(s) == node for s, node in zip(found, pdf["node"])]
-                yield pd.DataFrame({"node": pdf["node"].to_numpy()[right], "tokens": [s for s, r in zip(found, right) if r]})
+                once = pdf.drop_duplicates(["id", "node", "text"])
+                found = {k: s for k, (_, s) in zip(zip(once["id"], once["node"], once["text"]), in_batches(once, n)) if set_hash(s) == k[1]}
+                own = [found.get(k) for k in zip(pdf["id"], pdf["node"], pdf["text"])]
+                there = np.array([x is not None for x in own], bool)
+                out = pdf.loc[there, ["node", "mate", "salt", "hub"]]
+                out["tokens"] = [x for x in own if x is not None]
+                yield out
 
-        return given.join(side, "id").mapInPandas(sets_of, "node long, tokens array<long>")
+        return given.join(side, "id").mapInPandas(sets_of, "node long, mate long, salt int, hub boolean, tokens array<long>")
 
     def through(batches):
         for pdf in batches:
@@ -368,14 +386,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             good = m.linkable(np.arange(len(pdf)), np.arange(len(pdf)) + len(pdf), percent)
             yield pdf[["a", "b"]][good]
 
-    # near copies fold: each class meets three classes of the lists of its first tokens
-    star = shared.where(F.col("place") < LEADS).join(lists, "token").select("node", "size", F.explode(F.array_distinct(F.array("leader", "shortest", "longest"))).alias("to")).where("node <> to")
-    star = star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
+        return scratch.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b").select("a", "b"), "apart")
+
+    # near copies fold: each class meets three classes of the lists of its first tokens, one of them first and the
+    # others if that leaves them in another component
+    star = shared.where(F.col("place") < LEADS).join(lists, "token").select("node", F.explode(F.array_distinct(F.array("leader", "shortest", "longest"))).alias("to")).where("node <> to").distinct()
     maps = heads.select("node", "size", "map")
-    with_maps = star.join(maps.toDF("a", "size_a", "map_a"), "a").join(maps.toDF("b", "size_b", "map_b"), "b").where((100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")))
+    with_maps = star.toDF("a", "b").join(maps.toDF("a", "size_a", "map_a"), "a").join(maps.toDF("b", "size_b", "map_b"), "b").where((100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")))
     pairs = scratch.keep(with_maps.mapInPandas(through, "a long, b long"), "star")
-    near = verified(scratch, pairs, texts, percent)
+    once = scratch.keep(pairs.groupBy("a").agg(F.min("b").alias("b")), "once")
+    near = verified(scratch, once, sets, percent)
     comps = components(scratch, heads, near)
+    more = apart(pairs.join(once, ["a", "b"], "left_anti"), comps)
+    if not more.isEmpty():
+        near = near.unionByName(verified(scratch, more, sets, percent))
+        comps = components(scratch, heads, near)
 
     # trees over the lists that still hold more than one component; long lists as pairs of parts
     held = scratch.keep(shared.select("token", "node", "length").join(comps, "node"), "held")
@@ -400,14 +427,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     crossed = scratch.keep(sorted_lists.mapInPandas(search, "a long, b long, p long, q long").distinct(), "crossed")
     # one pair for each two components first; then the pairs that are still in different ones
     tried = scratch.keep(crossed.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b"), "tried")
-    far = verified(scratch, tried, texts, percent)
+    far = verified(scratch, tried, sets, percent)
     links = near.unionByName(far)
     comps = components(scratch, heads, links)
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
-    rest = crossed.select("a", "b").join(tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b").select("a", "b")
-    rest = scratch.keep(rest, "rest")
+    rest = apart(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), comps)
     if not rest.isEmpty():
-        comps = components(scratch, heads, links.unionByName(verified(scratch, rest, texts, percent)))
+        comps = components(scratch, heads, links.unionByName(verified(scratch, rest, sets, percent)))
 
     first = scratch.keep(comps.join(classes, "node"), "firsts")
     named = scratch.keep(first.join(first.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "component_id"), "named")
