@@ -32,6 +32,8 @@ LEADS = 3
 PART = 1024
 #: Pairs of one class that are verified together.
 SPOKES = 128
+#: Bytes of sets that are handed on at once.
+SLICE = 4 << 20
 #: Classes whose texts are fetched by a broadcast at most, counted before; a shuffled join serves beyond.
 MOST_BROADCAST = 1_000_000
 #: Members of a leaf, and nodes below an inner node.
@@ -292,29 +294,44 @@ def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFram
     return out
 
 
-def verified(scratch: Scratch, pairs: DataFrame, sets, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. For each pair the set of ``a`` moves once, to that of ``b``; a ``b``
-    of many pairs is salted. ``sets`` turns rows (node, mate, salt, hub) into the same with tokens, made anew from the texts.
+def may_link(x: np.ndarray, s: int, y: np.ndarray, t: int, percent: int) -> bool:
+    """Whether two sets with these bitmaps and sizes may link."""
+    bits = 8 * min(len(x), len(y))
+    x, y = folded(x[None], bits)[0], folded(y[None], bits)[0]
+    need = -(-percent * (s + t) // (100 + percent))
+    return bool(COUNT[x & ~y].sum(dtype=np.int64) <= s - need and COUNT[y & ~x].sum(dtype=np.int64) <= t - need)
+
+
+def verified(scratch: Scratch, pairs: DataFrame, sets, percent: int, sketch: bool = False) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; with ``sketch`` those that may link by bitmaps of eight bits a token.
+
+    For each pair the set of ``a`` moves once, to that of ``b``; a ``b`` of many pairs is salted. ``sets`` turns
+    rows (node, mate, salt, hub) into the same with tokens or a map and the size, made anew from the texts.
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
     spokes = pairs.join(salts, "b").select(F.col("a").alias("node"), F.col("b").alias("mate"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("hub"))
     hubs = salts.select(F.col("b").alias("node"), F.col("b").alias("mate"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
 
     def check(batches):
-        at, y = None, None
+        at, y, most = None, None, 0
         for pdf in batches:
             out = []
-            for node, mate, salt, hub, x in zip(pdf["node"], pdf["mate"], pdf["salt"], pdf["hub"], pdf["tokens"]):
-                x = x.view(np.uint64)  # sets are in the order of unsigned numbers
+            for node, mate, salt, hub, x, size in zip(pdf["node"], pdf["mate"], pdf["salt"], pdf["hub"], pdf["own"], pdf["size"]):
+                x = np.frombuffer(x, np.uint8 if sketch else np.uint64)  # sets are in the order of unsigned numbers
                 if hub:
-                    at, y = (mate, salt), x
-                elif at == (mate, salt):
+                    at, y, most = (mate, salt), x, size
+                elif at != (mate, salt):
+                    continue
+                elif sketch:
+                    if may_link(x, size, y, most, percent):
+                        out.append((node, mate))
+                else:
                     shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     if 100 * shared >= percent * (len(x) + len(y) - shared):
                         out.append((node, mate))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    met = sets(spokes.unionByName(hubs)).repartition("mate", "salt").sortWithinPartitions("mate", "salt", F.desc("hub"))
+    met = sets(spokes.unionByName(hubs), sketch).repartition("mate", "salt").sortWithinPartitions("mate", "salt", F.desc("hub"))
     return scratch.keep(met.mapInPandas(check, "a long, b long"), "links")
 
 
@@ -364,7 +381,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     lists = shared.where(F.col("place") < LEADS).groupBy("token").agg(F.min("node").alias("leader"), F.min_by("node", "size").alias("shortest"), F.max_by("node", "size").alias("longest"))
     lists = scratch.keep(lists, "lists")
 
-    def sets(asked: DataFrame) -> DataFrame:
+    def sets(asked: DataFrame, sketch: bool) -> DataFrame:
         few = scratch.keep(asked.join(classes, "node").withColumnRenamed("first", "id"), "asked")
         side = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
 
@@ -372,13 +389,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             for pdf in batches:
                 once = pdf.drop_duplicates(["id", "node", "text"])
                 found = {k: s for k, (_, s) in zip(zip(once["id"], once["node"], once["text"]), in_batches(once, n)) if set_hash(s) == k[1]}
-                own = [found.get(k) for k in zip(pdf["id"], pdf["node"], pdf["text"])]
-                there = np.array([x is not None for x in own], bool)
-                out = pdf.loc[there, ["node", "mate", "salt", "hub"]]
-                out["tokens"] = [x for x in own if x is not None]
-                yield out
+                made = {k: (bitmap(x, min(MOST_BITS, 8 * bits_for(len(x)))) if sketch else x).tobytes() for k, x in found.items()}
+                keys = [k if k in found else None for k in zip(pdf["id"], pdf["node"], pdf["text"])]
+                rows = np.flatnonzero([k is not None for k in keys])
+                weight = np.cumsum([len(made[keys[r]]) for r in rows])
+                for part in np.split(rows, np.flatnonzero(np.diff(weight // SLICE)) + 1) if len(rows) else ():
+                    out = pdf.iloc[part][["node", "mate", "salt", "hub"]].copy()
+                    out["own"], out["size"] = [made[keys[r]] for r in part], [len(found[keys[r]]) for r in part]
+                    yield out
 
-        return given.join(side, "id").mapInPandas(sets_of, "node long, mate long, salt int, hub boolean, tokens array<long>")
+        return given.join(side, "id").mapInPandas(sets_of, "node long, mate long, salt int, hub boolean, own binary, size int")
 
     def through(batches):
         for pdf in batches:
@@ -427,12 +447,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     crossed = scratch.keep(sorted_lists.mapInPandas(search, "a long, b long, p long, q long").distinct(), "crossed")
     # one pair for each two components first; then the pairs that are still in different ones
     tried = scratch.keep(crossed.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b"), "tried")
-    far = verified(scratch, tried, sets, percent)
+    far = verified(scratch, verified(scratch, tried, sets, percent, True), sets, percent)
     links = near.unionByName(far)
     comps = components(scratch, heads, links)
     rest = apart(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), comps)
     if not rest.isEmpty():
-        comps = components(scratch, heads, links.unionByName(verified(scratch, rest, sets, percent)))
+        comps = components(scratch, heads, links.unionByName(verified(scratch, verified(scratch, rest, sets, percent, True), sets, percent)))
 
     first = scratch.keep(comps.join(classes, "node"), "firsts")
     named = scratch.keep(first.join(first.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "component_id"), "named")
