@@ -32,14 +32,15 @@ LEADS = 3
 PART = 1024
 #: Pairs of one class that are verified together.
 SPOKES = 128
+#: Rows of a class for which its set is made at once.
+MATES = 256
 #: Bytes of sets that are handed on at once.
 SLICE = 4 << 20
 #: Classes whose texts are fetched by a broadcast at most, counted before; a shuffled join serves beyond.
 MOST_BROADCAST = 1_000_000
 #: Members of a leaf, and nodes below an inner node.
 LEAF, FAN = 16, 8
-#: Bits of a bitmap: one for each token at least, a power of two within these. Unlike sets then still differ in
-#: a fifth of their size, twice what linked ones may at 80 percent.
+#: Bits of a bitmap: two for each token at least, a power of two within these.
 FEWEST_BITS, MOST_BITS = 256, 1 << 17
 
 
@@ -104,7 +105,7 @@ def prefix(own: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(size - 1).bit_length())) if size else FEWEST_BITS
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(2 * size - 1).bit_length())) if size else FEWEST_BITS
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -382,21 +383,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     lists = scratch.keep(lists, "lists")
 
     def sets(asked: DataFrame, sketch: bool) -> DataFrame:
-        few = scratch.keep(asked.join(classes, "node").withColumnRenamed("first", "id"), "asked")
+        # a text goes to Python once for about MATES of its node's rows, whatever their number
+        parts = asked.groupBy("node").agg(F.ceil(F.count("*") / MATES).alias("parts"))
+        lot = F.pmod(F.xxhash64("mate", "salt", "hub"), F.col("parts")).alias("lot")
+        met = asked.join(parts, "node").groupBy("node", lot).agg(F.collect_list(F.struct("mate", "salt", "hub")).alias("mates"))
+        few = scratch.keep(met.join(classes, "node").select(F.col("first").alias("id"), "node", "mates"), "asked")
         side = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
 
         def sets_of(batches):
             for pdf in batches:
-                once = pdf.drop_duplicates(["id", "node", "text"])
-                found = {k: s for k, (_, s) in zip(zip(once["id"], once["node"], once["text"]), in_batches(once, n)) if set_hash(s) == k[1]}
-                made = {k: (bitmap(x, min(MOST_BITS, 8 * bits_for(len(x)))) if sketch else x).tobytes() for k, x in found.items()}
-                keys = [k if k in found else None for k in zip(pdf["id"], pdf["node"], pdf["text"])]
-                rows = np.flatnonzero([k is not None for k in keys])
-                weight = np.cumsum([len(made[keys[r]]) for r in rows])
-                for part in np.split(rows, np.flatnonzero(np.diff(weight // SLICE)) + 1) if len(rows) else ():
-                    out = pdf.iloc[part][["node", "mate", "salt", "hub"]].copy()
-                    out["own"], out["size"] = [made[keys[r]] for r in part], [len(found[keys[r]]) for r in part]
-                    yield out
+                node, mates, (out, weight) = pdf["node"].to_numpy(), pdf["mates"], ([], 0)
+                for r, x in in_batches(pdf, n):
+                    if set_hash(x) != node[r]:
+                        continue  # another row with the id of the class's first
+                    own = (bitmap(x, min(MOST_BITS, 4 * bits_for(len(x)))) if sketch else x).tobytes()
+                    for m in mates.iloc[r]:
+                        out.append((node[r], m["mate"], m["salt"], m["hub"], own, len(x)))
+                        weight += len(own)
+                        if weight > SLICE:
+                            yield pd.DataFrame(out, columns=["node", "mate", "salt", "hub", "own", "size"])
+                            out, weight = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=["node", "mate", "salt", "hub", "own", "size"])
 
         return given.join(side, "id").mapInPandas(sets_of, "node long, mate long, salt int, hub boolean, own binary, size int")
 
