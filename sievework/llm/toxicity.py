@@ -1,105 +1,137 @@
-"""Toxicity by compression distance.
-
-A text becomes a stream of eight-byte codes, two for the beginning of each word, so that a stem and a longer
-part of a word are units to the compressor. Two zstandard dictionaries are trained from labelled texts: both hold the codes that are
-common in ordinary text, one of them also those that set toxic texts apart, the other as many more ordinary
-ones. Windows of the stream are compressed with either; a window that the toxic dictionary makes shorter
-is evidence. A logistic threshold over the gains of a text, fitted on labelled texts that trained no
-dictionary, gives the score.
+"""Toxicity by the byte n-grams of whole texts.
+
+A text is lower-cased and every run of other characters than letters and digits becomes one space. Each place of
+it begins one n-gram of each length, across words too, and each word is a unit as a whole, so that every byte counts wherever it
+stands. Units that set toxic or ordinary labelled texts apart carry their log odds; a text's evidence for
+either side is the sum over its units. A logistic threshold over the evidence, fitted on labelled texts that
+chose no units, gives the score. Compression against two trained zstandard dictionaries was tried first and
+does far worse: see the README.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import LOWER, chunks, joined, mix, runs
-
-#: Bytes of a word that its codes stand for (a stem and a longer part), and codes in a window of eight words.
-PREFIXES, WINDOW = (4, 6), 16
-#: Codes that a dictionary shares with the other one, and codes of its own at most.
-SHARED, OWN = 1024, 1024
-#: A code sets toxic texts apart from this log odds ratio on, in so many texts at least, and with a likelihood-ratio
-#: statistic that chance reaches for about one of a million codes.
-LEAST_ODDS, LEAST_TEXTS, LEAST_RATIO = 2.0, 3, 24.0
-#: Labelled rows of each class that are fetched to fit, at most.
-SAMPLE = 2500
+from .wordbytes import chunks, hashes, joined, mix, runs
+
+#: Bytes of the n-grams, spaces among them.
+LENGTHS = (5, 7)
+#: A unit sets a class apart from this likelihood-ratio statistic on and in so many texts at least.
+LEAST_RATIO, LEAST_TEXTS = 16.0, 3
+#: Labelled toxic rows that are fetched to fit, at most, and ordinary ones for each of these.
+SAMPLE, ORDINARY = 2500, 4
+#: Bits of a code that the first look-up of a unit takes.
+BITS = 22
 WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     WORD[_a:_b] = True
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of each word, one for each prefix, and the place of each text's first one."""
-    data, at = joined(texts)
-    data = np.concatenate([data, np.zeros(max(PREFIXES), np.uint8)])
-    starts, ends = runs(WORD[data])
-    data = LOWER[data]
-    code = np.zeros(len(starts), np.uint64)
-    out = np.zeros((len(starts), len(PREFIXES)), np.uint64)
-    for j in range(max(PREFIXES)):
-        code |= np.where(starts + j < ends, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
-        if j + 1 in PREFIXES:
-            k = PREFIXES.index(j + 1)
-            out[:, k] = mix(code ^ np.uint64(k << 56))
-    return out.ravel(), np.searchsorted(starts, at) * len(PREFIXES)
+def lowered(text: str | None) -> bytes:
+    """A lone surrogate, which UTF-8 lacks, becomes a question mark."""
+    return (text or "").lower().encode("utf-8", "replace")
+
+
+def spaced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One byte array of the texts, each as a space and its words with a space after each, and where each begins (one more at the end)."""
+    data, at = joined([b" " + t for t in texts])
+    word = WORD[data]
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    keep[at[:-1]] = True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    return np.where(word, data, 32).astype(np.uint8)[keep], place[at]
+
+
+def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of n-grams, then whole words: codes, and where those of each text begin and end."""
+    data, at = spaced(texts)
+    code, wide = np.zeros(len(data), np.uint64), data.astype(np.uint64)
+    for j in range(max(LENGTHS)):
+        m = max(0, len(data) - j)
+        code = code[:m] * np.uint64(0x100000001B3) + wide[j:] + np.uint64(1)
+        if j + 1 in LENGTHS:
+            yield mix(code), np.minimum(at[:-1], m), np.minimum(np.maximum(at[:-1], at[1:] - j), m)
+    starts, ends = runs(data != 32)
+    first = np.searchsorted(starts, at)
+    yield hashes(data, starts, ends), first[:-1], first[1:]
+
+
+def distinct(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each part of the texts: the different codes of each text, one text after the other."""
+    for _, _, own in chunks(texts):
+        made = list(units(own))
+        yield np.concatenate([np.unique(np.concatenate([c[a[i] : b[i]] for c, a, b in made])) for i in range(len(own))])
+
+
+def frequent(texts: list[bytes]) -> np.ndarray:
+    """Codes that stand in ``LEAST_TEXTS`` texts or more, sorted."""
+    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for more in distinct(texts):
+        new, times = np.unique(more, return_counts=True)
+        code, to = np.unique(np.concatenate([code, new]), return_inverse=True)
+        count = np.bincount(to, np.concatenate([count, times]), len(code)).astype(np.int64)
+    return code[count >= LEAST_TEXTS]
+
+
+def counted(texts: list[bytes], known: np.ndarray) -> np.ndarray:
+    """In how many texts each of the ``known`` codes stands."""
+    out = np.zeros(len(known), np.int64)
+    for code in distinct(texts) if len(known) else ():
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        out += np.bincount(at[known[at] == code], minlength=len(known))
+    return out
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    codes: np.ndarray
+    odds: np.ndarray
     weights: np.ndarray
 
+    def __post_init__(self):
+        self.first = np.zeros(1 << BITS, bool)
+        self.first[self.codes >> np.uint64(64 - BITS)] = True
 
-def compressors(model: Model) -> list[zstandard.ZstdCompressor]:
-    out = []
-    for content in (model.toxic, model.ordinary):
-        params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=5, strategy=zstandard.STRATEGY_GREEDY, target_length=16,
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
-        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(compression_params=params)
-        out.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params))
-    return out
+    def __reduce__(self):
+        return Model, (self.codes, self.odds, self.weights)
 
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the codes that the model knows, and their log odds."""
+        place = np.flatnonzero(self.first[code >> np.uint64(64 - BITS)])
+        if not len(place):
+            return place, np.zeros(0)
+        at = np.minimum(np.searchsorted(self.codes, code[place]), len(self.codes) - 1)
+        same = self.codes[at] == code[place]
+        return place[same], self.odds[at[same]]
 
-def gains(texts: list[bytes], pair: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """For each text: codes, windows, bytes that the toxic dictionary saves over windows it makes shorter, and those windows."""
+
+def evidence(texts: list[bytes], model: Model) -> np.ndarray:
+    """For each text: bytes, summed log odds for toxic and for ordinary, and the units that are clearly toxic."""
     out = np.zeros((len(texts), 4))
     for first, last, own in chunks(texts):
-        code, at = codes(own)
-        size = np.diff(at)
-        count = -(-size // WINDOW)
-        out[first:last, 0], out[first:last, 1] = size, count
-        if not len(code):
-            continue
-        owner = np.repeat(np.arange(len(own)), count)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        begin = at[:-1][owner] + inside * WINDOW
-        end = np.minimum(begin + WINDOW, at[1:][owner])
-        segments = np.stack([begin * 8, (end - begin) * 8], 1).astype(np.uint64).tobytes()
-        data = code.astype("<u8").tobytes()
-        lengths = []
-        for c in pair:
-            made = c.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments), threads=0)
-            lengths.append(np.fromiter((len(made[i]) for i in range(len(made))), np.int64, len(made)))
-        saved = np.maximum(lengths[1] - lengths[0], 0)
-        out[first:last, 2] = np.bincount(owner, saved, len(own))
-        out[first:last, 3] = np.bincount(owner, saved >= 4, len(own))
+        out[first:last, 0] = np.diff(spaced(own)[1])
+        for code, begin, end in units(own):
+            place, odds = model.of(code)
+            # between two texts stand n-grams that belong to neither
+            owner = np.searchsorted(begin, place, "right") - 1
+            inside = place < end[owner]
+            owner, odds = owner[inside], odds[inside]
+            for k, x in enumerate((np.maximum(odds, 0), np.maximum(-odds, 0), odds > 2), 1):
+                out[first:last, k] += np.bincount(owner, x, len(own))
     return out
 
 
 def features(found: np.ndarray) -> np.ndarray:
-    words, _, saved, windows = found.T
-    return np.stack([np.ones(len(found)), np.log1p(saved), np.log1p(windows), np.log1p(words), (windows >= 2).astype(float), windows / np.sqrt(words + 1)], 1)
+    size, toxic, ordinary, clear = found.T
+    return np.stack([np.ones(len(found)), np.log1p(toxic), np.log1p(ordinary), np.log1p(clear), np.log1p(size), 10 * toxic / (size + 20), 10 * ordinary / (size + 20)], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -116,36 +148,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
     return w
 
 
-def likelihood_ratio(k1: int, n1: int, k0: int, n0: int) -> float:
-    """Twice the log likelihood that a code's rates in two classes gain over one common rate."""
-    def log_of(k: int, n: int, p: float) -> float:
-        return (k * np.log(p) if k else 0.0) + ((n - k) * np.log1p(-p) if n > k else 0.0)
+def likelihood_ratio(k1: np.ndarray, n1: int, k0: np.ndarray, n0: int) -> np.ndarray:
+    """Twice the log likelihood that the codes' rates in two classes gain over one common rate."""
+    def log_of(k, n, p):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(p), 0) + np.where(n > k, (n - k) * np.log1p(-p), 0)
 
     p = (k1 + k0) / (n1 + n0)
     return 2 * (log_of(k1, n1, k1 / n1) + log_of(k0, n0, k0 / n0) - log_of(k1, n1, p) - log_of(k0, n0, p))
 
 
 def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """A model from labelled texts; ``share``: how many of all labelled texts are toxic. Two thirds train dictionaries, the rest the threshold."""
-    raw = [[t.encode() for t in x] for x in (toxic, ordinary)]
+    """A model from labelled texts; ``share``: how many of all labelled texts are toxic. Two thirds choose units, the rest the threshold."""
+    raw = [[lowered(t) for t in x] for x in (toxic, ordinary)]
     learn, tune = ([x[: 2 * len(x) // 3] for x in raw], [x[2 * len(x) // 3 :] for x in raw])
-    seen = []
-    for texts in learn:
-        total = Counter()
-        for _, _, own in chunks(texts):
-            code, at = codes(own)
-            for a, b in zip(at[:-1], at[1:]):
-                total.update(np.unique(code[a:b]).tolist())
-        seen.append(total)
+    # what sets ordinary texts apart is in so many of them that as many as there are toxic ones hold it
+    known = np.union1d(frequent(learn[0]), frequent(learn[1][: len(learn[0])]))
+    k1, k0 = counted(learn[0], known), counted(learn[1], known)
     n1, n0 = len(learn[0]) + 1, len(learn[1]) + 1
-    odds = {c: np.log((k + 0.5) / n1) - np.log((seen[1].get(c, 0) + 0.5) / n0) for c, k in seen[0].items() if k >= LEAST_TEXTS}
-    apart = sorted((v * seen[0][c], c) for c, v in odds.items() if v >= LEAST_ODDS and likelihood_ratio(seen[0][c], n1, seen[1].get(c, 0), n0) >= LEAST_RATIO)[-OWN:]
-    common = [c for c, _ in sorted(seen[1].items(), key=lambda x: (-x[1], x[0]))]
-    apart, shared, more = [c for _, c in apart], common[:SHARED][::-1], common[SHARED : SHARED + max(1, len(apart))]
-    content = [np.array([*own, *shared, 1, 2], "<u8").tobytes() for own in (apart, more)]
-    model = Model(content[0], content[1], np.zeros(6))
-    pair = compressors(model)
-    x = np.concatenate([features(gains(t, pair)) if t else np.zeros((0, 6)) for t in tune])
+    apart = likelihood_ratio(k1, n1, k0, n0) >= LEAST_RATIO
+    odds = np.log((k1 + 0.5) / n1) - np.log((k0 + 0.5) / n0)
+    model = Model(known[apart], odds[apart], np.zeros(7))
+    x = np.concatenate([features(evidence(t, model)) for t in tune])
     y = np.concatenate([np.ones(len(tune[0])), np.zeros(len(tune[1]))])
     if len(tune[0]) and len(tune[1]):
         model.weights = logistic(x, y)
@@ -157,14 +181,14 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled texts of each class: those with the smallest hashes of their ids.
+    """A model from at most ``sample`` toxic texts and ``ORDINARY`` times as many ordinary ones: those with the smallest hashes of their ids.
 
     Null labels take no part. With fewer than two texts of a class every text is ordinary.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (1, 0)]
-    # at most 2 * sample ids
+    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(most) for c, most in ((1, sample), (0, ORDINARY * sample))]
+    # at most (1 + ORDINARY) * sample ids
     few = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(few, "id").collect()
     by = {c: [r["text"] for r in sorted(rows, key=lambda r: r["id"]) if r["label"] == c] for c in (1, 0)}
@@ -173,20 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(by[1], by[0], counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
 
 
-_pairs: dict[tuple[bytes, bytes], list[zstandard.ZstdCompressor]] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); a null text is an empty one. A narrow job."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema if f.name not in ('score', 'predicted'))}, score double, predicted int"
 
     def run(batches):
-        key = (model.toxic, model.ordinary)
-        if key not in _pairs:
-            _pairs.clear()
-            _pairs[key] = compressors(model)
         for pdf in batches:
-            found = gains([(t or "").encode() for t in pdf[text_col]], _pairs[key])
+            found = evidence([lowered(t) for t in pdf[text_col]], model)
             z = np.clip(features(found) @ model.weights, -30, 30)
             pdf["score"] = 1 / (1 + np.exp(-z))
             pdf["predicted"] = (pdf["score"] >= 0.5).astype(np.int32)
