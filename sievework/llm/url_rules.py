@@ -1,9 +1,8 @@
 """URL filtering by association rules.
 
 Fixed (host, path) rules label the urls they fit. FP-growth mines combinations of url tokens with those
-labels over all urls, so that an unlabelled url counts against every label; rules pruned by support,
-confidence and redundancy then judge the urls that no fixed rule fits, matched by an inverted index from a
-rule's first token. Only DataFrame functions and Spark's own FP-growth run.
+labels over the urls they fit; rules pruned by support, confidence and redundancy then judge the urls that
+no fixed rule fits, matched by an inverted index from a rule's first token. Only DataFrame functions and Spark's own FP-growth run.
 """
 
 from __future__ import annotations
@@ -58,9 +57,8 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mined(urls: DataFrame, least_support: float, least_confidence: float, longest: int) -> DataFrame:
-    """antecedent array, verdict, confidence, support of the pruned rules, from ``urls`` (tokens, verdict or null)."""
-    label = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit("="), "verdict"))).otherwise(F.array().cast("array<string>"))
-    items = urls.select(F.concat("tokens", label).alias("items"))
+    """antecedent array, verdict, confidence, support of the pruned rules, from labelled ``urls`` (tokens, verdict)."""
+    items = urls.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("=")))
     return rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
@@ -98,7 +96,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, least_support: fl
     scratch = Scratch(pages.sparkSession, "urls")
     # equal token sets count once per label and are judged once; partial aggregation meets hot hosts
     sets = scratch.keep(rows.groupBy("tokens", F.col("said").alias("verdict")).count(), "sets")
-    urls = rows.select("tokens", F.col("said").alias("verdict"))
+    urls = rows.where(F.col("said").isNotNull()).select("tokens", F.col("said").alias("verdict"))
     found = scratch.keep(mined(urls, least_support, least_confidence, longest), "mined")
     index = irredundant(found).withColumn("token", F.col("antecedent")[0])
     open_sets = sets.where("verdict is null").select("tokens")

@@ -2,7 +2,8 @@
 
 import random
 
-from sievework.llm import toxicity
+from sievework.llm import registry, toxicity, url_rules
+from tests.conftest import SMALL
 
 
 def held_out(spark, rows):
@@ -27,3 +28,23 @@ def test_toxicity_reads_unspaced_text(spark):
     rows = [(i, run(rnd.randrange(20, 40)) + ("笨蛋垃圾" if i % 2 else run(4)) + run(20), i % 2) for i in range(400)]
     got = held_out(spark, rows)
     assert len(got) > 40 and sum(a == b for a, b in got) > 0.95 * len(got)
+
+
+def judged(spark, urls):
+    """(verdict, mined rule) of each url."""
+    rows = url_rules.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    return {r["url"]: (r["verdict"], r["by_rule"]) for r in rows}
+
+
+def test_urls_without_a_fixed_rule_are_judged_by_their_tokens(spark):
+    fixed = [f"http://h{i}.net/ads/{i}" for i in range(20)] + [f"http://h{i}.org/fr/{i}" for i in range(20)]
+    left = [f"http://h{i}.io/ads/{i}" for i in range(60)]
+    got = judged(spark, fixed + left)
+    assert {got[u] for u in left} == {("block", "path:ads")}
+
+
+def test_mined_rules_decide_most_urls_that_are_left(spark):
+    got = registry.queries()["op3_url_rules"](spark, f"{SMALL}/../sf0.01").where("rule is null")
+    left, mined = got.count(), got.where("by_rule is not null").count()
+    print(f"mined rules decide {mined} of {left} urls")
+    assert mined > 0.5 * left
