@@ -7,6 +7,8 @@ no fixed rule fits, matched by an inverted index from a rule's first token. Only
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +41,32 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """At most ten tokens of a url, without its numbers: host, its last labels, first label, path, query names, ending."""
+    """All tokens of a url: host, its suffixes, first, middle and last labels, every segment of the path, query names, ending."""
     labels = F.split(host, r"\.")
-    segment = F.regexp_extract(path, "^/([^/]*[^/0-9.][^/]*)", 1)
-    names = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("(?:^|&)([^=&]+)"), 1))), 1, 3)
-    parts = [
+    size = F.size(labels)
+    tail = lambda x, i: F.when((i <= size - 2) & ((i > 0) | (size == 2)), F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i + 1, size), ".")))
+    middle = lambda x, i: F.when((i > 0) & (i < size - 1), F.concat(F.lit("label:"), x))
+    ending = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
+    parts = F.array(
         F.when(host != "", F.concat(F.lit("host:"), host)),
-        F.when(F.size(labels) > 1, F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -2, 2), "."))),
         F.when(host != "", F.concat(F.lit("top:"), F.element_at(labels, -1))),
-        F.when(F.size(labels) > 2, F.concat(F.lit("first:"), F.element_at(labels, 1))),
-        F.when(segment != "", F.concat(F.lit("path:"), segment)),
-        F.when(F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1) != "", F.concat(F.lit("ending:"), F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1))),
-    ]
-    found = F.filter(F.array(*parts), lambda x: x.isNotNull())
+        F.when(size > 2, F.concat(F.lit("first:"), F.element_at(labels, 1))),
+        F.when(ending != "", F.concat(F.lit("ending:"), ending)),
+    )
+    segments = F.transform(F.split(path, "/"), lambda x: F.when(x != "", F.concat(F.lit("path:"), x)))
+    names = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("(?:^|&)([^=&]+)"), 1)
     named = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.concat(F.lit("query:"), x))
-    return F.array_distinct(F.concat(found, named))
+    found = F.concat(parts, F.transform(labels, tail), F.transform(labels, middle), segments, named)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+
+def frequent(rows: DataFrame, least_support: float) -> DataFrame:
+    """One row with an array of the tokens that reach the support among labelled urls, as FP-growth counts it: rarer ones are in no rule."""
+    labelled = rows.where(F.col("said").isNotNull()).select("tokens")
+    least = math.ceil(least_support * labelled.count())
+    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    # each url holds few tokens: at most so many of them, divided by the support, are frequent
+    return counts.agg(F.array_sort(F.collect_list("token")).alias("frequent"))
 
 
 def mined(urls: DataFrame, least_support: float, least_confidence: float, longest: int) -> DataFrame:
@@ -88,12 +101,14 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, least_support: fl
     with more support, then block before allow; without one the url is allowed. A null url, or one without
     ``://``, has an empty host and path and is allowed. Rows are never merged: repeated rows stay.
     """
-    made = ("host", "path", "rule", "verdict", "by_rule", "tokens", "said", "found")
+    made = ("host", "path", "rule", "verdict", "by_rule", "tokens", "said", "found", "frequent")
     host, path = host_and_path(F.col(url_col))
     rows = pages.drop(*[c for c in made if c != url_col]).withColumn("host", host).withColumn("path", path)
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("said", verdict).withColumn("tokens", tokens(F.col(url_col), F.col("host"), F.col("path")))
     scratch = Scratch(pages.sparkSession, "urls")
+    often = scratch.keep(frequent(rows, least_support), "frequent")
+    rows = rows.crossJoin(F.broadcast(often)).withColumn("tokens", F.array_sort(F.array_intersect("tokens", "frequent"))).drop("frequent")
     # equal token sets count once per label and are judged once; partial aggregation meets hot hosts
     sets = scratch.keep(rows.groupBy("tokens", F.col("said").alias("verdict")).count(), "sets")
     urls = rows.where(F.col("said").isNotNull()).select("tokens", F.col("said").alias("verdict"))

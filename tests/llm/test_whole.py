@@ -48,3 +48,11 @@ def test_mined_rules_decide_most_urls_that_are_left(spark):
     left, mined = got.count(), got.where("by_rule is not null").count()
     print(f"mined rules decide {mined} of {left} urls")
     assert mined > 0.5 * left
+
+
+def test_every_part_of_a_url_is_a_token(spark):
+    shapes = ["http://h{i}.{top}/{i}/{i}/{word}/x", "http://h{i}.{top}/{i}?a=1&b=2&c=3&{word}=4", "http://a{i}.{word}.b{i}.c{i}.{top}/", "http://h{i}.{top}/2024.1/{word}"]
+    made = lambda top, word, n: [(s, shape.format(i=i, top=top, word=f"{word}{s}").replace("/en//", "/en/")) for s, shape in enumerate(shapes) for i in range(n)]
+    left = made("io", "zads", 10)
+    got = judged(spark, [u for _, u in made("net", "zads", 10) + made("example.net/en/", "znews", 10) + left])
+    assert all(got[u][0] == "block" and f"zads{s}" in got[u][1] for s, u in left)
