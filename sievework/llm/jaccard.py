@@ -4,44 +4,44 @@ Equal shingle sets fold into one class. Two sets can only link if they share one
 global order (prefix filter); the order puts tokens that are frequent in the corpus last, so that common
 passages and phrases don't bring unlike documents together. The classes that share a token are searched by
 signature trees: a node holds the OR of its members' token bitmaps and their range of sizes, and a dual
-traversal passes over pairs of nodes whose largest possible overlap is too small. Surviving pairs are
-verified on whole sets, and links become components by repeated joins.
+traversal passes over pairs of nodes whose largest possible overlap is too small.
 
-Links first run between a class and the first of those that share its first tokens, which folds groups of
-near copies; the trees then only have to look at pairs in different components. So neither a group of equal
-texts nor one of near copies costs its square, and no link between different components can be lost.
+Pairs that survive are not written down: what may link is connected where it is found, a row for each member
+of a list, and the connected groups are families. Every link lies within one family, so the whole sets of a
+family meet once and are joined there exactly. A family of more than one task's share is dealt as pairs of
+parts. So nothing that moves grows with the square of a group of copies, near copies or almost near copies.
+
+Shingles are told apart by 64-bit hashes: two different ones of a corpus of ``n`` are taken for one with a
+chance of about n * n / 2 ** 65, and no family of words is known that makes it likelier.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, map_texts, sized
 from .wordbytes import chunks, lowered_words, mix
 
 #: Tokens counted in the corpus, as a multiple of the prefix: those in the lowest part of the hash space. A token
-#: in more than one of so many documents, and in ``LEAST_HEAVY`` at least, is heavy. There are at most
-#: (counted tokens of a mean document) * RARE of them.
-COUNTED, RARE, LEAST_HEAVY = 2.5, 5000, 24
-#: First tokens through which near copies are folded before the trees.
-LEADS = 3
+#: in ``LEAST_HEAVY`` classes or more is heavy; of more such tokens than ``MOST_HEAVY``, the most frequent ones.
+#: Which tokens are heavy changes the work and never the result.
+COUNTED, LEAST_HEAVY, MOST_HEAVY = 2.5, 24, 1 << 19
 #: Members of a token's list that one task takes at most; longer lists are dealt as pairs of parts.
 PART = 1024
-#: Pairs of one class that are verified together.
-SPOKES = 128
-#: Rows of a class for which its set is made at once.
-MATES = 256
-#: Bytes of sets that are handed on at once.
-SLICE = 4 << 20
-#: Classes whose texts are fetched by a broadcast at most, counted before; a shuffled join serves beyond.
-MOST_BROADCAST = 1_000_000
+#: Members and tokens of a family's part.
+SHARE, SHARE_TOKENS = 2048, 1 << 20
 #: Members of a leaf, and nodes below an inner node.
 LEAF, FAN = 16, 8
 #: Bits of a bitmap: two for each token at least, a power of two within these.
-FEWEST_BITS, MOST_BITS = 256, 1 << 17
+FEWEST_BITS, MOST_BITS = 256, 1 << 13
+#: Bytes of sets that are handed on at once, and nodes that a task remembers to have sent.
+SLICE, REMEMBERED = 4 << 20, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -68,10 +68,10 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(pdf: pd.DataFrame, n: int):
-    """(position, set) of each text."""
-    for first, last, own in chunks((t or "").encode() for t in pdf["text"]):
-        yield from zip(range(first, last), shingle_sets(own, n))
+def sets_of(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """The set of each text; a null text has none."""
+    for _, _, own in chunks((t or "").encode("utf-8", "replace") for t in texts):
+        yield from shingle_sets(own, n)
 
 
 def set_hash(own: np.ndarray) -> int:
@@ -204,11 +204,26 @@ def dual(ta: SignatureTree, tb: SignatureTree, percent: int, same: bool) -> tupl
             a, b = a[which], child
 
 
+def joined_up(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``n`` things the smallest one connected with it by the pairs (a, b), or by equal labels given."""
+    label = np.arange(n) if label is None else label
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b):
+            np.minimum.at(new, label[x], least)
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 class Members:
-    """Members of many lists, in the order of their lists: node, size, comp, part, and their bitmaps by number of bits."""
+    """Members of many lists, in the order of their lists: node, size, part, and their bitmaps by number of bits."""
 
     def __init__(self, pdf: pd.DataFrame):
-        self.node, self.size, self.comp, self.part = (pdf[c].to_numpy() for c in ("node", "size", "comp", "part"))
+        self.node, self.size, self.part = (pdf[c].to_numpy() for c in ("node", "size", "part"))
         self.raw = pdf["map"].to_numpy()
         self.bits = np.fromiter(map(len, self.raw), np.int64, len(pdf)) * 8
 
@@ -220,9 +235,9 @@ class Members:
         return out
 
     def linkable(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether pairs of members of different components may link, by sizes and bitmaps."""
+        """Whether pairs of members may link, by sizes and bitmaps."""
         s, t = self.size[a].astype(np.int64), self.size[b].astype(np.int64)
-        good = (self.comp[a] != self.comp[b]) & (100 * t >= percent * s) & (100 * s >= percent * t)
+        good = (100 * t >= percent * s) & (100 * s >= percent * t)
         need = -(-percent * (s + t) // (100 + percent))
         bits = np.minimum(self.bits[a], self.bits[b])
         for n in np.unique(bits[good]).tolist():
@@ -234,14 +249,19 @@ class Members:
         return good
 
 
-def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs (a < b) that the lists of a frame, one after another, let through, and their components (p < q). Members of part 0 meet each other
-    where there is no part 1, else those of part 1. Short lists are single leaves; the others become trees."""
+def connected(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): of each group of nodes that the lists of a frame connect, the smallest with each of the others.
+
+    Members of part 0 meet each other where there is no part 1, else those of part 1. Short lists are single
+    leaves; the others become trees, in which members that a long list's first, shortest or longest member
+    connects count as one.
+    """
     m = Members(pdf)
     key = pdf[["token", "i", "j"]].to_numpy()
     start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
     count = np.diff(np.append(start, len(pdf)))
     group = np.repeat(np.arange(len(start)), count)
+    which, nodes = pd.factorize(m.node, sort=True)
     small = (count <= LEAF)[group] & (m.part == 0) & ~np.isin(group, group[m.part == 1])
     found = []
     for d in range(1, LEAF):
@@ -249,30 +269,96 @@ def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         if not len(a):
             break
         good = m.linkable(a, a + d, percent)
-        found.append((a[good], a[good] + d))
+        found.append((which[a[good]], which[a[good] + d]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    label = joined_up(len(nodes), a, b)
     for g in np.unique(group[~small]).tolist():
-        sides = []
         own = np.arange(start[g], start[g] + count[g])
+        sides = [own[m.part[own] == p] for p in (0, 1)]
+        if not len(sides[1]):
+            if key[start[g], 1] != key[start[g], 2]:
+                continue  # the other part of the list is empty
+            sides[1] = sides[0]
+        if not len(sides[0]):
+            continue
+        by_size = sides[0][np.argsort(m.size[sides[0]], kind="stable")]
+        for hub in {int(sides[0][0]), int(by_size[0]), int(by_size[-1])}:
+            hubs = np.full(len(sides[1]), hub)
+            good = m.linkable(hubs, sides[1], percent)
+            label = joined_up(len(nodes), which[hubs[good]], which[sides[1][good]], label)
+        if len(np.unique(label[which[own]])) == 1:
+            continue
+        same = sides[0] is sides[1]
         bits = int(m.bits[own].min())
-        for p in (0, 1):
-            side = own[m.part[own] == p]
-            if len(side):
-                side = side[np.lexsort((m.size[side], m.comp[side]))]
-                sides.append((side, SignatureTree(m.size[side].astype(np.int64), m.maps(side, bits), m.comp[side])))
-        if len(sides) == 1 and key[start[g], 1] != key[start[g], 2]:
-            continue  # the other part of the list is empty
-        (x, tree), (y, second) = sides[0], sides[-1]
-        a, b = dual(tree, second, percent, len(sides) == 1)
-        found.append((x[a], y[b]))
-    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    apart = m.comp[a] != m.comp[b]
-    a, b = a[apart], b[apart]
-    x, y, p, q = m.node[a], m.node[b], m.comp[a], m.comp[b]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "p": np.minimum(p, q), "q": np.maximum(p, q)}).drop_duplicates()
+        sides = [x[np.lexsort((m.size[x], label[which[x]]))] for x in sides]
+        grown = [SignatureTree(m.size[x].astype(np.int64), m.maps(x, bits), label[which[x]]) for x in sides[: 1 if same else 2]]
+        a, b = dual(grown[0], grown[-1], percent, same)
+        label = joined_up(len(nodes), which[sides[0][a]], which[sides[1][b]], label)
+    to = nodes[label]
+    apart = to != nodes
+    return pd.DataFrame({"a": to[apart], "b": nodes[apart]})
+
 
+def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the first one that links connect it with. Sets of part 0 meet each other where there is no part 1, else those of part 1.
 
-def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of ``nodes`` (node), along ``edges`` (a, b).
+    Exact: bitmaps of eight bits a token in signature trees choose the pairs, whole sets decide.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    both = bool(part.any())
+    label = np.arange(n)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    end = np.cumsum(size)
+    begin = end - size
+    marks = np.zeros(int(token.max()) + 1, bool)
+
+    def meet(one: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
+        others = others[label[others] != label[one]]
+        if not len(others):
+            return label
+        marks[token[begin[one] : end[one]]] = True
+        many = size[others]
+        first = np.cumsum(many) - many
+        at = np.arange(int(many.sum())) + np.repeat(begin[others] - first, many)
+        shared = np.add.reduceat(marks[token[at]], first, dtype=np.int64)
+        marks[token[begin[one] : end[one]]] = False
+        good = others[100 * shared >= percent * (size[one] + many - shared)]
+        if len(good):
+            old = np.unique(label[good])
+            least = min(int(label[one]), int(old[0]))
+            label = np.where(np.isin(label, old) | (label == label[one]), least, label)
+        return label
+
+    def met(one: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
+        for few in np.array_split(others, max(1, int(size[others].sum()) >> 22)):
+            label = meet(one, few, label)
+        return label
+
+    zero, rest = np.flatnonzero(part == 0), np.flatnonzero(part == 1) if both else np.arange(n)
+    if not len(zero) or n < 2:
+        return label
+    if n <= LEAF:
+        for x in zero.tolist():
+            label = met(x, rest if both else np.arange(x + 1, n), label)
+        return label
+    for x in {int(zero[0]), int(zero[np.argmin(size[zero])]), int(zero[np.argmax(size[zero])]), int(zero[len(zero) // 2])}:
+        label = met(x, rest[rest != x], label)
+    bits = min(MOST_BITS, 4 * bits_for(int(np.median(size))))
+    order = [x[np.lexsort((size[x], label[x]))] for x in ([zero, rest] if both else [zero])]
+    grown = [SignatureTree(size[x], np.stack([bitmap(sets[i], bits) for i in x.tolist()]), label[x]) for x in order]
+    a, b = dual(grown[0], grown[-1], percent, not both)
+    a, b = order[0][a], order[-1][b]
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    cut = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+    for i, j in zip(cut, np.append(cut[1:], len(a))):
+        label = met(int(a[i]), b[i:j], label)
+    return label
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+    """node and ``name`` (the smallest node reachable) of every node of ``edges`` (a, b).
 
     Every node takes the smallest label among its neighbours', then its label's own label, until nothing
     changes; paths halve in each round. Labels move by joins, hot nodes by partial aggregation.
@@ -284,160 +370,81 @@ def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFram
         stepped = scratch.keep(label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "stepped")
         up = stepped.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         jumped = scratch.keep(stepped.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "jumped")
-        changed = jumped.where("comp <> old").limit(1).count()
         scratch.drop(label, stepped)
-        label = jumped.select("node", "comp")
-        label.table_path = jumped.table_path
-        if not changed:
-            break
-    out = scratch.keep(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
-    scratch.drop(both, label)
-    return out
-
-
-def may_link(x: np.ndarray, s: int, y: np.ndarray, t: int, percent: int) -> bool:
-    """Whether two sets with these bitmaps and sizes may link."""
-    bits = 8 * min(len(x), len(y))
-    x, y = folded(x[None], bits)[0], folded(y[None], bits)[0]
-    need = -(-percent * (s + t) // (100 + percent))
-    return bool(COUNT[x & ~y].sum(dtype=np.int64) <= s - need and COUNT[y & ~x].sum(dtype=np.int64) <= t - need)
+        if jumped.where("comp <> old").isEmpty():
+            scratch.drop(both)
+            return jumped.select("node", F.col("comp").alias(name))
+        path, label = jumped.table_path, jumped.select("node", "comp")
+        label.table_path = path
 
 
-def verified(scratch: Scratch, pairs: DataFrame, sets, percent: int, sketch: bool = False) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; with ``sketch`` those that may link by bitmaps of eight bits a token.
+def heavy_tokens(scratch: Scratch, given: DataFrame, n: int, percent: int) -> np.ndarray:
+    """The counted tokens that are heavy, sorted: ``MOST_HEAVY`` at most."""
+    def tally(batches):
+        for batch in batches:
+            found = [s[counted(s, percent)] for s in sets_of(batch.column(0).to_pylist(), n)]
+            token, times = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times.astype(np.int64))], ["token", "n"])
+
+    sums = given.select("text").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = scratch.keep(sums.where(F.col("n") >= LEAST_HEAVY), "often")
+    floor, held = LEAST_HEAVY, 0
+    for r in often.groupBy(F.floor(F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect():  # a row for each power of two
+        held += r["count"]
+        if held > MOST_HEAVY:
+            floor = 1 << (r["k"] + 1)
+            break
+    found = np.sort(often.where(F.col("n") >= floor).select("token").toPandas()["token"].to_numpy(np.int64))
+    scratch.drop(often)
+    return found
 
-    For each pair the set of ``a`` moves once, to that of ``b``; a ``b`` of many pairs is salted. ``sets`` turns
-    rows (node, mate, salt, hub) into the same with tokens or a map and the size, made anew from the texts.
-    """
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
-    spokes = pairs.join(salts, "b").select(F.col("a").alias("node"), F.col("b").alias("mate"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("hub"))
-    hubs = salts.select(F.col("b").alias("node"), F.col("b").alias("mate"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
 
-    def check(batches):
-        at, y, most = None, None, 0
-        for pdf in batches:
-            out = []
-            for node, mate, salt, hub, x, size in zip(pdf["node"], pdf["mate"], pdf["salt"], pdf["hub"], pdf["own"], pdf["size"]):
-                x = np.frombuffer(x, np.uint8 if sketch else np.uint64)  # sets are in the order of unsigned numbers
-                if hub:
-                    at, y, most = (mate, salt), x, size
-                elif at != (mate, salt):
-                    continue
-                elif sketch:
-                    if may_link(x, size, y, most, percent):
-                        out.append((node, mate))
-                else:
-                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        out.append((node, mate))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    met = sets(spokes.unionByName(hubs), sketch).repartition("mate", "salt").sortWithinPartitions("mate", "salt", F.desc("hub"))
-    return scratch.keep(met.mapInPandas(check, "a long, b long"), "links")
+def dealt(rows: DataFrame, parts: str) -> DataFrame:
+    """``rows`` (node, k parts) once for each pair of parts i <= j that theirs is in; ``part`` 1 is the second of two."""
+    own = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))
+    own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    return own.withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q")).withColumn("part", (F.col("p") > F.col("q")).cast("int")).drop("p", "q", parts)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """``id_col``, n_shingles, component_id (smallest id reachable by links, itself included) of every row.
 
     Two documents link when 100 * shared >= ``percent`` * (size of both together). Null, empty and wordless
-    texts have no shingles and link with nothing. A null id takes no part and has a null component. Repeated
-    rows are rows of one class. No rows give no rows.
+    texts have no shingles and link with nothing. Ids may be of any ordered type; a null id takes no part and
+    has a null component. Repeated rows are rows of one class, very long texts are sets like others. Extra
+    columns are left out, whatever their names. No rows give no rows.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    floor = max(LEAST_HEAVY, given.count() // RARE)
-
-    def tally(batches):
-        for pdf in batches:
-            found = [s[counted(s, percent)] for _, s in in_batches(pdf, n)]
-            token, times = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pd.DataFrame({"token": token, "n": times})
-
-    often = given.mapInPandas(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    heavy = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64))
-
-    def heads_of(batches):
-        seen: set[int] = set()
-        for pdf in batches:
-            out = []
-            for _, s in in_batches(pdf, n):
-                h = set_hash(s)
-                new = len(s) and h not in seen
-                if new and len(seen) < 1_000_000:
-                    seen.add(h)
-                out.append((h, len(s), prefix(s, heavy, percent) if new else None, bitmap(s, bits_for(len(s))).tobytes() if new else None))
-            done = pd.DataFrame(out, columns=["node", "size", "prefix", "map"])
-            done.insert(0, "id", pdf["id"].values)
-            yield done
-
-    wide = scratch.keep(given.mapInPandas(heads_of, "id long, node long, size int, prefix array<long>, map binary"), "wide")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    heavy = spark.sparkContext.broadcast(heavy_tokens(scratch, given, n, percent))
+    seen: set[int] = set()  # of each Python worker
+
+    def heads_of(texts):
+        node, size, first, maps = [], [], [], []
+        for s in sets_of(texts, n):
+            h = set_hash(s)
+            new = len(s) and h not in seen
+            if new and len(seen) < REMEMBERED:
+                seen.add(h)
+            node.append(h)
+            size.append(len(s))
+            first.append(prefix(s, heavy.value, percent) if new else None)
+            maps.append(bitmap(s, bits_for(len(s))).tobytes() if new else None)
+        yield None, {"node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64())), "map": pa.array(maps, pa.binary())}
+
+    wide = scratch.keep(map_texts(given, heads_of, "node long, size int, prefix array<long>, map binary"), "wide")
     classes = scratch.keep(wide.where("size > 0 and id is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
     heads = wide.where("prefix is not null").dropDuplicates(["node"]).join(classes.select("node"), "node", "left_semi")
     heads = scratch.keep(heads.select("node", "size", "prefix", "map"), "heads")
     rows = scratch.keep(wide.select("id", "node", "size"), "rows")
     scratch.drop(wide)
-    entries = heads.select("node", "size", F.posexplode("prefix").alias("place", "token"))
+
+    # the lists of the first tokens; long ones as pairs of parts
+    entries = heads.select("node", "size", F.explode("prefix").alias("token"))
     counts = scratch.keep(entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"), "counts")
-    shared = scratch.keep(entries.join(counts, "token"), "shared")
-    lists = shared.where(F.col("place") < LEADS).groupBy("token").agg(F.min("node").alias("leader"), F.min_by("node", "size").alias("shortest"), F.max_by("node", "size").alias("longest"))
-    lists = scratch.keep(lists, "lists")
-
-    def sets(asked: DataFrame, sketch: bool) -> DataFrame:
-        # a text goes to Python once for about MATES of its node's rows, whatever their number
-        parts = asked.groupBy("node").agg(F.ceil(F.count("*") / MATES).alias("parts"))
-        lot = F.pmod(F.xxhash64("mate", "salt", "hub"), F.col("parts")).alias("lot")
-        met = asked.join(parts, "node").groupBy("node", lot).agg(F.collect_list(F.struct("mate", "salt", "hub")).alias("mates"))
-        few = scratch.keep(met.join(classes, "node").select(F.col("first").alias("id"), "node", "mates"), "asked")
-        side = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
-
-        def sets_of(batches):
-            for pdf in batches:
-                node, mates, (out, weight) = pdf["node"].to_numpy(), pdf["mates"], ([], 0)
-                for r, x in in_batches(pdf, n):
-                    if set_hash(x) != node[r]:
-                        continue  # another row with the id of the class's first
-                    own = (bitmap(x, min(MOST_BITS, 4 * bits_for(len(x)))) if sketch else x).tobytes()
-                    for m in mates.iloc[r]:
-                        out.append((node[r], m["mate"], m["salt"], m["hub"], own, len(x)))
-                        weight += len(own)
-                        if weight > SLICE:
-                            yield pd.DataFrame(out, columns=["node", "mate", "salt", "hub", "own", "size"])
-                            out, weight = [], 0
-                if out:
-                    yield pd.DataFrame(out, columns=["node", "mate", "salt", "hub", "own", "size"])
-
-        return given.join(side, "id").mapInPandas(sets_of, "node long, mate long, salt int, hub boolean, own binary, size int")
-
-    def through(batches):
-        for pdf in batches:
-            m = Members(pd.DataFrame({"node": np.append(pdf["a"], pdf["b"]), "size": np.append(pdf["size_a"], pdf["size_b"]), "comp": np.arange(2 * len(pdf)), "part": 0, "map": np.append(pdf["map_a"], pdf["map_b"])}))
-            good = m.linkable(np.arange(len(pdf)), np.arange(len(pdf)) + len(pdf), percent)
-            yield pdf[["a", "b"]][good]
-
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
-        return scratch.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b").select("a", "b"), "apart")
-
-    # near copies fold: each class meets three classes of the lists of its first tokens, one of them first and the
-    # others if that leaves them in another component
-    star = shared.where(F.col("place") < LEADS).join(lists, "token").select("node", F.explode(F.array_distinct(F.array("leader", "shortest", "longest"))).alias("to")).where("node <> to").distinct()
-    maps = heads.select("node", "size", "map")
-    with_maps = star.toDF("a", "b").join(maps.toDF("a", "size_a", "map_a"), "a").join(maps.toDF("b", "size_b", "map_b"), "b").where((100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")))
-    pairs = scratch.keep(with_maps.mapInPandas(through, "a long, b long"), "star")
-    once = scratch.keep(pairs.groupBy("a").agg(F.min("b").alias("b")), "once")
-    near = verified(scratch, once, sets, percent)
-    comps = components(scratch, heads, near)
-    more = apart(pairs.join(once, ["a", "b"], "left_anti"), comps)
-    if not more.isEmpty():
-        near = near.unionByName(verified(scratch, more, sets, percent))
-        comps = components(scratch, heads, near)
-
-    # trees over the lists that still hold more than one component; long lists as pairs of parts
-    held = scratch.keep(shared.select("token", "node", "length").join(comps, "node"), "held")
-    scratch.drop(shared, counts, lists, pairs)
-    mixed = scratch.keep(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "mixed")
-    live = held.join(mixed, "token").withColumn("k", F.ceil(F.col("length") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    live = live.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("token", "node", "comp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("part"))
+    shared = scratch.keep(dealt(entries.join(counts, "token").withColumn("k", F.ceil(F.col("length") / PART).cast("int")).drop("length"), "k"), "shared")
+    lists = shared.join(heads.select("node", "map"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def search(batches):
         rest = None
@@ -447,23 +454,58 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             cut = len(pdf) - int(np.argmax((last[::-1] != last[-1]).any(1))) if len(pdf) and (last != last[-1]).any() else 0
             rest = pdf.iloc[cut:].reset_index(drop=True)
             if cut:
-                yield list_pairs(pdf.iloc[:cut].reset_index(drop=True), percent)
+                yield connected(pdf.iloc[:cut].reset_index(drop=True), percent)
         if rest is not None and len(rest):
-            yield list_pairs(rest, percent)
-
-    sorted_lists = live.join(maps, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    crossed = scratch.keep(sorted_lists.mapInPandas(search, "a long, b long, p long, q long").distinct(), "crossed")
-    # one pair for each two components first; then the pairs that are still in different ones
-    tried = scratch.keep(crossed.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b"), "tried")
-    far = verified(scratch, verified(scratch, tried, sets, percent, True), sets, percent)
-    links = near.unionByName(far)
-    comps = components(scratch, heads, links)
-    rest = apart(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), comps)
-    if not rest.isEmpty():
-        comps = components(scratch, heads, links.unionByName(verified(scratch, verified(scratch, rest, sets, percent, True), sets, percent)))
+            yield connected(rest, percent)
+
+    close = scratch.keep(lists.mapInPandas(search, "a long, b long").distinct(), "close")
+    family = components(scratch, close, "family")
+    scratch.drop(counts, shared, close)
+
+    # each family's sets meet once, in parts of a bounded size
+    members = family.join(heads.select("node", "size"), "node").join(classes, "node").select("node", "family", "size", F.col("first").alias("id"))
+    shares = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / SHARE, F.sum("size") / SHARE_TOKENS)).cast("int").alias("k"))
+    asked = scratch.keep(members.join(shares, "family").select("id", "node", "family", "k"), "asked")
+    sent: set[int] = set()  # of each Python worker
+
+    def sets_again(batches):
+        for batch in batches:
+            node = batch.column("node").to_pylist()
+            at, own, weight = [], [], 0
+            for r, s in enumerate(sets_of(batch.column("text").to_pylist(), n)):
+                if set_hash(s) != node[r] or node[r] in sent:
+                    continue  # another row with the id of the class's first
+                if len(sent) < REMEMBERED:
+                    sent.add(node[r])
+                at.append(r)
+                own.append(s.tobytes())
+                weight += len(own[-1])
+                if weight > SLICE:
+                    yield taken(batch, at, own)
+                    at, own, weight = [], [], 0
+            if at:
+                yield taken(batch, at, own)
+
+    def taken(batch, at, own):
+        few = batch.select(["node", "family", "k"]).take(pa.array(at, pa.int32()))
+        return pa.RecordBatch.from_arrays([*few.columns, pa.array(own, pa.binary())], ["node", "family", "k", "own"])
+
+    met = given.join(sized(asked), "id").select("text", "node", "family", "k").mapInArrow(sets_again, "node long, family long, k int, own binary")
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        node = pdf["node"].to_numpy()
+        part = pdf["part"].to_numpy()
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0] and not part.any():
+            return pd.DataFrame({"a": node[:0], "b": node[:0]})  # the other part is empty
+        to = node[linked([np.frombuffer(x, np.int64) for x in pdf["own"]], part, percent)]
+        return pd.DataFrame({"a": to[to != node], "b": node[to != node]})
+
+    links = scratch.keep(dealt(met, "k").groupBy("family", "i", "j").applyInPandas(resolve, "a long, b long"), "links")
+    comps = components(scratch, links, "comp")
 
     first = scratch.keep(comps.join(classes, "node"), "firsts")
     named = scratch.keep(first.join(first.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "component_id"), "named")
-    out = rows.select("id", "node", "size").join(named, "node", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("size") > 0, F.col("component_id")), F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
+    alone = rows.join(classes, "node", "left").join(named, "node", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("size") > 0, F.coalesce("component_id", "first")), F.col("id")))
+    return alone.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))

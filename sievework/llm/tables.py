@@ -1,19 +1,23 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and narrow jobs over texts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are broadcast at most, counted before; a shuffled join serves beyond.
+MOST_BROADCAST = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors must share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="sievework-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -43,3 +47,35 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.table_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Broadcast if it has at most ``most`` rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+Made = Iterator[tuple[list[int] | None, dict]]
+
+
+def map_texts(rows: DataFrame, run: Callable[[list[str]], Made], fields: str, text_col: str = "text") -> DataFrame:
+    """``rows`` without ``text_col``, with the columns ``fields`` that ``run`` makes of the texts. A narrow job.
+
+    ``run`` takes a batch's texts, null ones as empty, and yields positions (none: the texts next in turn, one
+    row each) with columns of as many values. The other columns stay in Arrow, so that every id, null ones and
+    those beyond 2 ** 53 among them, comes out as it went in.
+    """
+    rest = [f.name for f in rows.schema if f.name != text_col]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
+
+    def over(batches):
+        for batch in batches:
+            turn = 0
+            for at, made in run([t or "" for t in batch.column(text_col).to_pylist()]):
+                if at is None:
+                    at = range(turn, turn + len(next(iter(made.values()))))
+                    turn = at.stop
+                few = [batch.column(c).take(pa.array(list(at), pa.int64())) for c in rest]
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]
+                yield pa.RecordBatch.from_arrays([*few, *arrays], [*rest, *made])
+
+    return rows.mapInArrow(over, ", ".join([*kinds, fields]))

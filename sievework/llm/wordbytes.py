@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Odd, so that it has an inverse modulo 2**64.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: A random number for each byte at each of the first places of a word: words up to so long are hashed by their
+#: sums (simple tabulation), which two different words share with a chance of 2 ** -64; longer ones by BLAKE2.
+PLACES = 32
+TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES * 256 + PLACES + 1, np.uint64)
 #: The six white-space bytes: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _grown(powers: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
-    while len(powers) < n:
-        powers = np.concatenate([powers, powers * (powers[-1:] * base)])
-    return powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -41,13 +33,19 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes, equal hashes, wherever they stand."""
-    global _powers, _inverses
-    n = len(data) + 1
-    _powers, _inverses = _grown(_powers, BASE, n), _grown(_inverses, INVERSE, n)
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: n - 1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte range; equal bytes, equal hashes, wherever they stand. The ranges don't overlap."""
+    size = ends - starts
+    short = size <= PLACES
+    begin, many = starts[short], size[short]
+    total = np.concatenate([[0], np.cumsum(many)])
+    place = np.arange(total[-1]) - np.repeat(total[:-1], many)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(TABLE[place * 256 + data[place + np.repeat(begin, many)]], out=sums[1:])
+    out = np.empty(len(starts), np.uint64)
+    out[short] = mix(sums[total[1:]] - sums[total[:-1]] + TABLE[PLACES * 256 + many])
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
