@@ -35,7 +35,7 @@ COUNTED, LEAST_HEAVY, MOST_HEAVY = 2.5, 24, 1 << 19
 #: Members of a token's list that one task takes at most; longer lists are dealt as pairs of parts.
 PART = 1024
 #: Members and tokens of a family's part.
-SHARE, SHARE_TOKENS = 2048, 1 << 20
+SHARE, SHARE_TOKENS = 2048, 1 << 22
 #: Members of a leaf, and nodes below an inner node.
 LEAF, FAN = 16, 8
 #: Bits of a bitmap: two for each token at least, a power of two within these.
@@ -293,7 +293,9 @@ def connected(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         sides = [x[np.lexsort((m.size[x], label[which[x]]))] for x in sides]
         grown = [SignatureTree(m.size[x].astype(np.int64), m.maps(x, bits), label[which[x]]) for x in sides[: 1 if same else 2]]
         a, b = dual(grown[0], grown[-1], percent, same)
-        label = joined_up(len(nodes), which[sides[0][a]], which[sides[1][b]], label)
+        a, b = sides[0][a], sides[-1][b]
+        good = m.linkable(a, b, percent)  # by each pair's own bits, where the tree's are those of the smallest member
+        label = joined_up(len(nodes), which[a[good]], which[b[good]], label)
     to = nodes[label]
     apart = to != nodes
     return pd.DataFrame({"a": to[apart], "b": nodes[apart]})
@@ -442,7 +444,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     # the lists of the first tokens; long ones as pairs of parts
     entries = heads.select("node", "size", F.explode("prefix").alias("token"))
-    counts = scratch.keep(entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"), "counts")
+    sums = entries.groupBy("token").agg(F.count("*").alias("length"), F.min("size").alias("least"), F.max("size").alias("most"))
+    able = (F.col("length") > 2) | ((F.col("length") == 2) & (100 * F.col("least") >= percent * F.col("most")))
+    counts = scratch.keep(sums.where(able).select("token", "length"), "counts")
     shared = scratch.keep(dealt(entries.join(counts, "token").withColumn("k", F.ceil(F.col("length") / PART).cast("int")).drop("length"), "k"), "shared")
     lists = shared.join(heads.select("node", "map"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
