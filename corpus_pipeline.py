@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import jaccard, packing, pii, quality, toxicity
-from sievework.llm.tables import Scratch
+from sievework.llm.tables import Scratch, sized, unused
 from sievework.shipping import ship
 
 
@@ -24,14 +24,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are more likely good than low, by their text and their site."""
     ship(spark)
-    return quality.judge(docs, _labels(spark, sf_dir)).where("keep").select(*docs.columns)
+    made = tuple(unused(docs.columns, "evidence", "prior", "p_low", "keep"))
+    return quality.judge(docs, _labels(spark, sf_dir), made=made).where(F.col(made[3])).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a toxicity score under one half."""
     ship(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    made = unused(docs.columns, "score", "predicted")
+    return toxicity.score(docs, model, score_col=made[0], predicted_col=made[1]).where(F.col(made[1]) == 0).select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +47,10 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     joined = scratch.keep(jaccard.join(docs, n=5, percent=80).select("doc_id", "component_id"))
     goes = scratch.keep(joined.where("component_id <> doc_id").select("doc_id").distinct())
     again = scratch.keep(joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(quality.sized(goes, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(sized(goes), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    once = quality.sized(again, 1_000_000)
+    once = sized(again)
     return kept.join(once, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 

@@ -6,12 +6,13 @@ greedy longest match proposes tokens for each new word, numpy tests all adjacent
 together, and only the words with a failing pair go through the merges one by one.
 
 Words are encoded once per Python worker and kept, up to ``CACHE`` words, by a 64-bit hash of their
-bytes or by their text.
+bytes (two of a million words share one with a chance of about 3e-8) or by their text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import json
 import re
@@ -20,13 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_texts
 from .wordbytes import hashes
 
-CACHE = 1_000_000
+#: Words and ids that a worker keeps.
+CACHE, CACHE_IDS = 1_000_000, 1 << 25
 #: White space as the tokenizer's pattern means it, then the pattern itself.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -186,19 +190,26 @@ class SpeculativeBpe(IdStore):
         return good
 
     def merged(self, word: bytes) -> list[int]:
-        """The exact merges, lowest rank first."""
+        """The exact merges, lowest rank first and of equal ones the leftmost, from a heap of neighbouring pairs."""
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, place, made = len(ranks), -1, -1
-            for i in range(len(parts) - 1):
-                found = ranks.get((parts[i], parts[i + 1]))
-                if found and found[0] < best:
-                    best, place, made = found[0], i, found[1]
-            if place < 0:
-                break
-            parts[place : place + 2] = [made]
-        return parts
+        n, ranks = len(parts), self.ranks
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(*found, i, i + 1, parts[i], parts[i + 1]) for i in range(n - 1) if (found := ranks.get((parts[i], parts[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, made, i, j, x, y = heapq.heappop(heap)
+            if after[i] != j or parts[i] != x or parts[j] != y:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = made, -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if found := ranks.get((made, parts[k])):
+                    heapq.heappush(heap, (*found, i, k, made, parts[k]))
+            h = before[i]
+            if h >= 0 and (found := ranks.get((parts[h], made))):
+                heapq.heappush(heap, (*found, h, i, parts[h], made))
+        return [x for x in parts if x >= 0]
 
     def learn(self, keys: list, words: list[bytes]) -> None:
         """Encodes words that aren't known yet."""
@@ -247,7 +258,7 @@ class SpeculativeBpe(IdStore):
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
-        if self.size > CACHE:
+        if self.size > CACHE or len(self.flat) > CACHE_IDS:
             self.forget()
         simple = [bool(SIMPLE.fullmatch(t)) and not any(k in t for k in self.special) for t in texts]
         quick = iter(self.encode_simple([t.encode() for t, s in zip(texts, simple) if s]) if any(simple) else ())
@@ -281,48 +292,43 @@ def blocks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, list[st
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """``id_col``, ``ids array<int>`` of every row; a null text is an empty one. Extra columns are left out."""
-    def run(batches):
+    """``id_col``, ``ids array<int>`` of every row; a null text is an empty one. Extra columns are left out, whatever their names."""
+    def run(texts):
         bpe = loaded(vocab or public_tokenizers.path(name))
-        for pdf in batches:
-            for first, texts in blocks(pdf["text"].tolist()):
-                ids = bpe.encode_batch(texts)
-                yield pd.DataFrame({"id": pdf["id"].iloc[first : first + len(texts)].values, "ids": [x.astype(np.int32) for x in ids]})
+        for _, few in blocks(texts):
+            yield None, {"ids": pa.array([x.astype(np.int32) for x in bpe.encode_batch(few)], pa.list_(pa.int32()))}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
     """``id_col``, ``text`` of every row of ids; null or no ids give an empty text."""
     def run(batches):
         bpe = loaded(vocab or public_tokenizers.path(name))
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "text": [bpe.decode(np.asarray(x)) for x in pdf["ids"]]})
+        for batch in batches:
+            texts = [bpe.decode(np.asarray(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    given = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return given.mapInPandas(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    given = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return given.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
     """Encodes and decodes every whole text, and returns digests of both: id, n_tokens, ids_sha256, decoded_sha256.
 
-    A narrow job without a shuffle. Null texts count as empty (no ids); repeated rows give repeated results.
+    A narrow job without a shuffle. Null texts count as empty (no ids), null ids stay null, repeated rows give
+    repeated results, no rows give none. Extra columns are left out, whatever their names.
     """
-    def run(batches):
+    def run(texts):
         bpe = loaded(vocab or public_tokenizers.path(name))
-        for pdf in batches:
-            for first, texts in blocks(pdf["text"].tolist()):
-                ids = bpe.encode_batch(texts)
-                yield pd.DataFrame({
-                    "id": pdf["id"].iloc[first : first + len(texts)].values,
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
-                })
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+        for _, few in blocks(texts):
+            ids = bpe.encode_batch(few)
+            yield None, {
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
+            }
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_texts(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_texts
+
 #: Fixed values of the format: boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 CODEC = b"raw "
@@ -152,15 +154,16 @@ def feature(found: dict) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes, media: every whole text in a container of its own; a null text is an empty one."""
-    def run(batches):
-        for pdf in batches:
-            raw = [t.encode() for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(x) for x in raw], "media": [contain(padded(x)) for x in raw]})
+    """``id_col``, n_bytes, media: every whole text in a container of its own; a null text is an empty one.
+
+    Null and repeated ids are rows like others, no rows give none. Extra columns are left out, whatever their names.
+    """
+    def run(texts):
+        for t in texts:
+            raw = t.encode()
+            yield None, {"n_bytes": pa.array([len(raw)], pa.int64()), "media": pa.array([contain(padded(raw))], pa.binary())}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def inspect(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -168,43 +171,46 @@ def inspect(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     Null, empty and malformed files give nulls. No payload is decoded.
     """
+    keyframes = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for m in pdf["media"]:
+            for m in batch.column("media"):
                 try:
-                    f = walk(bytes(m)) if m is not None else None
+                    f = walk(m.as_py()) if m.is_valid else None
                 except (struct.error, ValueError, IndexError, KeyError):
                     f = None
                 k = f and f["keyframes"]
                 out.append((f["codec"], f["duration"] / max(1, f["timescale"]), len(f["sizes"]), [{"start": int(a), "length": int(b)} for a, b in zip(f["offsets"][k], f["sizes"][k])]) if f else (None,) * 4)
-            done = pd.DataFrame(out, columns=["codec", "duration", "samples", "keyframes"]).astype({"samples": "Int64"})
-            done.insert(0, "id", pdf["id"].values)
-            yield done
+            columns = zip(*out) if out else ((),) * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), keyframes))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "codec", "duration", "samples", "keyframes"])
 
     kind = media.schema[id_col].dataType.simpleString()
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInPandas(run, f"id {kind}, codec string, duration double, samples long, keyframes array<struct<start: long, length: long>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, codec string, duration double, samples long, keyframes array<struct<start: long, length: long>>").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each text, reads the stored bytes back through the sample tables, and returns digests of both.
 
-    A narrow job: the container lives only within its row's turn. Equal texts give equal values.
+    A narrow job: the container lives only within its row's turn. Equal texts give equal values. A null text is
+    an empty one; null and repeated ids are rows like others. Extra columns are left out, whatever their names.
     """
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                raw = t.encode()
-                media = contain(padded(raw))
-                found = walk(media)
-                back = read_samples(media, found)
-                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)))
-            done = pd.DataFrame(out, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            done.insert(0, "id", pdf["id"].values)
-            yield done
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def of(text: str) -> tuple:
+        raw = text.encode()
+        media = contain(padded(raw))
+        found = walk(media)
+        back = read_samples(media, found)
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)
+
+    def run(texts):
+        columns = zip(*map(of, texts)) if texts else ((),) * len(names)
+        yield None, {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)}
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_texts(rows, run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

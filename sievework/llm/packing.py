@@ -19,11 +19,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IdStore, blocks, distinct
-from .tables import Scratch
+from .bpe import CACHE_IDS, IdStore, blocks, distinct
+from .tables import Scratch, map_texts
 from .wordbytes import hashes
 
 CAPACITY = 2048
@@ -73,7 +74,7 @@ class WordTokens(IdStore):
             self.add(keys, [x.tolist() for x in np.split(ids, ends[:-1])])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if self.size > CACHE:
+        if self.size > CACHE or len(self.flat) > CACHE_IDS:
             self.forget()
         simple = [bool(SIMPLE.fullmatch(t)) and "<|" not in t for t in texts]
         raw = [t.encode() for t, s in zip(texts, simple) if s]
@@ -105,31 +106,27 @@ def loaded(path: str) -> WordTokens:
     return _loaded[path]
 
 
-PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-
-
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, name: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text's tokens and one closing ``end_id``.
 
-    A narrow job. A null text is an empty one, whose only token is the closing one.
+    A narrow job. A null text is an empty one, whose only token is the closing one. Ids may be of any type;
+    null and repeated ids are rows like others. Extra columns are left out, whatever their names.
     """
-    def run(batches):
+    def run(texts):
         tokens = loaded(vocab or public_tokenizers.path(name))
-        for pdf in batches:
-            out = []
-            ids = pdf["id"].tolist() if pdf["id"].dtype == object else pdf["id"].to_numpy()
-            for first, texts in blocks(pdf["text"].tolist()):
-                for i, x in enumerate(tokens.encode_batch(texts), first):
-                    x = np.append(x, end_id).astype("<u4")
-                    for k in range(0, len(x), capacity):
-                        part = x[k : k + capacity]
-                        out.append((ids[i], k // capacity, k, len(part), zlib.crc32(part.tobytes())))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, PIECES.format(kind=kind))
+        for first, few in blocks(texts):
+            at, out = [], []
+            for i, x in enumerate(tokens.encode_batch(few), first):
+                x = np.append(x, end_id).astype("<u4")
+                for k in range(0, len(x), capacity):
+                    part = x[k : k + capacity]
+                    at.append(i)
+                    out.append((k // capacity, k, len(part), zlib.crc32(part.tobytes())))
+            piece, start, length, crc = zip(*out)
+            yield at, {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(rows, run, "piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -243,12 +240,14 @@ def _epoch(rows: DataFrame, capacity: int, first: bool, epoch: int) -> DataFrame
 def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = 3000, demes: int = 2, rounds: int = 2) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Lengths are 1 to ``capacity``. Every row is placed once, repeated rows too; no rows give no rows. A
-    sequence is filled gaplessly from 0. Ties are settled by doc_id, piece and checksum. ``rounds`` times
+    Lengths are 1 to ``capacity``. Every row is placed once, repeated rows and those without an id too; no rows
+    give no rows. A sequence is filled gaplessly from 0. Ties are settled by doc_id, piece and checksum. ``rounds`` times
     the bins under 99.5 % are dissolved and dealt into blocks with others' before the last epoch stands.
     """
     scratch = Scratch(parts.sparkSession, "packing")
-    rows = scratch.keep(parts, "pieces")
+    kind = parts.schema["doc_id"].dataType
+    # as text on its way through pandas, where a null beside it would turn a number into a float
+    rows = scratch.keep(parts.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32"), "pieces")
     done = []
     for r in range(rounds + 1):
         n = max(1, -(-rows.count() // block))
@@ -269,7 +268,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = 3000, demes: i
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
-    return in_sequence(placed.drop("block", "bin"))
+    return in_sequence(placed.drop("block", "bin").withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
 def in_sequence(placed: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, unused
+from .tables import sized as sized_to
 
 #: Characters that mark up or decorate, and a word of upper-case letters.
 SYMBOLS = "#$%&*|<>{}~^\\"
@@ -93,29 +94,31 @@ def fit(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col:
 
 def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """Broadcast if it has at most ``most`` rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+    return sized_to(df, most)
 
 
-def score(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """Every row with evidence (log ratio), prior and p_low. A host or path without labels has the prior of what is above it.
+def score(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", made: tuple[str, str, str] = ("evidence", "prior", "p_low")) -> DataFrame:
+    """Every row with evidence (log ratio), prior and p_low, named by ``made``. A host or path without labels has the prior of what is above it.
 
-    A null text counts as empty. Texts aren't shuffled while the sites fit a broadcast.
+    A null text counts as empty. Columns of ``docs`` that have the names of the new ones give way to them; all
+    others stay. Texts aren't shuffled while the sites fit a broadcast.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    made = features(text)
-    evidence = sum((F.element_at(F.array(*map(F.lit, model.ratios[k])), bin_of(made[k]) + 1) for k in FEATURES), F.lit(0.0))
-    rows = docs.drop("evidence", "prior", "p_low").withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_path", F.coalesce(path, F.lit("")))
-    rows = rows.withColumn("evidence", evidence)
-    hosts = model.hosts.withColumnRenamed("host", "_host")
-    paths = model.paths.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
-    rows = rows.join(sized(paths), ["_host", "_path"], "left").join(sized(hosts), "_host", "left")
-    prior = F.coalesce("path_prior", "host_prior", F.lit(model.prior))
-    z = F.col("evidence") + F.log(prior / (1 - prior))
-    return rows.withColumn("prior", prior).withColumn("p_low", 1 / (1 + F.exp(-z))).drop("_host", "_path", "path_prior", "host_prior")
-
-
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """All columns of ``docs``, evidence, prior, p_low and keep (p_low below ``threshold``). Without labels all is kept."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found = features(text)
+    evidence = sum((F.element_at(F.array(*map(F.lit, model.ratios[k])), bin_of(found[k]) + 1) for k in FEATURES), F.lit(0.0))
+    h, p, above, own = unused([*docs.columns, *made], "host", "path", "host_prior", "path_prior")
+    rows = docs.drop(*made).withColumn(h, F.coalesce(host, F.lit(""))).withColumn(p, F.coalesce(path, F.lit("")))
+    rows = rows.withColumn(made[0], evidence)
+    hosts = model.hosts.toDF(h, above)
+    paths = model.paths.toDF(h, p, own)
+    rows = rows.join(sized(paths), [h, p], "left").join(sized(hosts), h, "left")
+    prior = F.coalesce(own, above, F.lit(model.prior))
+    z = F.col(made[0]) + F.log(prior / (1 - prior))
+    return rows.withColumn(made[1], prior).withColumn(made[2], 1 / (1 + F.exp(-z))).drop(h, p, above, own)
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, made: tuple[str, str, str, str] = ("evidence", "prior", "p_low", "keep")) -> DataFrame:
+    """All columns of ``docs``, and evidence, prior, p_low and keep (p_low below ``threshold``), named by ``made``. Without labels all is kept."""
     model = fit(docs, labels, F.col(host_col), F.col(path_col), id_col, text_col)
-    rows = score(docs.drop("keep"), model, F.col(host_col), F.col(path_col), text_col)
-    return rows.withColumn("keep", F.col("p_low") < threshold)
+    rows = score(docs.drop(made[3]), model, F.col(host_col), F.col(path_col), text_col, made[:3])
+    return rows.withColumn(made[3], F.col(made[2]) < threshold)

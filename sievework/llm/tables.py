@@ -54,6 +54,18 @@ def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 Made = Iterator[tuple[list[int] | None, dict]]
 
 

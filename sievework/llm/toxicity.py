@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_texts, unused
 from .wordbytes import chunks, hashes, joined, mix, runs
 
 #: Bytes of the n-grams, spaces among them.
@@ -197,19 +197,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(by[1], by[0], counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); a null text is an empty one. A narrow job."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema if f.name not in ('score', 'predicted'))}, score double, predicted int"
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """Every row with its score (0 to 1) and prediction (1 from 0.5 on); a null text is an empty one. A narrow job.
 
-    def run(batches):
-        for pdf in batches:
-            found = evidence([lowered(t) for t in pdf[text_col]], model)
-            z = np.clip(features(found) @ model.weights, -30, 30)
-            pdf["score"] = 1 / (1 + np.exp(-z))
-            pdf["predicted"] = (pdf["score"] >= 0.5).astype(np.int32)
-            yield pdf
+    Columns of ``docs`` that have the names of the two new ones give way to them; all others come out as they
+    went in, null and repeated ids too.
+    """
+    again = unused([*docs.columns, score_col, predicted_col], "text")[0]
+    rows = docs.drop(score_col, predicted_col).withColumn(again, F.col(f"`{text_col}`"))
+
+    def run(texts):
+        z = np.clip(features(evidence([lowered(t) for t in texts], model)) @ model.weights, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        yield None, {score_col: p, predicted_col: (p >= 0.5).astype(np.int32)}
 
-    return docs.drop("score", "predicted").mapInPandas(run, schema)
+    return map_texts(rows, run, f"`{score_col}` double, `{predicted_col}` int", again)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:

@@ -121,14 +121,14 @@ def usable(vec) -> F.Column:
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, factor: float = 1.0, shard: int = 4096, block: int = 2048, leaf: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row for which ``is_query`` holds.
 
-    Null and repeated ids: null ids take no part; of rows with the same id each is a candidate. All vectors
-    have one length. Ties go to the smaller id. Fewer candidates than k give them all; no rows give none.
+    Null ids and ids that aren't whole numbers take no part; of rows with the same id each is a candidate.
+    Vectors of other lengths than a query's are no candidates of it. Ties go to the smaller id. Fewer candidates than k give them all; no rows give none.
     Every shard meets every block of queries: with S shards and B blocks, vectors are copied B times and
     queries S times, and a task holds one shard and one block.
     """
     scratch = Scratch(vectors.sparkSession, "vptree")
     vec = F.col(vec_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(F.col(id_col).try_cast("long").alias("id"), vec.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = scratch.keep(rows, "vectors")
     n, asked, most = rows.agg(F.count("*"), F.count_if("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     shards, parts = max(1, -(-n // shard)), max(1, -(-asked // block))
@@ -149,6 +149,6 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
         row, ids, scores = search(build(points, leaf), points, mine["id"].to_numpy(np.int64), x, wide, q, y, k, factor)
         return pd.DataFrame({"query_id": q[row], "vec_id": ids, "score": scores})
 
-    found = index.unionByName(asks).groupBy("shard", "part").applyInPandas(run, "query_id long, vec_id long, score double")
+    found = index.unionByName(asks).groupBy("shard", "part", F.size("v").alias("dims")).applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
