@@ -29,6 +29,8 @@ TOKEN = r"(?<!\S)(?:[+(]*[0-9][0-9().+/\-]*(?:\x20[(]?[0-9][0-9().+/\-]*)++(?=[\
 OPEN, CLOSE = "\"'([{<", ".,;:!?\"')]}>"
 #: What a candidate that isn't a seed must have to be an identifier: characters, and digits or an at sign.
 LEAST_LENGTH, LEAST_DIGITS = 5, 2
+#: Characters beside a candidate in which its context words are sought.
+REACH = 200
 #: Weight of doubt in a pattern's confidence, in tokens; rounds of scoring; scores from which patterns and tokens count.
 DOUBT, ROUNDS, GOOD_PATTERN, GOOD_TOKEN = 3.0, 3, 0.5, 0.8
 SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -42,24 +44,34 @@ def quoted(pattern: str) -> str:
 BLOCK = 256
 
 
-def matches(text: str, pattern: str) -> str:
-    """SQL for the leftmost matches of a pattern that don't overlap, as structs of start, end (code points) and match.
+def pieces(text: str, pattern: str) -> str:
+    """SQL for the text before each match of a pattern, and what is left at the end, with the match (null at the end)."""
+    p = quoted(pattern)
+    return f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
+
+
+def placed(z: str) -> str:
+    """SQL for the matches among ``pieces`` as structs of start, end (code points) and match.
 
-    The text between matches and the matches alternate, so their lengths give the places: within blocks first,
-    then the blocks' own places are added, since an array that grows by one is copied each time.
+    The pieces' lengths give the places: within blocks first, then the blocks' own places are added, since an
+    array that grows by one is copied each time.
     """
-    p = quoted(pattern)
     block = (
-        f"aggregate(slice(z, b + 1, {BLOCK}), named_struct('at', 0, 'out', cast(array() as {SPANS})), "
+        f"aggregate(slice({z}, b + 1, {BLOCK}), named_struct('at', 0, 'out', cast(array() as {SPANS})), "
         "(a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'out', if(x.`1` is null, a.out, concat(a.out, "
         "array(named_struct('s', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'm', x.`1`))))))"
     )
-    blocks = f"transform(array(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))), z -> transform(sequence(0, size(z) - 1, {BLOCK}), b -> {block}))[0]"
+    blocks = f"transform(sequence(0, size({z}) - 1, {BLOCK}), b -> {block})"
     places = "aggregate(y, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x.at, 'out', concat(a.out, array(a.at))), a -> a.out)"
     moved = f"flatten(zip_with(y, {places}, (x, at) -> transform(x.out, m -> named_struct('s', m.s + at, 'e', m.e + at, 'm', m.m))))"
     return f"transform(array({blocks}), y -> {moved})[0]"
 
 
+def matches(text: str, pattern: str) -> str:
+    """SQL for the leftmost matches of a pattern that don't overlap, as structs of start, end (code points) and match."""
+    return f"transform(array({pieces(text, pattern)}), z -> {placed('z')})[0]"
+
+
 def digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
@@ -143,12 +155,13 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     """
     # what a lambda uses again and again is bound outside of it, or it would be computed for each candidate
     masked = "regexp_replace({}, '[0-9]+', '#')"
+    before, after = (f"translate({x}, '\\t\\n\\r\\u000b\\u000c', '     ')" for x in (f"right(w.z[i].`0`, {REACH})", f"left(w.z[i + 1].`0`, {REACH})"))
     cut = f"""
         transform(w.found, (t, i) -> named_struct(
             's', t.s + length(t.m) - length(ltrim({quoted(OPEN)}, t.m)), 'instance', rtrim({quoted(CLOSE)}, ltrim({quoted(OPEN)}, t.m)),
-            'before', lower(coalesce(nullif(substring_index(rtrim(w.between[i]), ' ', -1), ''), if(i > 0, {masked.format("w.found[i - 1].m")}, ''))),
-            'two', lower(substring_index(rtrim(w.between[i]), ' ', -2)),
-            'after', lower(coalesce(nullif(substring_index(ltrim(w.between[i + 1]), ' ', 1), ''), if(i + 1 < size(w.found), {masked.format("w.found[i + 1].m")}, '')))))
+            'before', lower(coalesce(nullif(substring_index(rtrim({before}), ' ', -1), ''), if(i > 0, {masked.format("w.found[i - 1].m")}, ''))),
+            'two', lower(substring_index(rtrim({before}), ' ', -2)),
+            'after', lower(coalesce(nullif(substring_index(ltrim({after}), ' ', 1), ''), if(i + 1 < size(w.found), {masked.format("w.found[i + 1].m")}, '')))))
     """
     made = f"""
         transform(filter({cut}, t -> t.instance <> ''), t -> named_struct('s', t.s, 'e', t.s + length(t.instance), 'instance', t.instance,
@@ -156,8 +169,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             'patterns', filter(array(if(t.before <> '', concat('left ', t.before), null), if(trim(t.two) like '% %', concat('left ', t.two), null), if(t.after <> '', concat('right ', t.after), null),
                 if(t.before <> '' and t.after <> '', concat('around ', t.before, ' _ ', t.after), null)), p -> p is not null)))
     """
-    between = f"split(translate(text, '\\t\\n\\r\\f\\u000b', '     '), {quoted(TOKEN)}, -1)"
-    bound = f"transform(array(named_struct('found', {matches('text', TOKEN)}, 'between', {between}, 'base', base)), w -> {made})[0]"
+    bound = f"transform(array({pieces('text', TOKEN)}), z -> transform(array(named_struct('found', {placed('z')}, 'z', z, 'base', base)), w -> {made})[0])[0]"
     return rows.select("id", "h", F.expr(bound).alias("tokens"))
 
 

@@ -66,16 +66,20 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 def distinct(texts: list[bytes]) -> Iterator[np.ndarray]:
     """For each part of the texts: the different codes of each text, one text after the other."""
-    for _, _, own in chunks(texts):
+    for _, _, own in chunks(texts, 1 << 19):
         made = list(units(own))
         yield np.concatenate([np.unique(np.concatenate([c[a[i] : b[i]] for c, a, b in made])) for i in range(len(own))])
 
 
 def frequent(texts: list[bytes]) -> np.ndarray:
-    """Codes that stand in ``LEAST_TEXTS`` texts or more, sorted."""
+    """Codes that stand in ``LEAST_TEXTS`` texts or more, sorted. A first pass counts groups of codes, so that few are held."""
+    held = np.zeros(1 << 24, np.uint16)
+    for more in distinct(texts):
+        at, times = np.unique((more >> np.uint64(40)).astype(np.uint32), return_counts=True)
+        held[at] = np.minimum(held[at] + times, 65535)
     code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for more in distinct(texts):
-        new, times = np.unique(more, return_counts=True)
+        new, times = np.unique(more[held[more >> np.uint64(40)] >= LEAST_TEXTS], return_counts=True)
         code, to = np.unique(np.concatenate([code, new]), return_inverse=True)
         count = np.bincount(to, np.concatenate([count, times]), len(code)).astype(np.int64)
     return code[count >= LEAST_TEXTS]
