@@ -349,7 +349,7 @@ def _classify_sql() -> str:
     names = list(C.CATEGORIES)
     best = "greatest(" + ", ".join(f"coalesce(s{i}, 0)" for i in range(len(names))) + ")"
     primary = "CASE WHEN top = 0 THEN '其他' " + " ".join(f"WHEN coalesce(s{i}, 0) = top THEN '{n}'" for i, n in enumerate(names)) + " END"
-    spam = " + ".join(f"{w} * len(list_filter({listed(words.split())}, lambda k: contains(hay, k)))" for w, words in C.SPAM.items())
+    spam = " + ".join(f"{w} * len(list_filter({listed(words)}, lambda k: contains(hay, k)))" for w, words in C.SPAM.items())
     return f""", hays AS (SELECT id, lower(text) || ' ' AS hay FROM posts), scored AS (SELECT id, hay, {scores} FROM hays), topped AS (SELECT *, {best} AS top FROM scored)
     SELECT id, {primary} AS "primary", CAST({spam} AS DOUBLE) AS spam FROM topped"""
 
