@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import normalize_text
-from .functions.urls import cluster_key
+from .functions.urls import cluster_key, domain_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.alias("id"), F.col("source").alias("channel"), n.alias("msg_id"), F.date_add(F.lit("2024-01-01").cast("date"), day).cast("string").alias("date"),
         (F.lit(1704067200) + day * 86400).cast("long").alias("ts"), F.col("n_chars").alias("views"), normalize_text(F.col("text")).alias("text"), F.col("lang").alias("category"),
         tags.alias("tags"), ((n * 7) % 21 * 0.5).alias("value"), ((n * 5) % 13 * 0.5).alias("content"), links.alias("links"),
-        F.when(n % 10 == 0, "group").otherwise("channel").alias("source"), F.concat(F.lit("title "), F.col("source")).alias("group_title")).withColumn("cluster_key", cluster_key(F.col("links")))
+        F.when(n % 10 == 0, "group").otherwise("channel").alias("source"), F.concat(F.lit("title "), F.col("source")).alias("group_title")).withColumn("cluster_key", cluster_key(F.col("links"))).withColumn("domains", F.transform("links", domain_of))
 
 
 #: The same posts for the oracle: ``WITH`` clauses that a query's SQL begins with.
@@ -39,6 +39,7 @@ posts AS (
     list_filter([CASE WHEN doc_id % 2 = 0 THEN '免费' END, CASE WHEN doc_id % 3 = 0 THEN '限时' END, CASE WHEN doc_id % 5 = 0 THEN '风险' END, CASE WHEN doc_id % 7 = 0 THEN '开源' END], lambda x: x IS NOT NULL) AS tags,
     CAST((doc_id * 7) % 21 AS DOUBLE) * 0.5 AS value, CAST((doc_id * 5) % 13 AS DOUBLE) * 0.5 AS content,
     CASE WHEN doc_id % 4 = 0 THEN ['https://www.example.com/item/' || (doc_id % 97) || '?utm_source=a'] WHEN doc_id % 9 = 0 THEN ['https://github.com/a/' || (doc_id % 11)] ELSE [] END AS links,
+    CASE WHEN doc_id % 4 = 0 THEN ['example.com'] WHEN doc_id % 9 = 0 THEN ['github.com'] ELSE [] END AS domains,
     CASE WHEN doc_id % 10 = 0 THEN 'group' ELSE 'channel' END AS source, 'title ' || source AS group_title,
     CASE WHEN doc_id % 4 = 0 THEN 'link:example.com/item/' || (doc_id % 97) WHEN doc_id % 9 = 0 THEN 'link:github.com/a/' || (doc_id % 11) END AS cluster_key
   FROM documents)

@@ -111,13 +111,35 @@ def highlights(posts: DataFrame, after_id: int, n: int = 20, least: float = 7) -
     return reps(posts).where((F.col("id") > after_id) & (F.col("value") >= float(least))).orderBy(F.desc("value"), "id").limit(n)
 
 
-def throughput(batches: DataFrame, last: int = 20, at: str = "at", done: str = "done", key: str | None = None) -> DataFrame:
-    """Items a second over each batch's last batches."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(at, done).rowsBetween(-(last - 1), 0)
+def throughput(batches: DataFrame, key: str, last: int = 20, order: tuple[str, ...] = ("at", "done"), done: str = "done") -> DataFrame:
+    """Items a second over the last batches of each ``key`` (a job), by the times in the first of ``order``."""
+    at = order[0]
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(last - 1), 0)
     span = F.max(at).over(w) - F.min(at).over(w)
     return batches.withColumn("rate", F.when(span > 0, F.sum(done).over(w) / span))
 
 
+def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``item_col``, ``id_col``: which documents contain an item's whole text (column ``text``).
+
+    Inner words of an item, which white space bounds in any document that holds it, are the key of an equality
+    join; only ids and keys move, and texts are fetched for the hits. Items of fewer than six words, which have
+    no such key, are looked for one by one in each text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    given = items.select(item_col, F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    key = F.concat_ws(" ", F.slice("w", 2, 4))
+    keyed = given.where(F.size("w") >= 6).select(item_col, "item", key.alias("key"))
+    places = F.sequence(F.lit(1), F.size("w") - 3)
+    grams = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") >= 4).select(id_col, F.explode(F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4)))))).alias("key"))
+    hits = grams.join(keyed, "key").select(id_col, item_col, "item").distinct()
+    found = docs.select(id_col, text_col).join(hits, id_col).where(F.contains(text_col, F.col("item"))).select(item_col, id_col)
+    short = given.where(F.size("w") < 6).select(item_col, "item")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.select(id_col, text_col).join(F.broadcast(short), F.contains(text_col, F.col("item"))).select(item_col, id_col))
+
+
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """type, queries, hit_at_k, mrr from ranked (query, id, rank) and expected (query, id, type)."""
     best = expected.join(ranked, ["query", "id"], "left").groupBy("query", "type").agg(F.min("rank").alias("rank"))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCTUATION, SINGLE, tokens
+from .index import B, FIELDS, K1, LEAST_IDF, Index, ranked  # noqa: F401
 
-#: Weights of the indexed fields, of a post's value in relevance, and the ranking function's parameters.
-FIELDS = {"text": 8.0, "tags": 3.0, "domains": 2.0, "channel": 1.0}
-VALUE_BLEND, K1, B, LEAST_IDF = 0.5, 1.2, 0.75, 1e-6
+#: Fixed value: weight of a post's value in relevance.
+VALUE_BLEND = 0.5
 SPECIAL = r"[\"'*():^\-]"
 
 
@@ -108,28 +108,13 @@ def indexed(posts: DataFrame) -> DataFrame:
     return out.withColumn("_length", sum((F.size(c) for c in mine), F.lit(0)))
 
 
-def bm25(posts: DataFrame, phrases: Sequence[Sequence[str]], every: bool = True) -> DataFrame:
+def bm25(posts: DataFrame, phrases: Sequence[Sequence[str]], every: bool = True, index: Index | None = None) -> DataFrame:
     """``posts`` that hold every phrase (or any), with ``rank``, where less is better.
 
-    A phrase counts within a field, weighted by it; different phrases may be in different fields. Statistics
-    are of all given posts: one row, which is all that is broadcast.
+    Without a stored ``index`` the texts are cut into tokens for this search.
     """
-    rows = indexed(posts)
-    fields = [c[3:] for c in rows.columns if c.startswith("_f_")]
-    tf = lambda p: sum((frequency(F.col(f"_f_{f}"), p) * FIELDS[f] for f in fields), F.lit(0.0))
-    rows = rows.select(*posts.columns, "_length", *(tf(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))
-    facts = rows.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
-    hit = [F.col(f"_tf{i}") > 0 for i in range(len(phrases))]
-    wanted = hit[0]
-    for h in hit[1:]:
-        wanted = wanted & h if every else wanted | h
-    scored = rows.where(wanted).join(F.broadcast(facts))
-    rank = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)))
-        f = F.col(f"_tf{i}")
-        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-    return scored.select(*posts.columns, rank.alias("rank"))
+    index = index or Index.of(posts, sorted({w for p in phrases for w in p}))
+    return posts.join(ranked(index, phrases, every), "id").select(*posts.columns, "rank")
 
 
 def order(sort: str, ranked: bool) -> list[Column]:
@@ -163,7 +148,7 @@ class Found:
         return self.hits.count()
 
 
-def search(posts: DataFrame, q: str = "", filters: Filters | None = None, sort: str = "relevance", page: int = 1, size: int = 30, like: bool = False) -> Found:
+def search(posts: DataFrame, q: str = "", filters: Filters | None = None, sort: str = "relevance", page: int = 1, size: int = 30, like: bool = False, index: Index | None = None) -> Found:
     """A page of posts: by phrases if the query has any, else browsing; ``like`` matches substrings instead.
 
     Statistics come from all posts, filters apply to hits, as in a full-text index. Sizes are 1 to 100.
@@ -173,14 +158,14 @@ def search(posts: DataFrame, q: str = "", filters: Filters | None = None, sort:
     if like and phrases:
         mode, hits = "like", filtered(contains_all(posts, q), filters)
     elif phrases:
-        mode, hits = "fts", filtered(bm25(posts, phrases), filters)
+        mode, hits = "fts", filtered(bm25(posts, phrases, index=index), filters)
     else:
         mode, hits = "browse", filtered(posts, filters)
     items = hits.orderBy(*order(sort, mode == "fts")).offset((page - 1) * size).limit(size)
     return Found(mode, page, size, hits, items)
 
 
-def related(posts: DataFrame, post_id: int, limit: int = 8) -> DataFrame:
+def related(posts: DataFrame, post_id: int, limit: int = 8, index: Index | None = None) -> DataFrame:
     """Posts that share key terms with one post, best first, without it."""
     from ..functions.text import key_terms
 
@@ -188,4 +173,4 @@ def related(posts: DataFrame, post_id: int, limit: int = 8) -> DataFrame:
     phrases = [p for t in (row["t"] if row else []) for p in phrases_of(t)]
     if not phrases:
         return posts.withColumn("rank", F.lit(0.0)).limit(0)
-    return bm25(posts, phrases, every=False).where(F.col("id") != post_id).orderBy("rank", "id").limit(limit)
+    return bm25(posts, phrases, every=False, index=index).where(F.col("id") != post_id).orderBy("rank", "id").limit(limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from ..adapter import POSTS_SQL, posts, table
 from ..functions import html, text, urls
 from ..operators import classify as C
 from ..operators import cluster as K
-from ..operators import dedup, facets, hybrid, overlays, reports, search, vectors
+from ..operators import dedup, facets, hybrid, index, overlays, reports, search, vectors
 from ..shipping import ship
 from ..streaming import ingest
 
@@ -42,6 +44,22 @@ def query(name: str, sql: str | None = None, with_posts: bool = True, clustered:
     return register
 
 
+_built: dict[tuple[str, str], index.Index] = {}
+
+
+def post_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the posts, built once for each application and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="sievework-")
+        _built[key] = index.build(posts(spark, sf_dir), f"{root.rstrip('/')}/index-{uuid.uuid4().hex}")
+    return _built[key]
+
+
 def clustered_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.cluster(posts(spark, sf_dir))
 
@@ -131,12 +149,12 @@ def d11_label_overlay(spark, d):
 
 
 @query("d_revenue_by_nation", """
-SELECT n_name, sum(l_extendedprice * (1 - l_discount)) > 0 AS sold, count(*) AS lines, count(DISTINCT o_orderkey) AS orders
+SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(*) AS lines, count(DISTINCT o_orderkey) AS orders
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""", with_posts=False)
 def d_revenue_by_nation(spark, d):
     t = lambda n: table(spark, d, n)
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg((F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 0).alias("sold"), F.count("*").alias("lines"), F.count_distinct("o_orderkey").alias("orders"))
+    return rows.groupBy("n_name").agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"), F.count("*").alias("lines"), F.count_distinct("o_orderkey").alias("orders"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
@@ -209,12 +227,7 @@ def e15_build_stats(spark, d):
 SELECT b.item_id, count(p.id) AS found, min(p.id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN posts p ON p.id = d.doc_id GROUP BY b.item_id""")
 def e17_known_items(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    # an item's first eight words, joined on equality, stand for the whole before it is looked for
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    key = items.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("key"))
-    grams = docs.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))).alias("key"))
-    hits = grams.join(key, "key").where(F.contains("text", F.col("item")))
-    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("found"), F.min("doc_id").alias("first"))
+    return facets.containing(docs, items).groupBy("item_id").agg(F.count_distinct("doc_id").alias("found"), F.min("doc_id").alias("first"))
 
 
 @query("e19_cluster_stats", "SELECT count(cluster_key) AS keyed, count(DISTINCT cluster_key) AS keys, count(*) FILTER (NOT is_rep) AS merged, count(*) FILTER (is_rep AND cluster_size > 1) AS clusters FROM clustered", clustered=True)
@@ -244,9 +257,8 @@ def f3_dispositions(spark, d):
 @query("f7_throughput", "SELECT event_id, CASE WHEN span > 0 THEN round(total / span, 4) END AS rate FROM (SELECT event_id, sum(1) OVER w AS total, max(epoch_us(ts)) OVER w / 1e6 - min(epoch_us(ts)) OVER w / 1e6 AS span FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))", with_posts=False)
 def f7_throughput(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = Window.partitionBy("user_id").orderBy(at, "event_id").rowsBetween(-19, 0)
-    span = F.max(at).over(w) - F.min(at).over(w)
-    return table(spark, d, "events").select("event_id", F.when(span > 0, F.round(F.count("*").over(w) / span, 4)).alias("rate"))
+    batches = table(spark, d, "events").select("user_id", "event_id", at.alias("at"), F.lit(1).alias("done"))
+    return facets.throughput(batches, order=("at", "event_id"), key="user_id").select("event_id", F.round("rate", 4).alias("rate"))
 
 
 @query("g6_top_per_category", "SELECT id, category, CAST(rank AS INTEGER) AS rank FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY value DESC, ts DESC, id) AS rank FROM posts) WHERE rank <= 20")
@@ -281,12 +293,12 @@ def g15_fuzzy(spark, d):
 
 
 @query("i2_strip_tags", r"""
-SELECT page_id, length(t) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+SELECT page_id, md5(t) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|blockquote|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', '', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#039;', ''''), '&apos;', ''''), '&amp;', '&'),
   '[ \t\x{00a0}]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS t FROM pages)""", with_posts=False)
 def i2_strip_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(text.strip_tags(F.col("html"), numeric=False)).cast("long").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"), numeric=False).cast("binary")).alias("digest"))
 
 
 @query("i3_normalize_text", "SELECT id, length(text) AS n, md5(text) AS digest FROM posts")
@@ -299,9 +311,9 @@ def i5_domain_of(spark, d):
     return table(spark, d, "pages").select("page_id", urls.domain_of(F.col("url")).alias("domain"))
 
 
-@query("i6_terms", "SELECT id, len(list_filter(regexp_split_to_array(regexp_replace(text, '[，。！？、；：\"''（）【】《》,.!?;:()\\[\\]{}<>|\\\\/]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS n FROM posts")
+@query("i6_terms", "SELECT id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[，。！？、；：\"''（）【】《》,.!?;:()\\[\\]{}<>|\\\\/]', ' ', 'g'), '\\s+'), lambda x: x <> ''), ' ') AS terms FROM posts")
 def i6_terms(spark, d):
-    return posts(spark, d).select("id", F.size(text.split_terms(F.col("text"))).cast("long").alias("n"))
+    return posts(spark, d).select("id", F.array_join(text.split_terms(F.col("text")), " ").alias("terms"))
 
 
 @query("i12_extract_web", r"SELECT page_id, regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages", with_posts=False)
@@ -350,14 +362,23 @@ def _classify_sql() -> str:
     best = "greatest(" + ", ".join(f"coalesce(s{i}, 0)" for i in range(len(names))) + ")"
     primary = "CASE WHEN top = 0 THEN '其他' " + " ".join(f"WHEN coalesce(s{i}, 0) = top THEN '{n}'" for i, n in enumerate(names)) + " END"
     spam = " + ".join(f"{w} * len(list_filter({listed(words)}, lambda k: contains(hay, k)))" for w, words in C.SPAM.items())
-    return f""", hays AS (SELECT id, lower(text) || ' ' AS hay FROM posts), scored AS (SELECT id, hay, {scores} FROM hays), topped AS (SELECT *, {best} AS top FROM scored)
-    SELECT id, {primary} AS "primary", CAST({spam} AS DOUBLE) AS spam FROM topped"""
+    tags = ", ".join(f"CASE WHEN len(list_filter({listed(words)}, lambda k: contains(hay, k))) > 0 THEN '{t}' END" for t, words in C.TAGS.items())
+    worth = "CASE \"primary\" " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in C.WORTH.items()) + " ELSE 0 END"
+    has = lambda t: f"list_contains(tags, '{t}')::INT"
+    hits = " || ".join(f"list_filter({listed(words)}, lambda k: contains(hay, k))" for words in C.SPAM.values())
+    return f""", hays AS (SELECT id, text, links, views, lower(text) || ' ' AS hay FROM posts), scored AS (SELECT id, text, links, views, hay, {scores} FROM hays), topped AS (SELECT *, {best} AS top FROM scored),
+    marked AS (SELECT *, {primary} AS "primary", list_filter([{tags}], lambda t: t IS NOT NULL) AS tags, {spam} AS spam_words, {hits} AS hits FROM topped),
+    worthy AS (SELECT *, {worth} + {has("免费")} + 0.5 * {has("限时")} + 0.5 * {has("教程")} + 0.5 * {has("开源")} + (len(list_filter(links, lambda u: contains(u, 'github.com'))) > 0)::INT - 3 * {has("风险")} - 2 * (length(text) < 8 AND len(links) = 0)::INT AS content FROM marked)
+    SELECT id, "primary", array_to_string(tags, ',') AS tags, array_to_string(regexp_extract_all(text, '#([A-Za-z0-9_一-龥]{{1,24}})', 1), ',') AS hashtags, CAST(spam_words + 2 * (length(text) < 12 AND len(links) > 0 AND NOT list_contains(tags, '免费'))::INT AS DOUBLE) AS spam,
+      array_to_string(hits, ',') AS spam_hits, CAST(content AS DOUBLE) AS content, CAST(round(content + least(2.0, log10(1 + views) * 0.7), 2) AS DOUBLE) AS value, array_to_string(links, ' ') AS links FROM worthy"""
 
 
 @query("j6_classify", _classify_sql())
 def j6_classify(spark, d):
-    rows = posts(spark, d).select("id", F.regexp_replace("text", "#", " ").alias("t"), F.array().cast("array<string>").alias("lk"), F.col("views").alias("v"), "ts")
-    return C.classify(rows, previews_col=None).select("id", "primary", "spam")
+    rows = posts(spark, d).select("id", F.col("text").alias("t"), F.col("links").alias("lk"), F.col("views").alias("v"), "ts")
+    shown = ("tags", "hashtags", "spam_hits")
+    out = C.classify(rows, previews_col=None)
+    return out.select("id", "primary", "spam", "content", "value", *(F.array_join(c, ",").alias(c) for c in shown), F.array_join("links", " ").alias("links"))
 
 
 # --- search and retrieval -----------------------------------------------------------------------------------------
@@ -369,19 +390,41 @@ def _bm25_sql(phrases: list[list[str]], tail: str) -> str:
     dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(phrases)))
     part = " ".join(f"- greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(phrases)))
     hit = " AND ".join(f"tf{i} > 0" for i in range(len(phrases)))
-    return f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM clustered), counted AS (SELECT *, len(t) + 2 * len(tags) + 1 AS dl, {tfs} FROM words),
+    return f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM clustered), counted AS (SELECT *, len(t) + 2 * len(tags) + 2 * len(domains) + 1 AS dl, {tfs} FROM words),
     facts AS (SELECT count(*) AS n, avg(dl) AS mean, {dfs} FROM counted), ranked AS (SELECT *, 0.0 {part} AS rank FROM counted, facts WHERE {hit}) {tail}"""
 
 
 @query("j3_bm25", _bm25_sql([["the", "of"], ["and"]], "SELECT id, round(rank, 6) AS rank FROM ranked"), clustered=True)
 def j3_bm25(spark, d):
-    rows = search.bm25(clustered_posts(spark, d), [["the", "of"], ["and"]])
+    rows = search.bm25(clustered_posts(spark, d), [["the", "of"], ["and"]], index=post_index(spark, d))
     return rows.select("id", F.round("rank", 6).alias("rank"))
 
 
+@query("j3_bm25_fields", r""", counted AS (
+  SELECT id, len(t) + 2 * len(tags) + 2 * len(domains) + 1 AS dl, 8.0 * len(list_filter(t, lambda x: x = 'example')) + 2.0 * list_contains(domains, 'example.com')::INT AS tf0,
+    8.0 * len(list_filter(t, lambda x: x = 'src1')) + (channel = 'src1')::INT AS tf1,
+    8.0 * len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '免' AND t[i + 1] = '费')) + 3.0 * list_contains(tags, '免费')::INT AS tf2
+  FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM posts)),
+facts AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM counted)
+SELECT id, round(- greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / mean)) - greatest(1e-6, ln((n - df1 + 0.5) / (df1 + 0.5))) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / mean))
+  - greatest(1e-6, ln((n - df2 + 0.5) / (df2 + 0.5))) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS rank FROM counted, facts WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0""")
+def j3_bm25_fields(spark, d):
+    return index.ranked(post_index(spark, d), [["example"], ["src1"], ["免", "费"]], every=False).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("b3_index", r"""SELECT term, field, count(*) AS posts, CAST(sum(n) AS BIGINT) AS places FROM (
+  SELECT id, field, term, count(*) AS n FROM (
+    SELECT id, 'text' AS field, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM posts
+    UNION ALL SELECT id, 'channel', channel FROM posts UNION ALL SELECT id, 'domains', unnest(string_split(domains[1], '.')) FROM posts WHERE len(domains) > 0) GROUP BY 1, 2, 3)
+GROUP BY term, field""")
+def b3_index(spark, d):
+    rows = post_index(spark, d).postings.where("field <> 'tags'")
+    return rows.groupBy("term", "field").agg(F.count("*").alias("posts"), F.sum(F.size("positions")).cast("long").alias("places"))
+
+
 @query("j10_search", _bm25_sql([["the"], ["and"]], "SELECT id, round(rank - 0.5 * value, 6) AS score FROM ranked WHERE is_rep AND value >= 2 ORDER BY rank - 0.5 * value, id LIMIT 30"), clustered=True)
 def j10_search(spark, d):
-    found = search.search(clustered_posts(spark, d), "The, and!", search.Filters(min_value=2))
+    found = search.search(clustered_posts(spark, d), "The, and!", search.Filters(min_value=2), index=post_index(spark, d))
     return found.items.select("id", F.round(F.col("rank") - 0.5 * F.col("value"), 6).alias("score"))
 
 
@@ -419,10 +462,10 @@ m AS (SELECT id, vec, sqrt(CAST(list_sum(list_transform(vec, lambda x: x * x)) A
 """
 
 
-@query("j15_codec", f"WITH {QUANT_SQL} SELECT id, round(norm, 6) AS norm, CAST(list_sum(vec) AS BIGINT) AS total FROM m", with_posts=False)
+@query("j15_codec", f"WITH {QUANT_SQL} SELECT id, round(norm, 6) AS norm, array_to_string(vec, ',') AS vec FROM m", with_posts=False)
 def j15_codec(spark, d):
     items = vectors.encode(table(spark, d, "embeddings"), id_col="vec_id")
-    return items.select("id", F.round("norm", 6).alias("norm"), F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return items.select("id", F.round("norm", 6).alias("norm"), F.array_join(F.col("vec").cast("array<string>"), ",").alias("vec"))
 
 
 @query("j16_vector_top_k", f"WITH {QUANT_SQL} SELECT m.id, round(list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm), 6) AS score FROM m, (SELECT * FROM m WHERE id = 7) r ORDER BY list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) DESC, m.id LIMIT 50", with_posts=False)
@@ -439,7 +482,7 @@ def j17_similar(spark, d):
 
 @query("j18_related")
 def j18_related(spark, d):
-    return search.related(posts(spark, d), 3).select("id", F.round("rank", 6).alias("rank"))
+    return search.related(posts(spark, d), 3, index=post_index(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("j22_digest", "SELECT id, value FROM clustered WHERE is_rep AND list_contains(tags, '免费') AND date >= '2024-11-01' AND value >= 6 AND id % 3 <> 0 ORDER BY value DESC, id LIMIT 12", clustered=True)
@@ -450,10 +493,10 @@ def j22_digest(spark, d):
 
 @query("j23_subscriptions", f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM clustered WHERE is_rep AND ts > 1710000000),
 hits AS (SELECT 1 AS subscription, id FROM words WHERE list_contains(t, 'onwh') UNION ALL SELECT 2, id FROM words WHERE list_contains(t, 'the') AND list_contains(tags, '限时') AND value >= 5)
-SELECT CAST(subscription AS BIGINT) AS subscription, count(*) AS total FROM hits GROUP BY subscription""", clustered=True)
+SELECT CAST(subscription AS BIGINT) AS subscription, count(*) AS total, array_to_string(list(h.id ORDER BY date DESC, ts DESC, h.id)[1:5], ',') AS ids FROM hits h JOIN posts p ON p.id = h.id GROUP BY subscription""", clustered=True)
 def j23_subscriptions(spark, d):
     subs = spark.createDataFrame([(1, "onwh", [], 0.0, True), (2, "the", ["限时"], 5.0, True), (3, "of", [], 0.0, False)], "id long, keyword string, tags array<string>, min_value double, enabled boolean")
-    return overlays.subscription_hits(clustered_posts(spark, d), subs, 1710000000).select("subscription", "total")
+    return overlays.subscription_hits(clustered_posts(spark, d), subs, 1710000000).select("subscription", "total", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("j25_last_turns", "SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations WHERE role IN ('user', 'assistant')) WHERE p <= 6", with_posts=False)
@@ -469,9 +512,9 @@ def o5_badges(spark, d):
     return reports.badges(posts(spark, d)).select("id", F.array_join("badges", "/").alias("badges"))
 
 
-@query("b6_csv_rows", "SELECT id, date, channel, CAST(views AS VARCHAR) AS views, array_to_string(tags, ',') AS tags, array_to_string(links, ' ') AS links FROM posts")
+@query("b6_csv_rows", "SELECT id, date, channel, category, CAST(value AS VARCHAR) AS value, CAST(views AS VARCHAR) AS views, array_to_string(tags, ',') AS tags, array_to_string(links, ' ') AS links FROM posts")
 def b6_csv_rows(spark, d):
-    return reports.csv_rows(posts(spark, d)).select("id", "date", "channel", "views", "tags", "links")
+    return reports.csv_rows(posts(spark, d)).select("id", "date", "channel", "category", "value", "views", "tags", "links")
 
 
 @query("b8_dashboard")
@@ -483,7 +526,7 @@ def b8_dashboard(spark, d):
 def k5_new_since(spark, d):
     events = table(spark, d, "events")
     least = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
-    return events.where(F.unix_micros(F.col("ts").cast("timestamp")) > least + 86400000000).select("event_id")
+    return ingest.new_since(events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")), least + 86400000000).select("event_id")
 
 
 @query("k_event_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2", with_posts=False)
