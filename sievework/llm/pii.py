@@ -124,7 +124,9 @@ def bootstrapped(scratch: Scratch, found: DataFrame, rounds: int = ROUNDS) -> Da
 def learnt(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """id, h, other (spans that patterns add) of those ``rows`` (id, h, text) that have any, once for equal rows. Texts don't move: only candidates do."""
     some = rows.where(F.col("text").rlike("[0-9@]")).select("id", "h", "text", base_spans("text").alias("base"))
-    found = scratch.keep(with_candidates(some).select("id", "h", F.explode("tokens").alias("t")).select("id", "h", "t.*"), "candidates")
+    # the outer form: for the other Spark infers a filter on the array, and so finds the candidates once more for each of its conditions
+    each = with_candidates(some).select("id", "h", F.explode_outer("tokens").alias("t"))
+    found = scratch.keep(each.where("t is not null").select("id", "h", "t.*"), "candidates")
     extra = scratch.keep(bootstrapped(scratch, found), "extra")
     hits = found.where(~F.col("seed")).join(sized(extra), "instance")
     return scratch.keep(hits.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct(F.lit("other").alias("kind"), "s", "e"))).alias("other")), "other")
