@@ -132,3 +132,13 @@ def without_controls(c: Column) -> Column:
     return F.regexp_replace(or_empty(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
+
+
+def citations(c: Column) -> Column:
+    """Numbers of the sources that an answer names, ``[3]``, in order, repeated ones too."""
+    return F.transform(F.regexp_extract_all(or_empty(c), F.lit(r"\[(\d{1,9})\]"), 1), lambda x: x.cast("int"))
+
+
+def batch_lines(c: Column, most: int = 500) -> Column:
+    """Lines pasted for a batch: trimmed, none empty, ``most`` at most."""
+    return F.slice(F.filter(F.transform(F.split(or_empty(c), "\n"), trimmed), lambda x: x != ""), 1, most)

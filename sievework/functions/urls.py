@@ -84,3 +84,10 @@ def parse_link(text: Column) -> Column:
         .when(rest != "", made("tme", name, number, F.concat(F.lit("https://t.me/"), name), none))
         .when(raw.rlike("(?i)^https?://") & host_of(raw).isNotNull(), made("web", empty, none, raw, host_of(raw)))
     )
+
+
+def links_in(text: Column, marked: Column | None = None, most: int = 12) -> Column:
+    """Links of a group's message: marked ones first, then those written out; distinct, ``most`` at most."""
+    plain = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(https?://[^\\s<>\"'）)】]+)"), 1)
+    given = F.filter(F.coalesce(marked, F.array().cast("array<string>")), lambda u: u.rlike("(?i)^https?:")) if marked is not None else F.array().cast("array<string>")
+    return F.slice(F.array_distinct(F.concat(given, plain)), 1, most)

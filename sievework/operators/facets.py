@@ -16,9 +16,10 @@ def reps(posts: DataFrame) -> DataFrame:
     return posts.where("is_rep") if "is_rep" in posts.columns else posts
 
 
-def top(rows: DataFrame, key: str | Column, n: int, count: str = "n") -> DataFrame:
-    """The n most frequent keys; ties by key."""
-    return rows.groupBy(key).agg(F.count("*").alias(count)).orderBy(F.desc(count), key).limit(n)
+def top(rows: DataFrame, key: str | Column, n: int | None, count: str = "n") -> DataFrame:
+    """The n most frequent keys; ties by key. Without n all of them, in no order."""
+    counts = rows.groupBy(key).agg(F.count("*").alias(count))
+    return counts if n is None else counts.orderBy(F.desc(count), key).limit(n)
 
 
 def by_category(posts: DataFrame) -> DataFrame:
@@ -59,9 +60,10 @@ def domain_histogram(domains: DataFrame, n: int = 300, split: bool = False) -> D
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def mention_histogram(posts: DataFrame, n: int = 200, noise: tuple[str, ...] = ()) -> DataFrame:
+def mention_histogram(posts: DataFrame, n: int | None = 200, noise: tuple[str, ...] = ()) -> DataFrame:
     """Handles by the number of posts that name them."""
-    rows = posts.select(F.explode(mentions(F.col("text"))).alias("handle"))
+    # the outer form: for the other Spark infers filters on the array and cuts each text again for them
+    rows = posts.select(F.explode_outer(mentions(F.col("text"))).alias("handle")).where("handle is not null")
     return top(rows.where(~F.col("handle").isin(*noise)) if noise else rows, "handle", n)
 
 
@@ -101,6 +103,16 @@ def top_posts(posts: DataFrame, n: int = 500) -> DataFrame:
     return best.withColumn("breaks", F.coalesce(F.lag("category").over(w) != F.col("category"), F.lit(True)))
 
 
+#: The order in which categories are shown.
+CATEGORY_ORDER = ("羊毛优惠", "项目副业", "实用工具", "开源项目", "AI与科技", "服务器网络", "账号会员", "学习资源", "数码硬件", "资讯热点", "其他")
+
+
+def category_rank(category: Column, order: tuple[str, ...] = CATEGORY_ORDER) -> Column:
+    """Place of a category in the order shown, from 0; 99 for unknown ones."""
+    place = F.array_position(F.array(*map(F.lit, order)), category)
+    return F.when(place > 0, place - 1).otherwise(99).cast("int")
+
+
 def free_deals(posts: DataFrame, n: int = 70) -> DataFrame:
     wanted = F.arrays_overlap("tags", F.array(F.lit("免费"), F.lit("限时"))) & ~F.array_contains("tags", "风险") & (len16(F.col("text")) >= 25)
     return posts.where(wanted).orderBy(F.desc("value"), "id").limit(n)
@@ -148,7 +160,7 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> Da
 
 def judge_metrics(judged: DataFrame) -> DataFrame:
     """Mean directly relevant and related answers of a query, and the share with one at least, from (query, grade 0 to 2)."""
-    each = judged.groupBy("query").agg(F.count_if("grade = 2").alias("direct"), F.count_if("grade >= 1").alias("related"))
+    each = judged.groupBy("query").agg(F.count_if(F.col("grade") == 2).alias("direct"), F.count_if(F.col("grade") >= 1).alias("related"))
     return each.agg(F.avg("direct").alias("direct"), F.avg("related").alias("related"), F.avg((F.col("direct") >= 1).cast("double")).alias("answered"))
 
 

@@ -32,7 +32,8 @@ def fields_of(posts: DataFrame) -> Column:
 
 def postings_of(posts: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
     """term, id, field, positions (from 0, in order) of all tokens, or of the given terms. Repeated ids count as one post."""
-    each = posts.select("id", F.explode(fields_of(posts)).alias("f")).select("id", "f.field", F.posexplode("f.words").alias("at", "term"))
+    # the outer form: for the other Spark infers filters on the array and cuts each text again for them
+    each = posts.select("id", F.explode_outer(fields_of(posts)).alias("f")).select("id", "f.field", F.posexplode("f.words").alias("at", "term"))
     if terms is not None:
         each = each.where(F.col("term").isin(*terms))
     return each.groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))

@@ -104,3 +104,44 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
 
 def removed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_anti")
+
+
+#: Candidates that one labelling run takes at most; beyond it a run is refused, not cut.
+MOST_LABELLED = 50_000
+
+
+def label_batch(candidates: DataFrame, n: int = 20) -> DataFrame:
+    """The n most valuable candidates for labelling."""
+    return candidates.orderBy(F.desc("value"), "id").limit(n)
+
+
+def guarded(candidates: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """``candidates``, or an error if there are more than ``most``."""
+    if candidates.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} posts would be labelled: narrow the scope")
+    return candidates
+
+
+def saved_labels(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (post_id, category, value, ...) with what they replace: orig_category, orig_value. Labels of no post are left out."""
+    own = posts.select(F.col("id").alias("post_id"), F.col("category").alias("orig_category"), F.col("value").alias("orig_value"))
+    return labels.join(own, "post_id")
+
+
+def rolled_back(posts: DataFrame, saved: DataFrame) -> DataFrame:
+    """Posts that ``labelled`` wrote over, as they were before; the labels stay."""
+    back = saved.select("post_id", F.col("orig_category").alias("category"), F.col("orig_value").alias("value"))
+    return labelled(posts, back)
+
+
+def with_hits(subscriptions: DataFrame, hits: DataFrame) -> DataFrame:
+    """``subscriptions`` with hit_count grown by the totals of ``subscription_hits``."""
+    found = hits.select(F.col("subscription").alias("id"), "total")
+    count = F.coalesce("hit_count", F.lit(0)) + F.coalesce("total", F.lit(0))
+    return subscriptions.join(found, "id", "left").withColumn("hit_count", count.cast("long")).drop("total")
+
+
+def tag_counts(favs: DataFrame) -> DataFrame:
+    """tag, n of the favourites' own tags; of repeated additions the last holds."""
+    rows = last_writer(favs, ["post_id"], "created_at").select(F.explode("tags").alias("tag"))
+    return rows.groupBy("tag").agg(F.count("*").alias("n"))

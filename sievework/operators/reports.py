@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
-from .facets import valuable
+from .facets import category_rank, valuable
 
 #: The order in which categories are shown, and tags worth a badge.
 BADGES = ("免费", "限时", "风险", "开源")
@@ -40,3 +40,16 @@ def by_category_sections(posts: DataFrame, most: int = 1200) -> DataFrame:
     best = valuable(posts).withColumn("place", place).where(F.col("place") <= most)
     line = F.concat(F.lit("- **"), F.col("date"), F.lit("** ["), F.regexp_replace(one_line(F.col("text"), 80), r"[\[\]]", " "), F.lit("] "), F.array_join("tags", "/"))
     return best.select("category", F.substring("date", 1, 7).alias("month"), "place", line.alias("line"))
+
+
+def valuable_sorted(posts: DataFrame) -> DataFrame:
+    """Valuable posts by the order of categories, then value; a range sort that any number of tasks share."""
+    return valuable(posts).orderBy(category_rank(F.col("category")), F.desc("value"), "id")
+
+
+def stats(posts: DataFrame) -> DataFrame:
+    """json: one document of totals, by category and by channel, as the report's index."""
+    best = valuable(posts)
+    count = lambda c, rows: rows.groupBy(c).agg(F.count("*").alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("")), "n"))))).alias(f"by_{c}"))
+    one = posts.agg(F.count("*").alias("total")).join(F.broadcast(best.agg(F.count("*").alias("valuable"))))
+    return one.join(F.broadcast(count("category", best))).join(F.broadcast(count("channel", best)))

@@ -74,3 +74,31 @@ def consistent(items: DataFrame) -> bool:
 
 def stats(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("n"), F.min("dim").alias("dim"), *([F.max("model").alias("model")] if "model" in items.columns else []))
+
+
+def progress(posts: DataFrame, items: DataFrame, least_value: float = 4) -> DataFrame:
+    """eligible, indexed, left, percent (whole, 100 at most) of building the vectors: one row."""
+    own = items.select("id").distinct().withColumn("_has", F.lit(1))
+    rows = eligible(posts, least_value).select("id").join(own, "id", "left").agg(F.count("*").alias("eligible"), F.count("_has").alias("indexed"))
+    percent = F.when(F.col("eligible") > 0, F.least(F.lit(100), F.floor(F.col("indexed") * 100 / F.col("eligible")))).otherwise(100)
+    return rows.select("eligible", "indexed", (F.col("eligible") - F.col("indexed")).alias("left"), percent.cast("int").alias("percent"))
+
+
+def reranked(posts: DataFrame, items: DataFrame, query: Sequence[int], query_norm: float, scorer: Callable[[list[str]], list[float]], recall: int = 50, k: int = 10, most: int = 1200) -> tuple[DataFrame, str]:
+    """The k best of ``recall`` neighbours in the order of a scorer, and its error ('' if none).
+
+    The scorer takes the recalled texts, cut to ``most`` characters, and gives each a score; if it fails, the
+    neighbours' own order stands. The driver holds ``recall`` texts at most, whatever the size of the tables.
+    """
+    hits = nearest(items, query, query_norm, max(recall, k))
+    pool = posts.join(F.broadcast(hits), "id").select("id", "score", F.substring("text", 1, most).alias("text")).orderBy(F.desc("score"), "id").collect()
+    error, scores = "", [0.0] * len(pool)
+    try:
+        scores = [float(x) for x in scorer([r["text"] or "" for r in pool])]
+        if len(scores) != len(pool):
+            raise ValueError("a score for each text is needed")
+    except Exception as e:  # noqa: BLE001  the scorer is foreign code and only improves the order
+        error, scores = str(e), [0.0] * len(pool)
+    best = sorted(range(len(pool)), key=lambda i: (-scores[i], i))[:k]
+    rows = [(pool[i]["id"], float(pool[i]["score"]), scores[i], n) for n, i in enumerate(best, 1)]
+    return posts.sparkSession.createDataFrame(rows, "id long, score double, rerank double, rank int"), error

@@ -538,3 +538,6 @@ def k_event_counts(spark, d):
 def b16_last_writer(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
     return dedup.last_writer(rows, ["user_id"], "at").select("user_id", "event_id")
+
+
+from . import runs  # noqa: E402, F401  registers more queries with the decorator above
