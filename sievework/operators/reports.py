@@ -53,3 +53,19 @@ def stats(posts: DataFrame) -> DataFrame:
     count = lambda c, rows: rows.groupBy(c).agg(F.count("*").alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("")), "n"))))).alias(f"by_{c}"))
     one = posts.agg(F.count("*").alias("total")).join(F.broadcast(best.agg(F.count("*").alias("valuable"))))
     return one.join(F.broadcast(count("category", best))).join(F.broadcast(count("channel", best)))
+
+
+def exported(posts: DataFrame, *order, most: int = 300) -> DataFrame:
+    """place, block: the first ``most`` posts in ``order`` as Markdown, with title, facts, first link, tags and text."""
+    best = posts.orderBy(*order).limit(most)
+    place = F.row_number().over(Window.orderBy(*order))  # over at most ``most`` rows
+    text, text_of = F.coalesce("text", F.lit("")), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    title = F.substring_index(text, "\n", 1)
+    body = F.regexp_replace(F.substring(text, F.length(title) + 2, F.length(text)), r"^\s+|\s+$", "")
+    facts = F.concat(F.lit("- 分类："), text_of("category"), F.lit("　价值分："), F.format_string("%.1f", F.coalesce("value", F.lit(0.0))), F.lit("　来源：@"), text_of("channel"), F.lit("　日期："), text_of("date"))
+    link = F.when(F.size("links") > 0, F.concat(F.lit("- 链接："), F.try_element_at("links", F.lit(1))))
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit("- 标签："), F.array_join("tags", "、")))
+    tail = F.when(body != "", F.concat(F.substring(body, 1, 1500), F.lit("\n")))
+    rows = best.withColumn("place", place)
+    head = F.concat(F.lit("## "), F.col("place").cast("string"), F.lit(". "), F.substring(title, 1, 120), F.lit("\n"))
+    return rows.select("place", F.concat_ws("\n", head, facts, link, tags, F.lit(""), tail).alias("block"))

@@ -9,6 +9,7 @@ from ..adapter import posts, table
 from ..functions import text, urls
 from ..operators import cluster as K
 from ..operators import discover, facets, hybrid, overlays, reports, sync, vectors
+from ..sources import imports
 from .queries import QUANT_SQL, TOKENS_SQL, clustered_posts, query
 
 LABELS_SQL = "labs AS (SELECT doc_id AS post_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS category, CAST(quality * 5 AS DOUBLE) AS value FROM labels)"
@@ -226,3 +227,31 @@ def o16_unread(spark, d):
 @query("b11_stats")
 def b11_stats(spark, d):
     return reports.stats(posts(spark, d))
+
+
+# --- imports and exports ------------------------------------------------------------------------------------------
+
+
+@query("a7_web_import", r"""SELECT page_id, 'web_' || host AS channel, CAST(('0x' || substr(md5(url), 1, 8)) AS BIGINT) % 2000000000 AS msg_id, coalesce(nullif(title, ''), host) AS group_title, '2025-01-01' AS date FROM (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages WHERE html <> '' AND url IS NOT NULL)""", with_posts=False)
+def a7_web_import(spark, d):
+    pages = table(spark, d, "pages")
+    made = imports.web_posts(pages, 1735689600)
+    ids = pages.select("page_id", "url")
+    return ids.join(made, "url").select("page_id", "channel", "msg_id", "group_title", "date")
+
+
+@query("a8_channel_import", "SELECT channel, id AS msg_id, 'https://t.me/' || channel || '/' || id AS url, date, array_to_string(links, ' ') AS links, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS p FROM posts) WHERE p <= 2000 AND (text <> '' OR len(links) > 0)")
+def a8_channel_import(spark, d):
+    lp = F.lit(None).cast("array<struct<u:string,s:string,t:string>>")
+    messages = posts(spark, d).select("channel", F.col("id").alias("i"), F.col("date").alias("d"), "ts", F.col("views").alias("v"), F.col("text").alias("t"), F.col("links").alias("lk"), lp.alias("lp"))
+    return imports.channel_posts(messages).select("channel", "msg_id", "url", "date", "links", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("b15_export", r"""SELECT CAST(place AS INTEGER) AS place, md5('## ' || place || '. ' || substr(title, 1, 120) || chr(10) || chr(10) || '- 分类：' || coalesce(category, '') || '　价值分：' || format('{:.1f}', value) || '　来源：@' || coalesce(channel, '') || '　日期：' || date || chr(10)
+  || CASE WHEN len(links) > 0 THEN '- 链接：' || links[1] || chr(10) ELSE '' END || CASE WHEN len(tags) > 0 THEN '- 标签：' || array_to_string(tags, '、') || chr(10) ELSE '' END
+  || CASE WHEN body <> '' THEN chr(10) || substr(body, 1, 1500) || chr(10) ELSE '' END) AS digest
+FROM (SELECT *, row_number() OVER (ORDER BY value DESC, id) AS place, split_part(text, chr(10), 1) AS title, regexp_replace(substr(text, length(split_part(text, chr(10), 1)) + 2), '^\s+|\s+$', '', 'g') AS body FROM posts) WHERE place <= 300""")
+def b15_export(spark, d):
+    return reports.exported(posts(spark, d), F.desc("value"), "id").select("place", F.md5(F.col("block").cast("binary")).alias("digest"))
