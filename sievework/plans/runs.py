@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapter import posts, table
-from ..functions import text, urls
+from ..functions import display, text, urls
 from ..operators import cluster as K
 from ..operators import discover, facets, hybrid, overlays, reports, sync, vectors
 from ..sources import imports
@@ -255,3 +255,24 @@ def a8_channel_import(spark, d):
 FROM (SELECT *, row_number() OVER (ORDER BY value DESC, id) AS place, split_part(text, chr(10), 1) AS title, regexp_replace(substr(text, length(split_part(text, chr(10), 1)) + 2), '^\s+|\s+$', '', 'g') AS body FROM posts) WHERE place <= 300""")
 def b15_export(spark, d):
     return reports.exported(posts(spark, d), F.desc("value"), "id").select("place", F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+@query("i26_display", r"""SELECT id, CASE WHEN days <= 0 THEN '今天' WHEN days = 1 THEN '昨天' WHEN days < 30 THEN days || ' 天前' WHEN days < 365 THEN (days // 30) || ' 个月前' ELSE (days // 365) || ' 年前' END AS age,
+  CASE WHEN views >= 10000 THEN (((views + 500) // 1000) // 10) || '.' || (((views + 500) // 1000) % 10) || 'w' WHEN views >= 1000 THEN (((views + 50) // 100) // 10) || '.' || (((views + 50) // 100) % 10) || 'k' ELSE CAST(coalesce(views, 0) AS VARCHAR) END AS views,
+  md5(CASE WHEN e > 1 AND e <= 90 THEN substr(text, 1, e - 1) ELSE substr(text, 1, 90) END) AS title, md5(CASE WHEN e > 1 AND e <= 90 THEN substr(text, e + 1) ELSE substr(text, 91) END) AS body,
+  md5(regexp_replace(text, '(the|de)', '<mark>\1</mark>', 'gi')) AS marked
+FROM (SELECT *, date_diff('day', CAST(date AS DATE), DATE '2024-12-31') AS days, instr(text, chr(10)) AS e FROM posts)""")
+def i26_display(spark, d):
+    t = display.title_and_body(F.col("text"))
+    rows = posts(spark, d).select("id", display.age(F.col("date"), "2024-12-31").alias("age"), display.short_number(F.col("views")).alias("views"), t.alias("t"), display.highlighted(F.col("text"), ["the", "de"]).alias("marked"))
+    return rows.select("id", "age", "views", *(F.md5(F.col(c).cast("binary")).alias(n) for c, n in (("t.title", "title"), ("t.body", "body"), ("marked", "marked"))))
+
+
+@query("o14_saved_searches", r"""SELECT id, '{"q":"' || channel || '","cat":"' || category || '"' || CASE WHEN len(tags) > 0 THEN ',"tags":["' || array_to_string(tags, '","') || '"]' ELSE '' END || CASE WHEN id % 3 > 0 THEN ',"days":' || (id % 3 * 7) ELSE '' END || CASE WHEN id % 2 = 1 THEN ',"sort":"date"' ELSE '' END || '}' AS json,
+  CASE WHEN id % 2 = 1 THEN 'date' ELSE 'relevance' END AS sort, CAST(id % 3 * 7 AS INTEGER) AS days FROM posts WHERE channel IS NOT NULL AND category IS NOT NULL""")
+def o14_saved_searches(spark, d):
+    n = F.col("id")
+    search = F.struct(F.concat(F.lit(" "), "channel").alias("q"), F.col("category").alias("cat"), "tags", F.lit("").alias("channel"), (n % 3 * 7).cast("int").alias("days"), F.when(n % 2 == 1, "date").otherwise("relevance").alias("sort"), F.lit(0).alias("semantic"))
+    rows = posts(spark, d).where("channel is not null and category is not null").select("id", search.alias("s")).select("id", display.captured(F.col("s")).alias("json"))
+    back = display.restored(F.col("json"))
+    return rows.select("id", "json", back["sort"].alias("sort"), back["days"].alias("days"))

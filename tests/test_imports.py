@@ -1,7 +1,10 @@
 """Imports of pages and channels, and the stream of numbered updates, on small tables."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from sievework.functions import display
 from sievework.sources import imports
 
 MESSAGE = "channel string, i long, d string, ts long, v long, t string, lp array<struct<u:string,s:string,t:string>>, lk array<string>"
@@ -43,3 +46,26 @@ def test_updates_come_once_over_restarts(spark, tmp_path):
         query.stop()
         seen.append([r["update_id"] for r in spark.read.parquet(out).orderBy("update_id").select(F.col("update_id")).collect()])
     assert seen == [list(range(10, 17))] * 2
+
+
+def test_group_posts(spark):
+    chat = {"id": -5, "type": "supergroup", "title": "T"}
+    person = {"is_bot": False, "first_name": "A", "last_name": "B"}
+    told = lambda **m: (json.dumps({"update_id": 1, "message": {"message_id": 7, "date": 86400, "chat": chat, "from": person, **m}}),)
+    url = {"type": "text_link", "offset": 0, "length": 4, "url": "https://example.net/z"}
+    data = [
+        told(text="look at https://example.org/a now", entities=[url]), told(text="short"), told(text="/start with me"), told(text="from a machine", **{"from": {"is_bot": True}}),
+        told(caption="a caption of a picture", chat={**chat, "username": "room"}, message_id=8, **{"from": {"username": "u"}}), told(text="a private message", chat={**chat, "type": "private"}), ("no json",), (None,)]
+    one, two = imports.group_posts(spark.createDataFrame(data, "json string")).orderBy("msg_id").collect()
+    assert (one["channel"], one["url"], one["author"], one["date"], one["ts"]) == ("group_-5", "https://t.me/c/-5/7", "A B", "1970-01-02", 86400)
+    assert one["links"] == "https://example.net/z https://example.org/a" and one["domains"] == "example.net example.org" and one["source"] == "group"
+    assert (two["channel"], two["url"], two["author"], two["group_title"], two["links"]) == ("g_room", "https://t.me/room/8", "u", "T", "")
+
+
+def test_display(spark):
+    rows = spark.createDataFrame([("2024-12-31", 12349), (None, None), ("soon", 999), ("2023-01-01", 1050)], "d string, n long")
+    got = [tuple(r) for r in rows.select(display.age(F.col("d"), "2024-12-31"), display.short_number(F.col("n"))).collect()]
+    assert got == [("今天", "1.2w"), ("", "0"), ("soon", "999"), ("2 年前", "1.1k")]
+    nothing = spark.sql("select named_struct('q', ' ', 'cat', null, 'tags', array(), 'channel', '', 'days', 0, 'sort', 'relevance', 'semantic', 0) s")
+    json_, back = nothing.select(display.captured(F.col("s")).alias("j")).select("j", display.restored(F.col("j"))).first()
+    assert json_ is None and tuple(back) == ("", "", [], "", 0, "relevance", 0)
