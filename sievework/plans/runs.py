@@ -236,10 +236,7 @@ def b11_stats(spark, d):
   SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
     regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages WHERE html <> '' AND url IS NOT NULL)""", with_posts=False)
 def a7_web_import(spark, d):
-    pages = table(spark, d, "pages")
-    made = imports.web_posts(pages, 1735689600)
-    ids = pages.select("page_id", "url")
-    return ids.join(made, "url").select("page_id", "channel", "msg_id", "group_title", "date")
+    return imports.web_posts(table(spark, d, "pages"), 1735689600, also=("page_id",)).select("page_id", "channel", "msg_id", "group_title", "date")
 
 
 @query("a8_channel_import", "SELECT channel, id AS msg_id, 'https://t.me/' || channel || '/' || id AS url, date, array_to_string(links, ' ') AS links, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS p FROM posts) WHERE p <= 2000 AND (text <> '' OR len(links) > 0)")

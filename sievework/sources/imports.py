@@ -39,16 +39,16 @@ def as_posts(messages: DataFrame, as_of: int | None, previews: bool) -> DataFram
         "value", "content", F.array_join("links", " ").alias("links"), F.array_join("domains", " ").alias("domains"))
 
 
-def web_posts(pages: DataFrame, at: int, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def web_posts(pages: DataFrame, at: int, url_col: str = "url", html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
     """A post for each page that has html and a host, found at epoch second ``at``. A narrow job.
 
-    Its number comes from the url, so that an import run again adds nothing to what ``appended`` stored.
+    Its number comes from the url, so that an import run again adds nothing to what ``appended`` stored. Columns ``also`` come along.
     """
     url, page = F.col(url_col), extract_web(F.col(html_col))
     host = parse_link(url)["host"]
     known = pages.where((F.coalesce(F.col(html_col), F.lit("")) != "") & url.isNotNull())
     rows = known.select(
-        F.concat(F.lit("web_"), F.coalesce(host, F.lit("site"))).alias("channel"), page_number(url).alias("msg_id"), url.alias("url"),
+        *also, F.concat(F.lit("web_"), F.coalesce(host, F.lit("site"))).alias("channel"), page_number(url).alias("msg_id"), url.alias("url"),
         F.coalesce(F.nullif(page["title"], F.lit("")), host).alias("group_title"), page["text"].alias("t"), F.array(url).alias("lk"), F.lit(0).alias("v"), F.lit(at).cast("long").alias("ts"))
     day = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("date")
     return as_posts(rows, at, False).select("*", day, F.lit("web").alias("source"))
