@@ -59,6 +59,20 @@ def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, most: int = 200_000, heavy: int = 65_536) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has one row for each ``key`` and the number of rows of that key.
+
+    Few groups are broadcast. Of more, those of over ``heavy`` rows, or over the share of rows that leaves at most
+    ``most`` of them, are broadcast, and the others' rows are shuffled: no key brings one task more than that.
+    """
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), key, "left").drop(size_col)
+    bound = max(heavy, rows.count() // most)  # at most rows / bound keys have more rows
+    large, small = F.broadcast(groups.where(F.col(size_col) > bound)), groups.where(F.col(size_col) <= bound)
+    alone = rows.join(large.select(key), key, "left_anti").join(small, key, "left")
+    return rows.join(large, key).drop(size_col).unionByName(alone.drop(size_col))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores before it until no column is called so, in whatever case."""
     taken = {c.lower() for c in columns}
