@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, join_groups, sized, unused
+from .tables import Scratch, join_groups, sized
 
 #: The five white-space characters and the space.
 SPACE = r"[\x20\x09-\x0D]+"
