@@ -82,6 +82,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.encode(table(spark, sf_dir, "embeddings"))
 
 
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import histogram_packing
+
+    return histogram_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import audit
 
