@@ -30,7 +30,7 @@ from .tables import map_texts
 from .wordbytes import hashes
 
 #: Words and ids that a worker keeps.
-CACHE, CACHE_IDS = 1_000_000, 1 << 25
+CACHE, CACHE_IDS = 500_000, 1 << 23
 #: White space as the tokenizer's pattern means it, then the pattern itself.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -278,7 +278,7 @@ def loaded(path: str) -> SpeculativeBpe:
     return _loaded[path]
 
 
-def blocks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def blocks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of together about ``most`` characters."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import blocks, loaded
-from .tables import Scratch, sized
+from .tables import Scratch, few_at_once, sized
 
 CAPACITY = 1024
 #: Bits of a rank within a length.
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches):
         bpe, task = loaded(path), TaskContext.get().partitionId()
         turns = np.zeros(2 * capacity + 2, np.int64)
-        for batch in batches:
+        for batch in few_at_once(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for first, few in blocks([t or "" for t in texts]):
                 at, out = [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, map_texts, sized
+from .tables import Scratch, few_at_once, map_texts, sized
 from .wordbytes import chunks, lowered_words, mix
 
 #: Tokens counted in the corpus, as a multiple of the prefix: those in the lowest part of the hash space. A token
@@ -383,7 +383,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 def heavy_tokens(scratch: Scratch, given: DataFrame, n: int, percent: int) -> np.ndarray:
     """The counted tokens that are heavy, sorted: ``MOST_HEAVY`` at most."""
     def tally(batches):
-        for batch in batches:
+        for batch in few_at_once(batches, 2000):
             found = [s[counted(s, percent)] for s in sets_of(batch.column(0).to_pylist(), n)]
             token, times = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times.astype(np.int64))], ["token", "n"])
@@ -420,7 +420,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     scratch = Scratch(spark, "jaccard")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_tokens(scratch, given, n, percent))
-    seen: set[int] = set()  # of each Python worker
+    seen: set[int] = set()  # of each task: its function comes anew, so that a task that is run again sends all of its own
 
     def heads_of(texts):
         node, size, first, maps = [], [], [], []
@@ -470,10 +470,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     members = family.join(heads.select("node", "size"), "node").join(classes, "node").select("node", "family", "size", F.col("first").alias("id"))
     shares = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / SHARE, F.sum("size") / SHARE_TOKENS)).cast("int").alias("k"))
     asked = scratch.keep(members.join(shares, "family").select("id", "node", "family", "k"), "asked")
-    sent: set[int] = set()  # of each Python worker
+    sent: set[int] = set()  # of each task
 
     def sets_again(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             node = batch.column("node").to_pylist()
             at, own, weight = [], [], 0
             for r, s in enumerate(sets_of(batch.column("text").to_pylist(), n)):

@@ -28,7 +28,7 @@ from .tables import Scratch, map_texts
 from .wordbytes import hashes
 
 CAPACITY = 2048
-CACHE = 1_000_000
+CACHE = 500_000
 #: Texts of these characters alone are cut into words in numpy; the tokenizer's own steps take the others whole.
 SIMPLE = re.compile(r"[\t\n\r -&(-~À-ÖØ-öø-ÿ]*")
 #: Classes of lower-cased bytes in such texts: 0 white space and between texts, 1 letters, 2 digits, 3 the rest.

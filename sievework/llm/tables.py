@@ -85,6 +85,18 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows of a batch whose texts are in Python at once.
+ROWS = 500
+
+
+def few_at_once(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows; what they held in Arrow is given back in the end, as workers live on."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
 Made = Iterator[tuple[list[int] | None, dict]]
 
 
@@ -99,7 +111,7 @@ def map_texts(rows: DataFrame, run: Callable[[list[str]], Made], fields: str, te
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
 
     def over(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             turn = 0
             for at, made in run([t or "" for t in batch.column(text_col).to_pylist()]):
                 if at is None:

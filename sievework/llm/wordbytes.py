@@ -48,7 +48,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
+def chunks(texts: Iterable[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
     """Consecutive texts of together about ``most`` bytes; a longer text stands alone."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
