@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space that a trim removes, punctuation that parts query terms, ranges of characters
 #: that are words of their own.
@@ -30,23 +28,33 @@ def len16(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(s: pd.Series) -> pd.Series:
-    def one(m) -> str:
-        digits = m[1]
-        n = int(digits[1:], 16) if digits[0] in "xX" else int(digits)
-        return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m[0]
+def _character(digits: Column, base: int) -> Column:
+    """The character of a number in decimal or hexadecimal digits, as an array of one; null for no character."""
+    # longer numbers are no characters, and beyond what conv takes
+    n = F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 8, F.conv(digits, base, 10).cast("long"))
+    good = n.isNotNull() & (n >= 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
-    return s.str.replace(r"&#([0-9]+|[xX][0-9a-fA-F]+);", one, regex=True)
+
+def _numeric(t: Column) -> Column:
+    """A text with its numeric entities decoded; those of no character stay. Texts without any aren't cut."""
+    def piece(x: Column, i: Column) -> Column:
+        hexadecimal = F.regexp_extract(x, "^[xX]([0-9a-fA-F]+);", 1)
+        decimal = F.regexp_extract(x, "^([0-9]+);", 1)
+        made = F.when(hexadecimal != "", _character(hexadecimal, 16)).when(decimal != "", _character(decimal, 10))
+        rest = F.substring(x, F.instr(x, ";") + 1, F.length(x))
+        return F.when(i == 0, x).when(made.isNotNull(), F.concat(made, rest)).otherwise(F.concat(F.lit("&#"), x))
+
+    return F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, "&#"), piece), "")).otherwise(t)
 
 
 def decode_entities(c: Column, numeric: bool = True) -> Column:
-    """Named entities natively, numeric ones by a vectorised function, ``&amp;`` last; null gives an empty text."""
+    """Named entities, numeric ones, ``&amp;`` last; null gives an empty text."""
     c = or_empty(c)
     for name, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'")):
         c = F.replace(c, F.lit(name), F.lit(plain))
     if numeric:
-        c = _numeric_entities(c)
+        c = F.transform(F.array(c), _numeric)[0]
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
@@ -86,9 +94,10 @@ def hashtags(c: Column) -> Column:
     return F.regexp_extract_all(or_empty(c), F.lit(HASHTAG), 1)
 
 
-def mentions(c: Column) -> Column:
-    """Distinct handles of a text, lower-cased."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(or_empty(c), F.lit(MENTION), 1), F.lower))
+def mentions(c: Column, lower: bool = True) -> Column:
+    """Distinct handles of a text, lower-cased or as they are written."""
+    found = F.regexp_extract_all(or_empty(c), F.lit(MENTION), 1)
+    return F.array_distinct(F.transform(found, F.lower) if lower else found)
 
 
 def view_count(c: Column) -> Column:

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import len16, mentions
 
-#: Handles that aren't channels, own hosts, and file hosts.
-NOISE = ("gmail", "qq", "outlook", "admin", "here", "channel", "group")
-OWN_HOSTS, FILE_HOSTS = r"^(t\.me|telegram\.(me|org)|telegra\.ph)$", r"(^|\.)(pan\.baidu|pan\.quark|aliyundrive|alipan|123pan|lanzou[a-z]*|115)\.(com|cn)$"
+#: Words after an at sign that are no handles, own hosts, and file hosts.
+NOISE = (
+    "version", "namespace", "description", "author", "grant", "match", "latest", "gmail", "include", "exclude", "icon", "name", "license", "homepage", "support", "downloadurl", "updateurl", "require",
+    "resource", "connect", "run-at", "noframes", "antifeature", "iconurl", "email", "date", "copyright", "website", "docs", "example", "test", "todo", "param", "args", "media", "import", "export", "type",
+    "interface", "enum", "struct", "class", "return", "throws", "deprecated", "since", "see", "file", "module", "package", "project", "app", "api", "url", "http", "https", "www", "com", "org", "net",
+)
+OWN_HOSTS = r"(^|\.)linux\.do$|(^|\.)t\.me$|(^|\.)telegram\.org$|(^|\.)telesco\.pe$|(^|\.)ldstatic\.com$|^127\.0\.0\.1$|(^|\.)telegram\.me$|(^|\.)t\.lg$|^localhost$"
+FILE_HOSTS = r"quark\.cn|baidu\.com|lanzou|123pan|aliyundrive|alipan|115\.com|weiyun|ctfile|uguu|mypikpak|lanzoui|lanzoux"
 
 
 def reps(posts: DataFrame) -> DataFrame:
@@ -60,11 +65,11 @@ def domain_histogram(domains: DataFrame, n: int = 300, split: bool = False) -> D
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def mention_histogram(posts: DataFrame, n: int | None = 200, noise: tuple[str, ...] = ()) -> DataFrame:
-    """Handles by the number of posts that name them."""
+def mention_histogram(posts: DataFrame, n: int | None = 200, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """Handles, as they are written, by the number of posts that name them; words of ``noise`` in whatever case aren't any."""
     # the outer form: for the other Spark infers filters on the array and cuts each text again for them
-    rows = posts.select(F.explode_outer(mentions(F.col("text"))).alias("handle")).where("handle is not null")
-    return top(rows.where(~F.col("handle").isin(*noise)) if noise else rows, "handle", n)
+    rows = posts.select(F.explode_outer(mentions(F.col("text"), lower=False)).alias("handle")).where("handle is not null")
+    return top(rows.where(~F.lower("handle").isin(*noise)) if noise else rows, "handle", n)
 
 
 def keyword_heat(posts: DataFrame, words: list[str], text: Column | None = None) -> DataFrame:

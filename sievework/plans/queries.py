@@ -190,11 +190,25 @@ def e8_domains(spark, d):
     return facets.domain_histogram(table(spark, d, "pages").select(F.array(urls.domain_of(F.col("url"))).alias("domains")))
 
 
-@query("e9_mentions", "SELECT handle, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_]{4,31})', 1), lambda x: lower(x))) AS handle FROM posts) GROUP BY handle ORDER BY n DESC, handle LIMIT 200")
+NOISE_SQL = "['version', 'namespace', 'description', 'author', 'grant', 'match', 'latest', 'gmail', 'include', 'exclude', 'icon', 'name', 'license', 'homepage', 'support', 'downloadurl', 'updateurl', 'require', 'resource', 'connect', 'run-at', 'noframes', 'antifeature', 'iconurl', 'email', 'date', 'copyright', 'website', 'docs', 'example', 'test', 'todo', 'param', 'args', 'media', 'import', 'export', 'type', 'interface', 'enum', 'struct', 'class', 'return', 'throws', 'deprecated', 'since', 'see', 'file', 'module', 'package', 'project', 'app', 'api', 'url', 'http', 'https', 'www', 'com', 'org', 'net']"
+
+
+@query("e9_mentions", f"SELECT handle, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_]{{4,31}})', 1)) AS handle FROM posts) WHERE NOT list_contains({NOISE_SQL}, lower(handle)) GROUP BY handle ORDER BY n DESC, handle LIMIT 200")
 def e9_mentions(spark, d):
     return facets.mention_histogram(posts(spark, d))
 
 
+@query("c17_hosts", r"""SELECT is_file_host, domain, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY is_file_host ORDER BY n DESC, domain) AS rank FROM (
+  SELECT regexp_matches(domain, 'quark\.cn|baidu\.com|lanzou|123pan|aliyundrive|alipan|115\.com|weiyun|ctfile|uguu|mypikpak|lanzoui|lanzoux') AS is_file_host, domain, count(*) AS n FROM (
+    SELECT page_id, unnest(list_distinct([page, other])) AS domain FROM (
+      SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)', 1)), '^www\.', '') AS page, ['t.me', 'pan.baidu.com', 'www.lanzoux.com', 'linux.do', 'notlinux.do', 'localhost', 'a.b.115.com'][page_id % 7 + 1] AS other FROM pages))
+  WHERE domain <> '' AND NOT regexp_matches(domain, '(^|\.)linux\.do$|(^|\.)t\.me$|(^|\.)telegram\.org$|(^|\.)telesco\.pe$|(^|\.)ldstatic\.com$|^127\.0\.0\.1$|(^|\.)telegram\.me$|(^|\.)t\.lg$|^localhost$') GROUP BY 1, 2)) WHERE rank <= 300""", with_posts=False)
+def c17_hosts(spark, d):
+    others = F.array(*map(F.lit, ("t.me", "pan.baidu.com", "www.lanzoux.com", "linux.do", "notlinux.do", "localhost", "a.b.115.com")))
+    rows = table(spark, d, "pages").select(F.array_distinct(F.array(urls.domain_of(F.col("url")), others[(F.col("page_id") % 7).cast("int")])).alias("domains"))
+    return facets.domain_histogram(rows, split=True).where("domain <> ''").select("is_file_host", "domain", "n", F.col("rank").cast("int").alias("rank"))
+
+
 @query("e10_valuable_by_channel", "SELECT channel, count(*) AS n FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10 GROUP BY channel")
 def e10_valuable_by_channel(spark, d):
     return facets.valuable(posts(spark, d)).groupBy("channel").agg(F.count("*").alias("n"))

@@ -9,8 +9,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.html import MESSAGE
 
 LIVE = "channel string, msgId long, date string, ts long, views long, text string, category string, categories string, tags string, hashtags string, value double, content double, url string, links string, domains string, lpTitle string, source string, author string, groupTitle string"
-#: Words of lines that name no source.
-SKIP_WORDS = ("bot", "group", "群")
+#: Fixed value: words of lines whose sources aren't wanted.
+SKIP_WORDS = ("色情", "博彩", "赌博", "成人", "约炮", "porn", "sex", "赌", "彩票", "招嫖", "洗钱", "跑分")
 
 
 def raw_messages(spark: SparkSession, path: str) -> DataFrame:
