@@ -1,7 +1,10 @@
-"""A persisted inverted index: term, post, field and positions as Parquet, with lengths of posts and statistics.
+"""An inverted index in segments: term, post, field, positions, number of them and length of the post.
 
-``build`` writes it once; ranking then reads the postings of the query's terms alone, since they are sorted by
-term, and no text. Frequent terms are spread over files by range of (term, id).
+A batch of posts becomes one segment without a shuffle: each task groups its own posts' words and writes them
+sorted by term, so that a search reads the pages of its terms alone. Removed and replaced posts are written down as
+tombstones; numbers of posts and words, and how many posts hold a term, are kept as signed sums. ``compacted``
+merges segments into one that is dealt by term and drops what is dead. Ranking over any number of segments is that
+of one index of the living posts.
 """
 
 from __future__ import annotations
@@ -10,14 +13,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.versions import Version, Versions
 
 #: Weights of the indexed fields, and the ranking function's parameters.
 FIELDS = {"text": 8.0, "tags": 3.0, "domains": 2.0, "channel": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Posts of the rarest phrase up to which other terms' postings are read for these posts alone.
+FEW = 100_000
+#: Tombstones that are broadcast, at most.
+MOST_GONE = 1_000_000
+#: Rows of a batch that are grouped at once.
+ROWS = 500
+SEGMENT = "term string, id long, field string, positions array<int>, n int, length int, first boolean, segment long"
 
 
 def fields_of(posts: DataFrame) -> Column:
@@ -30,76 +43,178 @@ def fields_of(posts: DataFrame) -> Column:
     return F.array(*parts)
 
 
-def postings_of(posts: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
-    """term, id, field, positions (from 0, in order) of all tokens, or of the given terms. Repeated ids count as one post."""
-    # the outer form: for the other Spark infers filters on the array and cuts each text again for them
-    each = posts.select("id", F.explode_outer(fields_of(posts)).alias("f")).select("id", "f.field", F.posexplode("f.words").alias("at", "term"))
-    if terms is not None:
-        each = each.where(F.col("term").isin(*terms))
-    return each.groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-
-
-def lengths_of(posts: DataFrame) -> DataFrame:
-    """id, length: tokens in all indexed fields."""
-    return posts.select("id", F.aggregate(fields_of(posts), F.lit(0), lambda n, f: n + F.size(f["words"])).alias("length"))
+def segment_of(posts: DataFrame, number: int) -> DataFrame:
+    """The rows of a segment. A narrow job; ``first`` marks one row of each term and post. Ids are unique."""
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                fields = batch.column("fields")
+                post = np.repeat(np.arange(batch.num_rows), np.diff(fields.offsets.to_numpy()))
+                flat = fields.flatten()
+                words = flat.field("words")
+                many = np.diff(words.offsets.to_numpy())
+                at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                length = np.bincount(post, many, batch.num_rows).astype(np.int32)
+                each = pa.table({"post": np.repeat(post, many), "field": flat.field("field").take(pa.array(np.repeat(np.arange(len(many)), many))), "term": words.flatten(), "at": pa.array(at.astype(np.int32))})
+                made = each.group_by(["post", "field", "term"], use_threads=False).aggregate([("at", "list"), ("at", "count")]).combine_chunks().sort_by([("term", "ascending"), ("post", "ascending")])
+                if not made.num_rows:
+                    continue
+                rows = made.column("post").to_numpy()
+                term = made.column("term").combine_chunks()
+                code = term.dictionary_encode().indices.to_numpy()
+                first = np.append(True, (code[1:] != code[:-1]) | (rows[1:] != rows[:-1]))
+                columns = [term, batch.column("id").take(pa.array(rows)), made.column("field").combine_chunks(), made.column("at_list").combine_chunks(), made.column("at_count").cast(pa.int32()).combine_chunks(), pa.array(length[rows]), pa.array(first), pa.array(np.full(len(rows), number))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "field", "positions", "n", "length", "first", "segment"])
+
+    return posts.select(F.col("id").cast("long").alias("id"), fields_of(posts).alias("fields")).mapInArrow(run, SEGMENT)
 
 
 @dataclass
 class Index:
-    """Postings (term, id, field, positions), lengths (id, length) and statistics (one row: n, mean)."""
+    """Postings of living posts, statistics (one row: n, mean) and, of a stored index, how many posts hold a term."""
 
     postings: DataFrame
-    lengths: DataFrame
     facts: DataFrame
+    terms: DataFrame | None = None
 
     @staticmethod
     def of(posts: DataFrame, terms: Sequence[str]) -> Index:
-        """An index of a few terms that is made anew at each use."""
-        lengths = lengths_of(posts)
-        return Index(postings_of(posts, terms), lengths, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
-
-    @staticmethod
-    def open(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "facts")))
-
-
-def build(posts: DataFrame, path: str, files: int = 16) -> Index:
-    """Writes the index of ``posts`` below ``path``, over what is there."""
-    postings_of(posts).repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths_of(posts).write.mode("overwrite").parquet(f"{path}/lengths")
-    index = posts.sparkSession.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    index.write.mode("overwrite").parquet(f"{path}/facts")
-    return Index.open(posts.sparkSession, path)
+        """An index of a few terms that is made anew at each use. Repeated ids count as one post."""
+        length = F.aggregate("_fields", F.lit(0), lambda n, f: n + F.size(f["words"]))
+        cut = posts.select("id", fields_of(posts).alias("_fields")).select("id", length.alias("length"), "_fields")
+        # the outer form: for the other Spark infers filters on the array and cuts each text again for them
+        each = cut.select("id", "length", F.explode_outer("_fields").alias("f")).select("id", "length", "f.field", F.posexplode("f.words").alias("at", "term"))
+        each = each.where(F.col("term").isin(*terms)).groupBy("term", "id", "field", "length")
+        return Index(each.agg(F.sort_array(F.collect_list("at")).alias("positions"), F.count("*").cast("int").alias("n")), cut.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
+
+    def frequencies(self, terms: Sequence[str]) -> dict[str, int] | None:
+        """How many posts hold each of a few terms; None for an index that isn't stored."""
+        if self.terms is None:
+            return None
+        held = {r["term"]: r["n"] for r in self.terms.where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        return {t: held.get(t, 0) for t in terms}
+
+
+def added(versions: Versions, now: Version, posts: DataFrame, replace: bool = False) -> tuple[dict, dict]:
+    """Tables and facts of the version after ``now`` in which ``posts`` are indexed; with ``replace`` rows of their ids so far are dead."""
+    tables, facts = removed(versions, now, posts.select("id")) if replace and now.tables.get("postings") else ({}, {})
+    facts = _facts(now) | facts
+    number = facts["segment"] + 1
+    folder = versions.write("postings", segment_of(posts, number).sortWithinPartitions("term", "id"))
+    own = versions.spark.read.parquet(f"{versions.root}/{folder}")
+    terms = versions.write("terms", own.where("first").groupBy("term").agg(F.count("*").alias("n")))
+    lengths = versions.write("lengths", posts.select(F.col("id").cast("long").alias("id"), F.aggregate(fields_of(posts), F.lit(0), lambda n, f: n + F.size(f["words"])).alias("length"), F.lit(number).cast("long").alias("segment")))
+    n, words = versions.spark.read.parquet(f"{versions.root}/{lengths}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    grown = {k: [*tables.get(k, now.tables.get(k, [])), f] for k, f in (("postings", folder), ("terms", terms), ("lengths", lengths))}
+    return tables | grown, facts | {"segment": number, "posts": facts["posts"] + n, "words": facts["words"] + words}
+
+
+def removed(versions: Versions, now: Version, ids: DataFrame) -> tuple[dict, dict]:
+    """Tables and facts of the version after ``now`` without the posts of ``ids``."""
+    facts = _facts(now)
+    if not now.tables.get("postings"):
+        return {}, facts
+    gone = versions.write("gone", ids.select(F.col("id").cast("long").alias("id"), F.lit(facts["segment"]).cast("long").alias("until")).distinct())
+    dead = versions.spark.read.parquet(f"{versions.root}/{gone}").select("id")
+    few = F.broadcast(dead) if dead.count() <= MOST_GONE else dead
+    n, words = living(versions, now, "lengths").join(few, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    lost = living(versions, now, "postings").where("first").join(few, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("n"))
+    tables = {"gone": [*now.tables.get("gone", []), gone], "terms": [*now.tables.get("terms", []), versions.write("terms", lost)]}
+    return tables, facts | {"posts": facts["posts"] - n, "words": facts["words"] - words}
+
+
+def living(versions: Versions, now: Version, name: str) -> DataFrame:
+    """Rows of a table of segments that no tombstone covers: one covers the segments up to its own."""
+    rows, gone = versions.read(now, name), versions.read(now, "gone")
+    if gone is None:
+        return rows
+    until = gone.groupBy("id").agg(F.max("until").alias("until"))
+    until = F.broadcast(until) if gone.count() <= MOST_GONE else until
+    return rows.join(until, "id", "left").where(F.col("until").isNull() | (F.col("segment") > F.col("until"))).drop("until")
+
+
+def compacted(versions: Versions, now: Version, files: int = 16) -> tuple[dict, dict]:
+    """Tables of the version after ``now`` with one segment of the living rows, dealt and sorted by term, and no tombstones."""
+    if not now.tables.get("postings"):
+        return {}, {}
+    whole = versions.write("postings", living(versions, now, "postings").repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id"))
+    lengths = versions.write("lengths", living(versions, now, "lengths"))
+    terms = versions.write("terms", versions.read(now, "terms").groupBy("term").agg(F.sum("n").alias("n")).where("n > 0"))
+    return {"postings": [whole], "lengths": [lengths], "terms": [terms], "gone": []}, {}
+
+
+def _facts(now: Version) -> dict:
+    return {k: now.facts.get(k, 0) for k in ("segment", "posts", "words")}
+
+
+def view(versions: Versions, now: Version | None = None) -> Index:
+    """The index of a version, by default of the current one."""
+    now = now or versions.current()
+    facts = _facts(now)
+    one = versions.spark.createDataFrame([(facts["posts"], facts["words"] / facts["posts"] if facts["posts"] else None)], "n long, mean double")
+    if not now.tables.get("postings"):
+        empty = versions.spark.createDataFrame([], SEGMENT)
+        return Index(empty, one, empty.select("term", F.lit(0).cast("long").alias("n")))
+    return Index(living(versions, now, "postings"), one, versions.read(now, "terms"))
+
+
+def build(posts: DataFrame, path: str) -> Index:
+    """A new index of ``posts`` alone below ``path``, which holds none yet."""
+    versions = Versions(posts.sparkSession, path)
+    return view(versions, versions.commit(versions.current(), *added(versions, versions.current(), posts)))
 
 
 def frequency(at: Column, phrase: Sequence[str]) -> Column:
     """How often a phrase stands in a field, from its terms' positions (a map)."""
     none = F.array().cast("array<int>")
     starts = F.coalesce(at[phrase[0]], none)
-    if len(phrase) == 1:
-        return F.size(starts)
-    follows = lambda i: reduce(lambda a, b: a & b, (F.array_contains(F.coalesce(at[w], none), i + k) for k, w in enumerate(phrase[1:], 1)))
-    return F.size(F.filter(starts, follows))
+    for k, w in enumerate(phrase[1:], 1):
+        starts = F.array_intersect(starts, F.transform(F.coalesce(at[w], none), lambda i, k=k: i - k))
+    return F.size(starts)
+
+
+def weight_of(field: Column) -> Column:
+    return F.create_map(*(F.lit(x) for p in FIELDS.items() for x in p))[field]
+
+
+def score(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
+    """What a phrase adds to a rank, where less is better."""
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
+    return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def ranked(index: Index, phrases: Sequence[Sequence[str]], every: bool = True) -> DataFrame:
     """id, rank (less is better) of the posts that hold every phrase, or any.
 
-    A phrase counts within a field, weighted by it; different phrases may be in different fields. Statistics
-    are of all posts: one row, which is all that is broadcast.
+    A phrase counts within a field, weighted by it; different phrases may be in different fields. Phrases of one
+    word read no positions. A stored index knows how many posts hold a word; where every phrase must be there and
+    its rarest word is in few posts, other words are read for these posts alone.
     """
     terms = sorted({w for p in phrases for w in p})
-    held = index.postings.where(F.col("term").isin(*terms)).groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    weight = F.create_map(*(F.lit(x) for p in FIELDS.items() for x in p))[F.col("field")]
-    counts = held.groupBy("id").agg(*(F.sum(weight * frequency(F.col("at"), p)).alias(f"tf{i}") for i, p in enumerate(phrases)))
-    n = len(phrases)
-    found = counts.where(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(n))))
-    facts = found.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n))).join(F.broadcast(index.facts))
-    hits = found.where(reduce(lambda a, b: a & b if every else a | b, (F.col(f"tf{i}") > 0 for i in range(n))))
-    scored = hits.join(index.lengths, "id").join(F.broadcast(facts))
-    rank = F.lit(0.0)
-    for i in range(n):
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-        f = F.col(f"tf{i}")
-        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    held = index.postings.where(F.col("term").isin(*terms))
+    known = index.frequencies(terms)
+    single = all(len(p) == 1 for p in phrases)
+    if known and len(terms) > 1:
+        # a post that holds a phrase holds the phrase's rarest word; counts of longer phrases need all their posts
+        rarest = {min(p, key=known.__getitem__) for p in phrases}
+        if single and every:
+            rarest = {min(rarest, key=known.__getitem__)}
+        if len(rarest) < len(terms) and sum(known[t] for t in rarest) <= FEW:
+            held = held.join(F.broadcast(index.postings.where(F.col("term").isin(*rarest)).select("id").distinct()), "id", "left_semi")
+    weight = weight_of(F.col("field"))
+    names = [f"tf{i}" for i in range(len(phrases))]
+    if single:
+        tf = {n: F.sum(F.when(F.col("term") == p[0], weight * F.col("n")).otherwise(0.0)) for n, p in zip(names, phrases)}
+    else:
+        held = held.groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("length").alias("length"))
+        tf = {n: F.sum(weight * frequency(F.col("at"), p)) for n, p in zip(names, phrases)}
+    found = held.groupBy("id").agg(F.max("length").alias("length"), *(c.alias(n) for n, c in tf.items()))
+    hits = found.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), (F.col(n) > 0 for n in names)))
+    if single and known is not None:
+        scored, df = hits.join(F.broadcast(index.facts)), {n: F.lit(known[p[0]]) for n, p in zip(names, phrases)}
+    else:
+        counts = found.agg(*(F.count_if(F.col(n) > 0).alias(f"_{n}") for n in names))
+        scored, df = hits.join(F.broadcast(index.facts)).join(F.broadcast(counts)), {n: F.col(f"_{n}") for n in names}
+    rank = reduce(lambda a, b: a + b, (score(F.col(n), df[n], F.col("n"), F.col("length"), F.col("mean")) for n in names), F.lit(0.0))
     return scored.select("id", rank.alias("rank"))
