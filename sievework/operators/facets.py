@@ -163,6 +163,17 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> Da
     return best.groupBy("type").agg(F.count("*").alias("queries"), F.avg((F.coalesce("rank", F.lit(k + 1)) <= k).cast("double")).alias("hit_at_k"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
+#: What a run over the labelled questions must reach, and by how much it may fall short.
+GATE_HIT, GATE_MRR, GATE_SLACK = 0.91, 0.704, (0.01, 0.02)
+
+
+def gate(ranked: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
+    """queries, hit_at_k, mrr, passed: one row, from ranked (question, id, rank) and right answers (question, id), of which the best placed counts."""
+    best = right.join(ranked, ["question", "id"], "left").groupBy("question").agg(F.min("rank").alias("rank"))
+    out = best.agg(F.count("*").alias("queries"), F.avg((F.coalesce("rank", F.lit(k + 1)) <= k).cast("double")).alias("hit_at_k"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    return out.withColumn("passed", (F.col("hit_at_k") >= GATE_HIT - GATE_SLACK[0]) & (F.col("mrr") >= GATE_MRR - GATE_SLACK[1]))
+
+
 def judge_metrics(judged: DataFrame) -> DataFrame:
     """Mean directly relevant and related answers of a query, and the share with one at least, from (query, grade 0 to 2)."""
     each = judged.groupBy("query").agg(F.count_if(F.col("grade") == 2).alias("direct"), F.count_if(F.col("grade") >= 1).alias("related"))

@@ -26,13 +26,24 @@ FIELDS = {"text": 8.0, "tags": 3.0, "domains": 2.0, "channel": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Posts of the rarest phrase up to which other terms' postings are read for these posts alone.
 FEW = 100_000
-#: Tombstones that are broadcast, at most.
+#: Rows that are broadcast, at most.
 MOST_GONE = 1_000_000
 #: Rows of a batch that are grouped at once.
 ROWS = 500
 SEGMENT = "term string, id long, field string, positions array<int>, n int, length int, first boolean, segment long"
 
 
+def sized(df: DataFrame, most: int = MOST_GONE) -> DataFrame:
+    """Broadcast if it has at most ``most`` rows, counted without reading more of them; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def at_hand(df: DataFrame, most: int = 100_000) -> tuple[DataFrame, list | None]:
+    """A table of what users ask, with its rows if there are at most ``most``: made once then, and small enough to broadcast."""
+    rows = df.limit(most + 1).collect()
+    return (df.sparkSession.createDataFrame(rows, df.schema), rows) if len(rows) <= most else (df, None)
+
+
 def fields_of(posts: DataFrame) -> Column:
     """array<struct<field, words>> of a post's indexed fields."""
     parts = []
@@ -92,7 +103,12 @@ class Index:
         """How many posts hold each of a few terms; None for an index that isn't stored."""
         if self.terms is None:
             return None
-        held = {r["term"]: r["n"] for r in self.terms.where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        if len(terms) > 500:
+            asked = F.broadcast(self.terms.sparkSession.createDataFrame([(t,) for t in terms], "term string"))
+            own = self.terms.join(asked, "term", "left_semi")
+        else:
+            own = self.terms.where(F.col("term").isin(*terms))
+        held = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         return {t: held.get(t, 0) for t in terms}
 
 
@@ -117,7 +133,7 @@ def removed(versions: Versions, now: Version, ids: DataFrame) -> tuple[dict, dic
         return {}, facts
     gone = versions.write("gone", ids.select(F.col("id").cast("long").alias("id"), F.lit(facts["segment"]).cast("long").alias("until")).distinct())
     dead = versions.spark.read.parquet(f"{versions.root}/{gone}").select("id")
-    few = F.broadcast(dead) if dead.count() <= MOST_GONE else dead
+    few = sized(dead)
     n, words = living(versions, now, "lengths").join(few, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     lost = living(versions, now, "postings").where("first").join(few, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("n"))
     tables = {"gone": [*now.tables.get("gone", []), gone], "terms": [*now.tables.get("terms", []), versions.write("terms", lost)]}
@@ -130,8 +146,7 @@ def living(versions: Versions, now: Version, name: str) -> DataFrame:
     if gone is None:
         return rows
     until = gone.groupBy("id").agg(F.max("until").alias("until"))
-    until = F.broadcast(until) if gone.count() <= MOST_GONE else until
-    return rows.join(until, "id", "left").where(F.col("until").isNull() | (F.col("segment") > F.col("until"))).drop("until")
+    return rows.join(sized(until), "id", "left").where(F.col("until").isNull() | (F.col("segment") > F.col("until"))).drop("until")
 
 
 def compacted(versions: Versions, now: Version, files: int = 16) -> tuple[dict, dict]:
@@ -169,8 +184,9 @@ def frequency(at: Column, phrase: Sequence[str]) -> Column:
     """How often a phrase stands in a field, from its terms' positions (a map)."""
     none = F.array().cast("array<int>")
     starts = F.coalesce(at[phrase[0]], none)
+    before = lambda k: lambda i: i - k
     for k, w in enumerate(phrase[1:], 1):
-        starts = F.array_intersect(starts, F.transform(F.coalesce(at[w], none), lambda i, k=k: i - k))
+        starts = F.array_intersect(starts, F.transform(F.coalesce(at[w], none), before(k)))
     return F.size(starts)
 
 

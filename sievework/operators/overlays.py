@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import search as S
 from .classify import CATEGORIES, OTHER
 from .dedup import last_writer
+from .index import at_hand, segment_of
 
 
 def favourites(favs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -73,31 +74,60 @@ def digest(posts: DataFrame, pushed: DataFrame, tags: list[str], as_of: str, day
     return S.filtered(posts, f).join(pushed.select("id"), "id", "left_anti").orderBy(F.desc("value"), "id").limit(limit)
 
 
-def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, size: int = 5) -> DataFrame:
+def standing_phrases(subscriptions: DataFrame) -> DataFrame:
+    """subscription, min_value, tags, parts, part, k, term, size: enabled subscriptions, a row for each word of each phrase; without words one row."""
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for own, keyword in zip(pdf["subscription"], pdf["keyword"]):
+                phrases = S.phrases_of(keyword)
+                rows += [(own, len(phrases), i, k, w, len(p)) for i, p in enumerate(phrases) for k, w in enumerate(p)] or [(own, 0, 0, 0, None, 0)]
+            yield pd.DataFrame(rows, columns=["subscription", "parts", "part", "k", "term", "size"])
+
+    given = subscriptions.where("enabled").select(F.col("id").alias("subscription"), "keyword", F.coalesce("min_value", F.lit(0)).cast("double").alias("min_value"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    words = given.select("subscription", "keyword").mapInPandas(run, "subscription long, parts int, part int, k int, term string, size int")
+    return words.join(given.drop("keyword"), "subscription")
+
+
+def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, size: int = 5, terms: DataFrame | None = None) -> DataFrame:
     """subscription, total, ids: each enabled subscription's posts after ``since``, the newest ``size`` of them.
 
-    Subscriptions' phrases are driver-side literals: all are matched in one pass over the new posts.
+    A reverse index: each subscription is keyed by its rarest word (by ``terms``, term and n, of a stored index; else
+    in the new posts), without words by its first tag, without either by nothing. The new posts' words and tags meet
+    the keys in one join, and only those pairs are verified: positions of all phrases, tags, value. Subscriptions
+    stay a table, however many they are. One word needs no positions.
     """
-    subs = [r for r in subscriptions.where("enabled").orderBy("id").collect()]
-    rows = S.indexed(posts.where(F.col("ts") > since))
+    rows = posts.where(F.col("ts") > since)
     rows = rows.where("is_rep") if "is_rep" in posts.columns else rows
-    fields = [c for c in rows.columns if c.startswith("_f_")]
-
-    def matches(r) -> Column:
-        c = F.col("value") >= float(r["min_value"] or 0)
-        for p in S.phrases_of(r["keyword"]):
-            c &= sum((S.frequency(F.col(f), p) for f in fields), F.lit(0)) > 0
-        for t in r["tags"] or []:
-            c &= F.array_contains("tags", t)
-        return c
-
-    if not subs:
-        return posts.sparkSession.createDataFrame([], "subscription long, total long, ids array<long>")
-    hit = F.filter(F.array(*(F.when(matches(r), F.lit(r["id"])) for r in subs)), lambda x: x.isNotNull())
-    each = rows.select("id", "date", "ts", F.explode(hit).alias("subscription"))
+    words, few = at_hand(standing_phrases(subscriptions))
+    near = (lambda df: F.broadcast(df)) if few is not None else (lambda df: df)
+    held = segment_of(rows, 0).select("term", "id", "field", "positions", "first")
+    counts = terms.groupBy("term").agg(F.sum("n").alias("n")) if terms is not None else held.where("first").groupBy("term").agg(F.count("*").alias("n"))
+    if few is not None:
+        asked = F.broadcast(words.select("term").where("term is not null").distinct())
+        counts, _ = at_hand(counts.join(asked, "term", "left_semi"))
+    known = words.join(near(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    word = F.when(F.col("term").isNotNull(), F.concat(F.lit("w:"), "term"))
+    keys = known.groupBy("subscription", "min_value", "tags", "parts").agg(F.min(F.struct("n", word.alias("key"))).alias("r"), F.max("size").alias("longest"))
+    tag = F.when(F.size("tags") > 0, F.concat(F.lit("t:"), F.col("tags")[0]))
+    keys = keys.withColumn("key", F.coalesce("r.key", tag, F.lit("*"))).drop("r")
+    own = rows.select("id", "date", "ts", "value", F.coalesce("tags", F.array().cast("array<string>")).alias("own_tags"))
+    by_word = held.where("first").select("id", F.concat(F.lit("w:"), "term").alias("key"))
+    by_tag = own.select("id", F.explode(F.array_append(F.transform("own_tags", lambda t: F.concat(F.lit("t:"), t)), "*")).alias("key")).distinct()
+    met = by_word.unionByName(by_tag).join(near(keys), "key").drop("key")
+    met = met.join(own, "id").where((F.col("value") >= F.col("min_value")) & (F.size(F.array_except("tags", "own_tags")) == 0))
+    plain = met.where((F.col("parts") <= 1) & (F.col("longest") <= 1)).select("subscription", "id", "date", "ts")
+    asked = met.where((F.col("parts") > 1) | (F.col("longest") > 1)).select("subscription", "id", "date", "ts", "parts")
+    needed = words.join(near(keys.where("parts > 1 or longest > 1").select("subscription")), "subscription", "left_semi").select("subscription", "part", "k", "term", "size")
+    each = held.join(near(needed), "term").join(asked.select("subscription", "id"), ["subscription", "id"], "left_semi")
+    each = each.select("subscription", "id", "part", "field", "size", F.transform("positions", lambda i: i - F.col("k")).alias("starts"))
+    fields = each.groupBy("subscription", "id", "part", "field").agg(F.max("size").alias("size"), F.count("*").alias("there"), F.collect_list("starts").alias("starts"))
+    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect)
+    whole = fields.where((F.col("there") == F.col("size")) & (F.size(common) > 0)).select("subscription", "id", "part").distinct().groupBy("subscription", "id").agg(F.count("*").alias("parts"))
+    hits = plain.unionByName(asked.join(whole, ["subscription", "id", "parts"], "left_semi").drop("parts"))
     w = Window.partitionBy("subscription").orderBy(F.desc("date"), F.desc("ts"), "id")
-    newest = each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
-    totals = each.groupBy("subscription").agg(F.count("*").alias("total"))
+    newest = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
+    totals = hits.groupBy("subscription").agg(F.count("*").alias("total"))
     ids = newest.groupBy("subscription").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
     return totals.join(ids, "subscription")
 

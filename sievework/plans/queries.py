@@ -16,6 +16,7 @@ from ..operators import cluster as K
 from ..operators import dedup, facets, hybrid, index, overlays, reports, search, vectors
 from ..shipping import ship
 from ..streaming import ingest
+from ..streaming.store import PostStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,22 +45,46 @@ def query(name: str, sql: str | None = None, with_posts: bool = True, clustered:
     return register
 
 
-_built: dict[tuple[str, str], index.Index] = {}
+_built: dict[tuple, PostStore] = {}
 
 
-def post_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The stored index of the posts, built once for each application and directory."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def shared_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sievework-")
+    return root.rstrip("/")
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
+
+
+def stored(spark: SparkSession, sf_dir: str, how: str = "build") -> PostStore:
+    """The posts in a store, made once for each application and state of the table's files: as a whole or in batches."""
+    key = (spark.sparkContext.applicationId, how, files_of(spark, f"{sf_dir}/documents.parquet"))
     if key not in _built:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="sievework-")
-        _built[key] = index.build(posts(spark, sf_dir), f"{root.rstrip('/')}/index-{uuid.uuid4().hex}")
+        store = PostStore(spark, f"{shared_root(spark)}/posts-{uuid.uuid4().hex}")
+        if how == "build":
+            store.build(posts(spark, sf_dir))
+        else:
+            rows = posts(spark, sf_dir)
+            cuts = [int(x) for x in rows.approxQuantile("id", [0.5, 0.75, 0.9], 0.01)]
+            for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None])):
+                part = rows if a is None else rows.where(F.col("id") > a)
+                store.append(part if b is None else part.where(F.col("id") <= b), "batches", k)
+        _built[key] = store
     return _built[key]
 
 
+def stored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).posts()
+
+
 def clustered_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.cluster(posts(spark, sf_dir))
 
@@ -80,7 +105,7 @@ def c5_since(spark, d):
 
 @query("c8_collapse", "SELECT id, rep_id, cluster_size FROM clustered WHERE is_rep", clustered=True)
 def c8_collapse(spark, d):
-    return search.filtered(clustered_posts(spark, d)).select("id", "rep_id", "cluster_size")
+    return search.filtered(stored_posts(spark, d)).select("id", "rep_id", "cluster_size")
 
 
 @query("c10_like", "SELECT id FROM posts WHERE contains(lower(text), 'the') AND contains(lower(text), 'onwh')")
@@ -110,7 +135,7 @@ def a12_valuable(spark, d):
 
 
 def _paged(sort: str, page: int) -> Query:
-    return lambda spark, d: search.search(clustered_posts(spark, d), "", sort=sort, page=page, size=25).items.select("id", "date", "views", "value")
+    return lambda spark, d: search.search(stored_posts(spark, d), "", sort=sort, page=page, size=25).items.select("id", "date", "views", "value")
 
 
 for _sort, _by in (("date", "date DESC, ts DESC, id"), ("views", "views DESC, id"), ("value", "value DESC, ts DESC, id")):
@@ -162,17 +187,17 @@ def d_revenue_by_nation(spark, d):
 
 @query("e1_totals", "SELECT count(*) AS n, count(*) FILTER (is_rep) AS visible FROM clustered", clustered=True)
 def e1_totals(spark, d):
-    return facets.totals(clustered_posts(spark, d))
+    return stored(spark, d).totals()
 
 
 @query("e3_by_category", "SELECT category, count(*) AS n FROM clustered WHERE is_rep GROUP BY category", clustered=True)
 def e3_by_category(spark, d):
-    return facets.by_category(clustered_posts(spark, d))
+    return stored(spark, d).facet("category", "category")
 
 
 @query("e4_by_channel", "SELECT channel, count(*) AS n FROM clustered WHERE is_rep GROUP BY channel ORDER BY n DESC, channel LIMIT 60", clustered=True)
 def e4_by_channel(spark, d):
-    return facets.by_channel(clustered_posts(spark, d))
+    return stored(spark, d).facet("channel", "channel", 60)
 
 
 @query("e5_group_stats", "SELECT channel, count(*) AS n, max(group_title) AS group_title FROM posts WHERE source = 'group' GROUP BY channel ORDER BY n DESC, channel LIMIT 20")
@@ -182,7 +207,7 @@ def e5_group_stats(spark, d):
 
 @query("e7_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM clustered WHERE is_rep AND value >= 4) GROUP BY tag ORDER BY n DESC, tag LIMIT 40", clustered=True)
 def e7_tags(spark, d):
-    return facets.tag_histogram(clustered_posts(spark, d))
+    return stored(spark, d).facet("tag", "tag", 40)
 
 
 @query("e8_domains", r"SELECT domain, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)', 1)), '^www\.', '') AS domain FROM pages) GROUP BY domain ORDER BY n DESC, domain LIMIT 300", with_posts=False)
@@ -289,7 +314,7 @@ def g7_top_500(spark, d):
 
 @query("g9_highlights", "SELECT id, value FROM clustered WHERE is_rep AND id > 100 AND value >= 7 ORDER BY value DESC, id LIMIT 20", clustered=True)
 def g9_highlights(spark, d):
-    return facets.highlights(clustered_posts(spark, d), 100).select("id", "value")
+    return facets.highlights(stored_posts(spark, d), 100).select("id", "value")
 
 
 @query("g10_free_deals", "SELECT id, value FROM posts WHERE (list_contains(tags, '免费') OR list_contains(tags, '限时')) AND NOT list_contains(tags, '风险') AND length(text) >= 25 ORDER BY value DESC, id LIMIT 70")
@@ -410,7 +435,7 @@ def _bm25_sql(phrases: list[list[str]], tail: str) -> str:
 
 @query("j3_bm25", _bm25_sql([["the", "of"], ["and"]], "SELECT id, round(rank, 6) AS rank FROM ranked"), clustered=True)
 def j3_bm25(spark, d):
-    rows = search.bm25(clustered_posts(spark, d), [["the", "of"], ["and"]], index=post_index(spark, d))
+    rows = search.bm25(stored_posts(spark, d), [["the", "of"], ["and"]], index=stored(spark, d).index())
     return rows.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -423,22 +448,30 @@ facts AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (tf0 > 0) AS df
 SELECT id, round(- greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / mean)) - greatest(1e-6, ln((n - df1 + 0.5) / (df1 + 0.5))) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / mean))
   - greatest(1e-6, ln((n - df2 + 0.5) / (df2 + 0.5))) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS rank FROM counted, facts WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0""")
 def j3_bm25_fields(spark, d):
-    return index.ranked(post_index(spark, d), [["example"], ["src1"], ["免", "费"]], every=False).select("id", F.round("rank", 6).alias("rank"))
+    return index.ranked(stored(spark, d).index(), [["example"], ["src1"], ["免", "费"]], every=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("b3_index", r"""SELECT term, field, count(*) AS posts, CAST(sum(n) AS BIGINT) AS places FROM (
   SELECT id, field, term, count(*) AS n FROM (
     SELECT id, 'text' AS field, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM posts
-    UNION ALL SELECT id, 'channel', channel FROM posts UNION ALL SELECT id, 'domains', unnest(string_split(domains[1], '.')) FROM posts WHERE len(domains) > 0) GROUP BY 1, 2, 3)
+    UNION ALL SELECT id, 'channel', channel FROM posts UNION ALL SELECT id, 'domains', unnest(string_split(domains[1], '.')) FROM posts WHERE len(domains) > 0
+    UNION ALL SELECT id, 'tags', unnest(string_split(array_to_string(tags, ''), '')) FROM posts WHERE len(tags) > 0) GROUP BY 1, 2, 3)
 GROUP BY term, field""")
 def b3_index(spark, d):
-    rows = post_index(spark, d).postings.where("field <> 'tags'")
-    return rows.groupBy("term", "field").agg(F.count("*").alias("posts"), F.sum(F.size("positions")).cast("long").alias("places"))
+    rows = stored(spark, d).index().postings
+    return rows.groupBy("term", "field").agg(F.count("*").alias("posts"), F.sum("n").cast("long").alias("places"))
+
+
+@query("b1_store_build", """, words AS (SELECT *, {0} AS t FROM clustered) SELECT count(*) AS posts, CAST(sum(len(t) + 2 * len(tags) + 2 * len(domains) + 1) AS BIGINT) AS words, count(*) FILTER (is_rep) AS visible FROM words""".replace("{0}", TOKENS_SQL.format("text")), clustered=True)
+def b1_store_build(spark, d):
+    store = stored(spark, d)
+    facts = store.versions.current().facts
+    return store.totals().select(F.lit(facts["posts"]).cast("long").alias("posts"), F.lit(facts["words"]).cast("long").alias("words"), "visible")
 
 
 @query("j10_search", _bm25_sql([["the"], ["and"]], "SELECT id, round(rank - 0.5 * value, 6) AS score FROM ranked WHERE is_rep AND value >= 2 ORDER BY rank - 0.5 * value, id LIMIT 30"), clustered=True)
 def j10_search(spark, d):
-    found = search.search(clustered_posts(spark, d), "The, and!", search.Filters(min_value=2), index=post_index(spark, d))
+    found = search.search(stored_posts(spark, d), "The, and!", search.Filters(min_value=2), index=stored(spark, d).index())
     return found.items.select("id", F.round(F.col("rank") - 0.5 * F.col("value"), 6).alias("score"))
 
 
@@ -448,9 +481,54 @@ def j5_clustering(spark, d):
     return rows.groupBy("cluster_key").agg(F.min("rep_id").alias("rep_id"), F.max("cluster_size").alias("cluster_size"), F.count("*").alias("n"))
 
 
-@query("j11_keyword_rank")
+def _questions_sql(questions: str, tail: str) -> str:
+    """Questions (question, text) of lower-case words: the searches of each, their hits, scores and ranks."""
+    return f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM clustered), sized AS (SELECT *, len(t) + 2 * len(tags) + 2 * len(domains) + 1 AS dl FROM words), facts AS (SELECT count(*) AS n, avg(dl) AS mean FROM sized),
+    questions AS ({questions}), asked AS (SELECT question, list_filter(regexp_split_to_array(trim(regexp_replace(text, '[?]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM questions),
+    uses AS (SELECT question, 'whole' AS key, 1.4 AS weight, 12 AS hits, FALSE AS damped, unnest(w) AS term FROM asked UNION ALL
+      SELECT DISTINCT question, 't:' || term, 1.0, 8, TRUE, term FROM (SELECT question, unnest(list_filter(w, lambda x: length(x) >= 2)[1:6]) AS term FROM asked)),
+    parts AS (SELECT question, key, count(*) AS parts FROM uses GROUP BY 1, 2),
+    tok AS (SELECT id, 8.0 AS w, unnest(t) AS term FROM sized UNION ALL SELECT id, 2.0, unnest(string_split(domains[1], '.')) FROM sized WHERE len(domains) > 0 UNION ALL SELECT id, 1.0, channel FROM sized),
+    tf AS (SELECT id, term, CAST(sum(w) AS DOUBLE) AS tf FROM tok WHERE term IN (SELECT term FROM uses) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    found AS (SELECT question, key, weight, hits, damped, s.id, sum(-greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) - 0.5 * any_value(value) AS rank, count(*) AS there
+      FROM uses JOIN tf USING (term) JOIN df USING (term) JOIN sized s ON s.id = tf.id, facts WHERE is_rep GROUP BY 1, 2, 3, 4, 5, 6),
+    hit AS (SELECT f.*, count(*) OVER (PARTITION BY f.question, f.key) AS total, row_number() OVER (PARTITION BY f.question, f.key ORDER BY round(rank, 9), id) AS place FROM found f JOIN parts p ON f.question = p.question AND f.key = p.key AND f.there = p.parts),
+    tops AS (SELECT question, id, max(weight * CASE WHEN damped AND total > 200 THEN 1 / (1 + log10(total / 200.0) * 0.8) ELSE 1.0 END) AS w, count(*) AS keys FROM hit WHERE place <= hits GROUP BY 1, 2),
+    scored AS (SELECT question, s.id, round(w * (1 + keys * 0.7 - 0.7) * (1 + value / 4) * CASE WHEN date > '2026-04' THEN 1.18 ELSE 1 END * CASE WHEN list_contains(tags, '免费') OR list_contains(tags, '限时') THEN 1.3 ELSE 1 END * CASE WHEN len(links) > 0 THEN 1.15 ELSE 1 END
+      * CASE WHEN list_contains(tags, '风险') THEN 0.5 ELSE 1 END * CASE WHEN regexp_matches(substr(text, 1, 80), '\\?$') THEN 0.6 ELSE 1 END * CASE WHEN length(text) < 45 THEN 0.55 ELSE 1 END, 9) AS score FROM tops JOIN sized s ON s.id = tops.id),
+    answers AS (SELECT question, id, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored) {tail}"""
+
+
+@query("j11_keyword_rank", _questions_sql("SELECT 0 AS question, 'the onwh of and tion?' AS text", "SELECT id, round(score, 6) AS score, rank FROM answers WHERE rank <= 40"), clustered=True)
 def j11_keyword_rank(spark, d):
-    return hybrid.keyword_rank(clustered_posts(spark, d), "the onwh of and tion?").select("id", "score", "rank")
+    found = hybrid.keyword_rank(stored_posts(spark, d), "the onwh of and tion?", index=stored(spark, d).index())
+    return found.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+#: Questions: the first eight plain words of each passage of the benchmark.
+ASKED_SQL = "SELECT CAST(item_id AS BIGINT) AS question, array_to_string(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[a-z]{2,}'))[1:8], ' ') AS text FROM benchmark"
+
+
+def asked(spark, d):
+    words = F.slice(F.filter(F.split("text", " "), lambda x: x.rlike("^[a-z]{2,}$")), 1, 8)
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("question"), F.array_join(words, " ").alias("text"))
+
+
+@query("j27_questions", _questions_sql(ASKED_SQL, "SELECT question, id, round(score, 6) AS score, rank FROM answers WHERE rank <= 10"), clustered=True)
+def j27_questions(spark, d):
+    found = hybrid.keyword_ranks(stored_posts(spark, d), asked(spark, d), stored(spark, d).index(), limit=10)
+    return found.select("question", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("j27_gate", _questions_sql(ASKED_SQL, """, expected AS (SELECT CAST(b.item_id AS BIGINT) AS question, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN clustered c ON c.id = d.doc_id AND c.is_rep),
+    best AS (SELECT e.question, min(a.rank) AS rank FROM expected e LEFT JOIN answers a ON a.question = e.question AND a.id = e.id AND a.rank <= 40 GROUP BY 1)
+    SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 8) AS hit_at_k, round(avg(coalesce(1.0 / rank, 0)), 8) AS mrr, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) >= 0.91 - 0.01 AND avg(coalesce(1.0 / rank, 0)) >= 0.704 - 0.02 AS passed FROM best"""), clustered=True)
+def j27_gate(spark, d):
+    """The benchmark's passages as labelled questions: any visible document that holds the passage is right."""
+    rows = stored_posts(spark, d)
+    ranked = hybrid.keyword_ranks(rows, asked(spark, d), stored(spark, d).index(), limit=40)
+    right = facets.containing(table(spark, d, "documents"), table(spark, d, "benchmark")).select(F.col("item_id").cast("long").alias("question"), F.col("doc_id").alias("id")).distinct()
+    return facets.gate(ranked, right.join(rows.where("is_rep").select("id"), "id", "left_semi")).select("queries", F.round("hit_at_k", 8).alias("hit_at_k"), F.round("mrr", 8).alias("mrr"), "passed")
 
 
 @query("j12_fusion", """, a AS (SELECT id, row_number() OVER (ORDER BY value DESC, id) AS rank FROM posts), b AS (SELECT id, row_number() OVER (ORDER BY views DESC, id) AS rank FROM posts),
@@ -461,13 +539,6 @@ def j12_fusion(spark, d):
     return hybrid.fuse([ranked("value"), ranked("views")]).select("id", F.round("score", 8).alias("score"))
 
 
-@query("j14_retrieve")
-def j14_retrieve(spark, d):
-    items = vectors.encode(table(spark, d, "embeddings"), id_col="vec_id")
-    q = items.where("id = 7").first()
-    return hybrid.retrieve(clustered_posts(spark, d), "the onwh and", items, q["vec"], q["norm"], k=14).select("id", "rank")
-
-
 QUANT_SQL = """
 v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
@@ -476,6 +547,16 @@ m AS (SELECT id, vec, sqrt(CAST(list_sum(list_transform(vec, lambda x: x * x)) A
 """
 
 
+@query("j14_retrieve", _questions_sql("SELECT 0 AS question, 'the onwh and' AS text", f""", {QUANT_SQL}, near AS (SELECT m.id, row_number() OVER (ORDER BY list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) DESC, m.id) AS rank
+  FROM m JOIN clustered c ON c.id = m.id AND c.is_rep, (SELECT * FROM m WHERE id = 7) r),
+  lists AS (SELECT id, rank, 0 AS list FROM answers WHERE rank <= 42 UNION ALL SELECT id, rank, 1 FROM near WHERE rank <= 42), fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 12) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY id)
+  SELECT id, CAST(row_number() OVER (ORDER BY score DESC, first, id) AS INTEGER) AS rank FROM fused ORDER BY rank LIMIT 14"""), clustered=True)
+def j14_retrieve(spark, d):
+    items = vectors.encode(table(spark, d, "embeddings"), id_col="vec_id")
+    q = items.where("id = 7").first()
+    return hybrid.retrieve(stored_posts(spark, d), "the onwh and", items, q["vec"], q["norm"], k=14, index=stored(spark, d).index()).select("id", "rank")
+
+
 @query("j15_codec", f"WITH {QUANT_SQL} SELECT id, round(norm, 6) AS norm, array_to_string(vec, ',') AS vec FROM m", with_posts=False)
 def j15_codec(spark, d):
     items = vectors.encode(table(spark, d, "embeddings"), id_col="vec_id")
@@ -494,14 +575,18 @@ def j17_similar(spark, d):
     return vectors.nearest_to(vectors.encode(table(spark, d, "embeddings"), id_col="vec_id"), 11).select("id")
 
 
-@query("j18_related")
+@query("j18_related", f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM posts), sized AS (SELECT *, len(t) + 2 * len(tags) + 2 * len(domains) + 1 AS dl FROM words), facts AS (SELECT count(*) AS n, avg(dl) AS mean FROM sized),
+keys AS (SELECT lower(unnest(list_distinct(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9_.-]{{2,}})', 1)[1:6]))) AS k FROM posts WHERE id = 3), phrases AS (SELECT k, list_filter(regexp_split_to_array(k, '[^a-z0-9]+'), lambda x: x <> '') AS p FROM keys),
+tf AS (SELECT k, id, dl, 8.0 * CASE WHEN len(p) = 1 THEN len(list_filter(t, lambda x: x = p[1])) ELSE len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + len(p) - 1] = p)) END + 2.0 * CASE WHEN len(p) = 1 AND len(domains) > 0 THEN len(list_filter(string_split(domains[1], '.'), lambda x: x = p[1])) ELSE 0 END + 1.0 * (len(p) = 1 AND channel = p[1])::INT AS tf FROM phrases, sized),
+df AS (SELECT k, count(*) AS df FROM tf WHERE tf > 0 GROUP BY k)
+SELECT id, round(sum(-greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS rank FROM tf JOIN df USING (k), facts WHERE tf > 0 AND id <> 3 GROUP BY id ORDER BY rank, id LIMIT 8""")
 def j18_related(spark, d):
-    return search.related(posts(spark, d), 3, index=post_index(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+    return search.related(stored_posts(spark, d), 3, index=stored(spark, d).index()).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("j22_digest", "SELECT id, value FROM clustered WHERE is_rep AND list_contains(tags, '免费') AND date >= '2024-11-01' AND value >= 6 AND id % 3 <> 0 ORDER BY value DESC, id LIMIT 12", clustered=True)
 def j22_digest(spark, d):
-    rows = clustered_posts(spark, d)
+    rows = stored_posts(spark, d)
     return overlays.digest(rows, rows.where("id % 3 = 0").select("id"), ["免费"], "2024-12-01", days=30).select("id", "value")
 
 
@@ -510,7 +595,17 @@ hits AS (SELECT 1 AS subscription, id FROM words WHERE list_contains(t, 'onwh')
 SELECT CAST(subscription AS BIGINT) AS subscription, count(*) AS total, array_to_string(list(h.id ORDER BY date DESC, ts DESC, h.id)[1:5], ',') AS ids FROM hits h JOIN posts p ON p.id = h.id GROUP BY subscription""", clustered=True)
 def j23_subscriptions(spark, d):
     subs = spark.createDataFrame([(1, "onwh", [], 0.0, True), (2, "the", ["限时"], 5.0, True), (3, "of", [], 0.0, False)], "id long, keyword string, tags array<string>, min_value double, enabled boolean")
-    return overlays.subscription_hits(clustered_posts(spark, d), subs, 1710000000).select("subscription", "total", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return overlays.subscription_hits(stored_posts(spark, d), subs, 1710000000, terms=stored(spark, d).index().terms).select("subscription", "total", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("j23_many", f""", words AS (SELECT *, {TOKENS_SQL.format("text")} AS t FROM clustered), subs AS (SELECT id AS subscription, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[a-z]{{4,}}'))[2:3] AS w, tags[1:1] AS tags, id % 5 AS least FROM posts WHERE id % 4 = 0),
+hits AS (SELECT s.subscription, c.id, c.date, c.ts FROM subs s JOIN words c ON is_rep AND ts > 1704067200 AND value >= least AND len(list_filter(s.w, lambda x: NOT list_contains(t, x))) = 0 AND len(list_filter(s.tags, lambda x: NOT list_contains(c.tags, x))) = 0)
+SELECT subscription, count(*) AS total, array_to_string(list(id ORDER BY date DESC, ts DESC, id)[1:5], ',') AS ids FROM hits GROUP BY 1""", clustered=True)
+def j23_many(spark, d):
+    """A subscription of every fourth post: two of its words, one of its tags."""
+    words = F.slice(F.filter(F.split("text", " "), lambda x: x.rlike("^[a-z]{4,}$")), 2, 2)
+    subs = stored_posts(spark, d).where("id % 4 = 0").select("id", F.array_join(words, " ").alias("keyword"), F.slice("tags", 1, 1).alias("tags"), (F.col("id") % 5).alias("min_value"), F.lit(True).alias("enabled"))
+    return overlays.subscription_hits(stored_posts(spark, d), subs, 1704067200, terms=stored(spark, d).index().terms).select("subscription", "total", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("j25_last_turns", "SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations WHERE role IN ('user', 'assistant')) WHERE p <= 6", with_posts=False)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapter import posts, table
 from ..functions import display, text, urls
 from ..operators import cluster as K
-from ..operators import discover, facets, hybrid, overlays, reports, sync, vectors
+from ..operators import discover, facets, hybrid, index, overlays, reports, sync, vectors
 from ..sources import imports
-from .queries import QUANT_SQL, TOKENS_SQL, clustered_posts, query
+from ..sources.versions import Versions
+from .queries import QUANT_SQL, TOKENS_SQL, clustered_posts, query, stored, stored_posts
 
 LABELS_SQL = "labs AS (SELECT doc_id AS post_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS category, CAST(quality * 5 AS DOUBLE) AS value FROM labels)"
 
@@ -37,6 +40,43 @@ def j4_online_clustering(spark, d):
     return K.joined(none, posts(spark, d)).select("id", "rep_id", "cluster_size", "is_rep")
 
 
+ONLINE_SQL = """, k AS (SELECT cluster_key, arg_min(channel, id) AS owner, min(id) AS first FROM posts WHERE cluster_key IS NOT NULL GROUP BY cluster_key),
+j AS (SELECT p.*, k.first, coalesce(p.channel <> k.owner, FALSE) AS joins FROM posts p LEFT JOIN k ON p.cluster_key = k.cluster_key)"""
+
+
+@query("j4_stored_clusters", ONLINE_SQL + """ SELECT id, CASE WHEN joins THEN first ELSE id END AS rep_id, NOT joins AS is_rep,
+  CAST(CASE WHEN joins THEN 1 + row_number() OVER (PARTITION BY cluster_key, joins ORDER BY id) WHEN id = first THEN 1 + count(*) FILTER (joins) OVER (PARTITION BY cluster_key) ELSE 1 END AS INTEGER) AS cluster_size FROM j""")
+def j4_stored_clusters(spark, d):
+    """The posts in four batches, each on top of the stored ones."""
+    return stored(spark, d, "batches").posts().select("id", "rep_id", "is_rep", "cluster_size")
+
+
+@query("e28_kept_counts", ONLINE_SQL + """ SELECT kind, key, count(*) AS n FROM (
+  SELECT 'posts' AS kind, '' AS key FROM j UNION ALL SELECT 'visible', '' FROM j WHERE NOT joins UNION ALL SELECT 'category', category FROM j WHERE NOT joins UNION ALL SELECT 'channel', channel FROM j WHERE NOT joins
+  UNION ALL SELECT 'month', substr(date, 1, 7) FROM j UNION ALL SELECT 'eligible', '' FROM j WHERE value >= 4 AND length(text) >= 15 UNION ALL SELECT 'merged', '' FROM j WHERE joins
+  UNION ALL SELECT 'tag', unnest(tags) FROM j WHERE NOT joins AND value >= 4) GROUP BY 1, 2""")
+def e28_kept_counts(spark, d):
+    return stored(spark, d, "batches").counts()
+
+
+@query("b3_segments", r""", words AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM posts WHERE id % 7 <> 3), counted AS (SELECT id, len(t) + 2 * len(tags) + 2 * len(domains) + 1 AS dl,
+  8.0 * len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf0, 8.0 * len(list_filter(t, lambda x: x = 'and')) AS tf1 FROM words),
+facts AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM counted)
+SELECT id, round(- greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / mean)) - greatest(1e-6, ln((n - df1 + 0.5) / (df1 + 0.5))) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS rank FROM counted, facts WHERE tf0 > 0 AND tf1 > 0""")
+def b3_segments(spark, d):
+    """The index of four batches, some replaced, then without every seventh post, then compacted: ranks are those of one build."""
+    store = stored(spark, d, "batches")
+    versions = Versions(spark, f"{store.versions.root}-{uuid.uuid4().hex}")
+    rows = store.posts()
+    change = lambda f, *a, **k: versions.commit(versions.current(), *f(versions, versions.current(), *a, **k))
+    for r in range(3):
+        change(index.added, rows.where(F.col("id") % 3 == r).withColumn("text", F.when(F.col("id") % 15 == 0, "of the and").otherwise(F.col("text"))))
+    change(index.added, rows.where(F.col("id") % 15 == 0), replace=True)
+    change(index.removed, rows.where(F.col("id") % 7 == 3).select("id"))
+    change(index.compacted)
+    return index.ranked(index.view(versions), [["of", "the"], ["and"]]).select("id", F.round("rank", 6).alias("rank"))
+
+
 @query("j26_sync", f""", {SOURCES_SQL}, keys AS (SELECT channel, msg_id, count(*) AS n FROM posts GROUP BY 1, 2),
 each AS (SELECT k.channel, sum(n) AS seen, count(*) FILTER (l.doc_id IS NULL) AS added FROM keys k LEFT JOIN labels l ON k.msg_id = l.doc_id GROUP BY 1)
 SELECT s.channel, CAST(coalesce(seen, 0) AS BIGINT) AS seen, CAST(coalesce(added, 0) AS BIGINT) AS added, CAST(coalesce(seen - added, 0) AS BIGINT) AS duplicate FROM sources s LEFT JOIN each e ON s.channel = e.channel WHERE kind IN ('channel', 'web')""")
@@ -110,7 +150,7 @@ SELECT CAST(1 AS BIGINT) AS id, CAST(3 + count(*) FILTER (list_contains(t, 'onwh
 def o10_hit_counts(spark, d):
     rows = [(1, "onwh", [], 0.0, True, 3), (2, "of", [], 0.0, False, 0), (3, "the", [], 0.0, True, None)]
     subs = spark.createDataFrame(rows, "id long, keyword string, tags array<string>, min_value double, enabled boolean, hit_count long")
-    return overlays.with_hits(subs, overlays.subscription_hits(clustered_posts(spark, d), subs, 1710000000)).select("id", "hit_count")
+    return overlays.with_hits(subs, overlays.subscription_hits(stored_posts(spark, d), subs, 1710000000, terms=stored(spark, d).index().terms)).select("id", "hit_count")
 
 
 # --- evaluation, vectors ------------------------------------------------------------------------------------------

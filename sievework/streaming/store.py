@@ -15,18 +15,13 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as K
 from ..operators import index as I
+from ..operators.index import sized
 from ..sources.versions import Version, Versions
 
-#: Rows that are broadcast, at most.
-MOST_BROADCAST = 1_000_000
 #: Fixed value: posts of that value at least count in the histogram of tags.
 TAG_VALUE = 4.0
 
 
-def sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def numbered(rows: DataFrame, versions: Versions, first: int) -> DataFrame:
     """``rows`` with ids from ``first`` on, without gaps, in the order in which they lie in a folder written for it."""
     folder = versions.write("drafts", rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_turn")))
