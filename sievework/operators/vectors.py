@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, normalized, quantized, stored_norm
@@ -27,6 +29,79 @@ def nearest(items: DataFrame, query: Sequence[int], query_norm: float, k: int =
     return items.where(F.col("vec").isNotNull() & (F.size("vec") == len(query))).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Rows of a stored block.
+BLOCK = 4096
+BLOCKS = "ids binary, vecs binary, norms binary, n int, dim int"
+
+
+def blocks_of(items: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """ids, vecs, norms, n, dim: vectors (of ``encode``) of one length packed as binaries, a row for each block. A narrow job.
+
+    Ids are 64-bit numbers, components bytes, norms double floats, all little-endian. Null vectors and ids are left out.
+    """
+    def run(batches):
+        held: dict[int, list] = {}
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                held.setdefault(int(dim), []).append(own)
+                while sum(map(len, held[dim])) >= rows:
+                    whole = pd.concat(held[dim])
+                    yield packed(whole.iloc[:rows], dim)
+                    held[dim] = [whole.iloc[rows:]]
+        for dim, own in held.items():
+            if sum(map(len, own)):
+                yield packed(pd.concat(own), dim)
+
+    def packed(pdf, dim):
+        vecs = np.stack(pdf["vec"].to_numpy()).astype(np.int8) if dim else np.zeros((len(pdf), 0), np.int8)
+        return pd.DataFrame({"ids": [pdf["id"].to_numpy("<i8").tobytes()], "vecs": [vecs.tobytes()], "norms": [pdf["norm"].to_numpy("<f8").tobytes()], "n": [len(pdf)], "dim": [dim]})
+
+    given = items.where(F.col("vec").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "vec", "norm", F.size("vec").alias("dim"))
+    return given.mapInPandas(run, BLOCKS)
+
+
+def nearest_in(blocks: DataFrame, queries: list[tuple[int, Sequence[int], float]], k: int = 200, within: DataFrame | None = None) -> DataFrame:
+    """query, id, score, rank of the k items of each query's length with the largest cosine; ties by id.
+
+    ``queries`` (number, vector, norm) are few enough to send; all of them meet a block in one matrix product, which is exact,
+    as products of bytes sum up to whole numbers that single floats hold. Each task keeps k items a query. ``within``: ids
+    (at most a million) that alone may be found.
+    """
+    by_dim: dict[int, list] = {}
+    for q in queries:
+        by_dim.setdefault(len(q[1]), []).append(q)
+    sent = {d: (np.array([q[0] for q in own], np.int64), np.array([q[1] for q in own], np.float32).reshape(len(own), d), np.array([q[2] or 1.0 for q in own])) for d, own in by_dim.items()}
+    wanted = None if within is None else np.sort(np.array([r["id"] for r in within.select("id").distinct().limit(1_000_001).collect()], np.int64))
+    if wanted is not None and len(wanted) > 1_000_000:
+        raise ValueError("within holds more than a million ids: join the result instead")
+
+    def run(batches):
+        best: dict[int, list] = {}
+        for batch in batches:
+            for ids, vecs, norms, n, dim in zip(*(batch.column(c).to_pylist() for c in ("ids", "vecs", "norms", "n", "dim"))):
+                if dim not in sent:
+                    continue
+                numbers, asked, lengths = sent[dim]
+                own, norm = np.frombuffer(ids, "<i8"), np.frombuffer(norms, "<f8")
+                x = np.frombuffer(vecs, np.int8).reshape(n, dim)
+                if wanted is not None:
+                    keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))] == own) if len(wanted) else np.zeros(0, np.int64)
+                    own, norm, x = own[keep], norm[keep], x[keep]
+                exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64
+                score = (asked.astype(exact) @ x.astype(exact).T).astype(np.float64) / (norm[None] * lengths[:, None])
+                for i, number in enumerate(numbers.tolist()):
+                    s, at = score[i], own
+                    if number in best:
+                        s, at = np.concatenate([best[number][0], s]), np.concatenate([best[number][1], at])
+                    top = np.lexsort((at, -s))[:k]
+                    best[number] = (s[top], at[top])
+        for number, (s, at) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(at), pa.array(s)], ["query", "id", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return blocks.mapInArrow(run, "query long, id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest_to(items: DataFrame, item_id: int, n: int = 8) -> DataFrame | None:
     """The n items most like one of them, without it; None if it has no vector."""
     own = items.where(F.col("id") == item_id).select("vec", "norm").first()

@@ -272,7 +272,7 @@ def b11_stats(spark, d):
 # --- imports and exports ------------------------------------------------------------------------------------------
 
 
-@query("a7_web_import", r"""SELECT page_id, 'web_' || host AS channel, CAST(('0x' || substr(md5(url), 1, 8)) AS BIGINT) % 2000000000 AS msg_id, coalesce(nullif(title, ''), host) AS group_title, '2025-01-01' AS date FROM (
+@query("a7_web_import", r"""SELECT page_id, 'web_' || host AS channel, CAST(('0x' || substr(md5(url), 1, 15)) AS BIGINT) AS msg_id, coalesce(nullif(title, ''), host) AS group_title, '2025-01-01' AS date FROM (
   SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
     regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages WHERE html <> '' AND url IS NOT NULL)""", with_posts=False)
 def a7_web_import(spark, d):

@@ -13,8 +13,6 @@ from ..functions.urls import links_in, parse_link
 from ..operators.classify import classify
 from ..operators.sync import from_group
 
-#: Fixed value: numbers of messages stay below.
-MOST_ID = 2_000_000_000
 #: Fixed value: messages of a channel that one import reads.
 MOST_MESSAGES = 2000
 #: The parts of an update that are read.
@@ -25,8 +23,8 @@ UPDATE = (
 
 
 def page_number(url: Column) -> Column:
-    """A number of a page that every run and every retry gives again."""
-    return F.conv(F.substring(F.md5(url.cast("binary")), 1, 8), 16, 10).cast("long") % MOST_ID
+    """A number of a page that every run and every retry gives again: 60 bits of its digest, which two of a million pages of a host share with a chance of 4e-7."""
+    return F.conv(F.substring(F.md5(url.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def as_posts(messages: DataFrame, as_of: int | None, previews: bool) -> DataFrame:
@@ -97,8 +95,9 @@ def group_posts(updates: DataFrame, json_col: str = "json") -> DataFrame:
 class Updates(DataSource):
     """``numbered_updates``: a stream of (update_id, json) from an injected fetcher, asked from the next number on.
 
-    Option: fetcher (``module:function`` of an offset, giving updates of that number or later, in order). A
-    batch that is read again after a failure holds the same numbers.
+    Options: fetcher (``module:function`` of an offset, giving updates of that number or later, in order), rows and
+    bytes (how much one trigger takes at most; one update is always taken, and what is left comes next). A batch that
+    is read again after a failure holds the same numbers.
     """
 
     @classmethod
@@ -109,12 +108,12 @@ class Updates(DataSource):
         return "update_id long, json string"
 
     def simpleStreamReader(self, schema):
-        return UpdateReader(self.options["fetcher"])
+        return UpdateReader(self.options["fetcher"], int(self.options.get("rows", 0)), int(self.options.get("bytes", 0)))
 
 
 class UpdateReader(SimpleDataSourceStreamReader):
-    def __init__(self, fetcher: str):
-        self.fetcher = fetcher
+    def __init__(self, fetcher: str, rows: int = 0, size: int = 0):
+        self.fetcher, self.rows, self.size = fetcher, rows, size
 
     def fetch(self, offset: int) -> list[tuple[int, str]]:
         module, _, name = self.fetcher.partition(":")
@@ -124,8 +123,13 @@ class UpdateReader(SimpleDataSourceStreamReader):
         return {"offset": 0}
 
     def read(self, start: dict):
-        rows = self.fetch(start["offset"])
-        return iter(rows), {"offset": max((i for i, _ in rows), default=start["offset"] - 1) + 1}
+        taken, size = [], 0
+        for number, text in self.fetch(start["offset"]):
+            size += len(text.encode())
+            if taken and (self.rows and len(taken) >= self.rows or self.size and size > self.size):
+                break
+            taken.append((number, text))
+        return iter(taken), {"offset": max((i for i, _ in taken), default=start["offset"] - 1) + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict):
         return iter([r for r in self.fetch(start["offset"]) if r[0] < end["offset"]])

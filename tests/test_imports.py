@@ -22,11 +22,16 @@ def test_web_posts(spark):
     one, bare = rows["https://A.example.com/x"], rows["https://b.example.com/"]
     assert (one["channel"], one["group_title"], one["date"], one["ts"], one["source"]) == ("web_a.example.com", "One & two", "1970-01-02", 86400, "web")
     assert bare["group_title"] == "b.example.com" and bare["links"] == "https://b.example.com/" and "bare" in bare["text"]
-    assert one["msg_id"] != bare["msg_id"] and all(0 <= r["msg_id"] < imports.MOST_ID for r in rows.values())
+    assert one["msg_id"] != bare["msg_id"] and all(0 <= r["msg_id"] < 1 << 60 for r in rows.values())
     assert sorted(rows.values()) == sorted(imports.web_posts(pages, 86400).collect())
     assert imports.web_posts(pages.limit(0), 1).count() == 0
 
 
+def test_pages_of_one_host_have_numbers_of_their_own(spark):
+    urls = spark.range(200_000).select(F.concat(F.lit("https://example.com/page/"), "id").alias("url"))
+    assert urls.select(imports.page_number(F.col("url")).alias("n")).distinct().count() == 200_000
+
+
 def test_channel_posts_reads_the_newest(spark):
     data = [("a", i, "2024-05-06T07:08:09+00:00", 5, 1, f"text {i}", None, None) for i in range(1, 9)]
     data += [("b", 1, None, None, None, None, None, None), ("b", 2, None, None, None, " ", None, ["https://example.org/a"]), ("b", 3, None, None, None, "z", [("https://example.net/q", "s", "t")], [])]
