@@ -2,7 +2,7 @@
 
 Fixed (host, path) rules label the urls they fit. FP-growth mines combinations of url tokens with those
 labels over the urls they fit; rules pruned by support, confidence and redundancy then judge the urls that
-no fixed rule fits, matched by an inverted index from a rule's first token. Only DataFrame functions and Spark's own FP-growth run.
+no fixed rule fits, matched by an inverted index from a rule's rarest token. Only DataFrame functions and Spark's own FP-growth run.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     size = F.size(labels)
     tail = lambda x, i: F.when((i <= size - 2) & ((i > 0) | (size == 2)), F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i + 1, size), ".")))
     middle = lambda x, i: F.when((i > 0) & (i < size - 1), F.concat(F.lit("label:"), x))
-    ending = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
+    ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
     parts = F.array(
         F.when(host != "", F.concat(F.lit("host:"), host)),
         F.when(host != "", F.concat(F.lit("top:"), F.element_at(labels, -1))),
@@ -61,28 +61,31 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def frequent(rows: DataFrame, least_support: float) -> DataFrame:
-    """One row with an array of the tokens that reach the support among labelled urls, as FP-growth counts it: rarer ones are in no rule."""
+    """One row with two arrays, the tokens and their counts, of those that reach the support among labelled urls, as FP-growth counts it: rarer ones are in no rule."""
     labelled = rows.where(F.col("said").isNotNull()).select("tokens")
     least = math.ceil(least_support * labelled.count())
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
     # each url holds few tokens: at most so many of them, divided by the support, are frequent
-    return counts.agg(F.array_sort(F.collect_list("token")).alias("frequent"))
+    both = F.array_sort(F.collect_list(F.struct("token", "count")))
+    return counts.agg(both.alias("b")).select(F.col("b.token").alias("frequent"), F.col("b.count").alias("often"))
 
 
-def mined(urls: DataFrame, least_support: float, least_confidence: float, longest: int) -> DataFrame:
+def mined(urls: DataFrame, least_support: float, least_confidence: float) -> DataFrame:
     """antecedent array, verdict, confidence, support of the pruned rules, from labelled ``urls`` (tokens, verdict)."""
     items = urls.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     return rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
 
 
 def irredundant(rules: DataFrame) -> DataFrame:
-    """Without rules that contain a shorter rule for the same verdict of at least the same confidence."""
+    """Without rules that contain a rule of one or two tokens, or of one token less, for the same verdict of at least the
+    same confidence. Such a rule fits wherever they do, and has as much support: they decide nothing."""
     a = F.col("antecedent")
     singles = F.transform(a, lambda x: F.array(x))
     pairs = F.flatten(F.transform(a, lambda x: F.transform(F.filter(a, lambda y: y > x), lambda y: F.array(x, y))))
-    shorter = F.filter(F.concat(singles, pairs), lambda s: F.size(s) < F.size(a))
+    less = F.transform(a, lambda x: F.filter(a, lambda y: y != x))
+    shorter = F.filter(F.array_distinct(F.concat(singles, pairs, less)), lambda s: (F.size(s) > 0) & (F.size(s) < F.size(a)))
     inner = rules.select("antecedent", "verdict", "confidence", F.explode(shorter).alias("part"))
     known = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("known"))
     doubled = inner.join(known, ["part", "verdict"]).where(F.col("known") >= F.col("confidence")).select("antecedent", "verdict").distinct()
@@ -94,26 +97,29 @@ def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules=RULES, least_support: float = 0.002, least_confidence: float = 0.8, longest: int = 3) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", rules=RULES, least_support: float = 0.002, least_confidence: float = 0.8) -> DataFrame:
     """All columns of ``pages`` but clashing ones, with host, path, rule, verdict and by_rule (mined antecedent, if any).
 
     A fixed rule's verdict stands. Else the most confident mined rule that fits decides, of equals the one
     with more support, then block before allow; without one the url is allowed. A null url, or one without
-    ``://``, has an empty host and path and is allowed. Rows are never merged: repeated rows stay.
+    ``://``, has an empty host and path and is allowed. Rows are never merged: repeated rows and null ids stay; very
+    long urls give all their tokens; no rows give none. Columns of ``pages`` called like those made here give way.
     """
-    made = ("host", "path", "rule", "verdict", "by_rule", "tokens", "said", "found", "frequent")
+    made = ("host", "path", "rule", "verdict", "by_rule", "tokens", "said", "found", "frequent", "often")
     host, path = host_and_path(F.col(url_col))
     rows = pages.drop(*[c for c in made if c != url_col]).withColumn("host", host).withColumn("path", path)
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("said", verdict).withColumn("tokens", tokens(F.col(url_col), F.col("host"), F.col("path")))
     scratch = Scratch(pages.sparkSession, "urls")
     often = scratch.keep(frequent(rows, least_support), "frequent")
-    rows = rows.crossJoin(F.broadcast(often)).withColumn("tokens", F.array_sort(F.array_intersect("tokens", "frequent"))).drop("frequent")
+    rows = rows.crossJoin(F.broadcast(often)).withColumn("tokens", F.array_sort(F.array_intersect("tokens", "frequent"))).drop("frequent", "often")
     # equal token sets count once per label and are judged once; partial aggregation meets hot hosts
     sets = scratch.keep(rows.groupBy("tokens", F.col("said").alias("verdict")).count(), "sets")
     urls = rows.where(F.col("said").isNotNull()).select("tokens", F.col("said").alias("verdict"))
-    found = scratch.keep(mined(urls, least_support, least_confidence, longest), "mined")
-    index = irredundant(found).withColumn("token", F.col("antecedent")[0])
+    found = scratch.keep(mined(urls, least_support, least_confidence), "mined")
+    held = irredundant(found).crossJoin(F.broadcast(often)).withColumn("counts", F.map_from_arrays("frequent", "often"))
+    rarest = F.array_min(F.transform("antecedent", lambda t: F.struct(F.col("counts")[t].alias("n"), t.alias("token"))))
+    index = held.withColumn("token", rarest["token"]).drop("frequent", "often", "counts")
     open_sets = sets.where("verdict is null").select("tokens")
     hits = open_sets.withColumn("token", F.explode("tokens")).join(sized(scratch.keep(index, "index")), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = F.max(F.struct("confidence", "support", F.col("verdict").alias("verdict"), "antecedent")).alias("best")
