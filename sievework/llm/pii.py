@@ -29,8 +29,6 @@ TOKEN = r"(?<!\S)(?:[+(]*[0-9][0-9().+/\-]*(?:\x20[(]?[0-9][0-9().+/\-]*)++(?=[\
 OPEN, CLOSE = "\"'([{<", ".,;:!?\"')]}>"
 #: What a candidate that isn't a seed must have to be an identifier: characters, and digits or an at sign.
 LEAST_LENGTH, LEAST_DIGITS = 5, 2
-#: Characters beside a candidate in which its context words are sought.
-REACH = 200
 #: Weight of doubt in a pattern's confidence, in tokens; rounds of scoring; scores from which patterns and tokens count.
 DOUBT, ROUNDS, GOOD_PATTERN, GOOD_TOKEN = 3.0, 3, 0.5, 0.8
 SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -157,7 +155,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     """
     # what a lambda uses again and again is bound outside of it, or it would be computed for each candidate
     masked = "regexp_replace({}, '[0-9]+', '#')"
-    before, after = (f"translate({x}, '\\t\\n\\r\\u000b\\u000c', '     ')" for x in (f"right(w.z[i].`0`, {REACH})", f"left(w.z[i + 1].`0`, {REACH})"))
+    before, after = (f"translate({x}, '\\t\\n\\r\\u000b\\u000c', '     ')" for x in ("w.z[i].`0`", "w.z[i + 1].`0`"))
     cut = f"""
         transform(w.found, (t, i) -> named_struct(
             's', t.s + length(t.m) - length(ltrim({quoted(OPEN)}, t.m)), 'instance', rtrim({quoted(CLOSE)}, ltrim({quoted(OPEN)}, t.m)),
