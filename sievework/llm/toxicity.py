@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import map_texts, unused
@@ -25,8 +25,9 @@ from .wordbytes import chunks, hashes, joined, mix, runs
 LENGTHS = (5, 7)
 #: A unit sets a class apart from this likelihood-ratio statistic on and in so many texts at least.
 LEAST_RATIO, LEAST_TEXTS = 16.0, 3
-#: Labelled toxic rows that are fetched to fit, at most, and ordinary ones for each of these.
-SAMPLE, ORDINARY = 2500, 4
+#: Labelled toxic rows that are fetched to fit, at most, and ordinary ones for each of these; bytes of the texts of
+#: either class, at most. Texts are whole: those that come first by the hashes of their ids as long as there is room.
+SAMPLE, ORDINARY, SAMPLE_BYTES = 2500, 4, 32 << 20
 #: Bits of a code that the first look-up of a unit takes.
 BITS = 22
 WORD = np.zeros(256, bool)
@@ -71,18 +72,18 @@ def distinct(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield np.concatenate([np.unique(np.concatenate([c[a[i] : b[i]] for c, a, b in made])) for i in range(len(own))])
 
 
-def frequent(texts: list[bytes]) -> np.ndarray:
-    """Codes that stand in ``LEAST_TEXTS`` texts or more, sorted. A first pass counts groups of codes, so that few are held."""
+def frequent(texts: list[bytes], least: int = LEAST_TEXTS) -> np.ndarray:
+    """Codes that stand in ``least`` texts or more, sorted. A first pass counts groups of codes, so that few are held."""
     held = np.zeros(1 << 24, np.uint16)
     for more in distinct(texts):
         at, times = np.unique((more >> np.uint64(40)).astype(np.uint32), return_counts=True)
         held[at] = np.minimum(held[at] + times, 65535)
     code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for more in distinct(texts):
-        new, times = np.unique(more[held[more >> np.uint64(40)] >= LEAST_TEXTS], return_counts=True)
+        new, times = np.unique(more[held[more >> np.uint64(40)] >= least], return_counts=True)
         code, to = np.unique(np.concatenate([code, new]), return_inverse=True)
         count = np.bincount(to, np.concatenate([count, times]), len(code)).astype(np.int64)
-    return code[count >= LEAST_TEXTS]
+    return code[count >= least]
 
 
 def counted(texts: list[bytes], known: np.ndarray) -> np.ndarray:
@@ -166,10 +167,13 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """A model from labelled texts; ``share``: how many of all labelled texts are toxic. Two thirds choose units, the rest the threshold."""
     raw = [[lowered(t) for t in x] for x in (toxic, ordinary)]
     learn, tune = ([x[: 2 * len(x) // 3] for x in raw], [x[2 * len(x) // 3 :] for x in raw])
-    # what sets ordinary texts apart is in so many of them that as many as there are toxic ones hold it
-    known = np.union1d(frequent(learn[0]), frequent(learn[1][: len(learn[0])]))
-    k1, k0 = counted(learn[0], known), counted(learn[1], known)
     n1, n0 = len(learn[0]) + 1, len(learn[1]) + 1
+    # a unit that sets ordinary texts apart is in so many of them at least, so that one of ORDINARY parts has its share
+    possible = np.flatnonzero(likelihood_ratio(np.zeros(n0), n1, np.arange(n0), n0) >= LEAST_RATIO)
+    known = frequent(learn[0])
+    for part in range(ORDINARY) if len(possible) else ():
+        known = np.union1d(known, frequent(learn[1][part::ORDINARY], max(1, -(-int(possible[0]) // ORDINARY))))
+    k1, k0 = counted(learn[0], known), counted(learn[1], known)
     apart = likelihood_ratio(k1, n1, k0, n0) >= LEAST_RATIO
     odds = np.log((k1 + 0.5) / n1) - np.log((k0 + 0.5) / n0)
     model = Model(known[apart], odds[apart], np.zeros(7))
@@ -184,20 +188,23 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` toxic texts and ``ORDINARY`` times as many ordinary ones: those with the smallest hashes of their ids.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample`` toxic texts and ``ORDINARY`` times as many ordinary ones, of ``most_bytes`` bytes each at most.
 
-    Null labels take no part. With fewer than two texts of a class every text is ordinary.
+    Those with the smallest hashes of their ids are taken, whole. Null labels and null ids take no part; an id with
+    both labels is toxic, of its rows the smallest text counts. With fewer than two texts of a class every text is ordinary.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(most) for c, most in ((1, sample), (0, ORDINARY * sample))]
     # at most (1 + ORDINARY) * sample ids
-    few = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(few, "id").collect()
-    by = {c: [r["text"] for r in sorted(rows, key=lambda r: r["id"]) if r["label"] == c] for c in (1, 0)}
+    few = F.broadcast(chosen[0].unionByName(chosen[1]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(few, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("held", F.sum(F.octet_length("text")).over(before)).where(F.col("held") <= most_bytes).select("label", "text").collect()
+    by = {c: [r["text"] for r in rows if r["label"] == c] for c in (1, 0)}
     for x in by.values():
-        x.sort(key=lambda t: (zlib.crc32(t.encode()), t))
+        x.sort(key=lambda t: (zlib.crc32(t.encode("utf-8", "replace")), t))
     return train(by[1], by[0], counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
 
 
@@ -219,8 +226,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
-    """``id_col``, held_out, score, predicted of every row, learnt from labels whose crc32(id) mod ``folds`` isn't 0."""
+    """``id_col``, held_out, score, predicted of every row, learnt from labels whose crc32(id) mod ``folds`` isn't 0.
+
+    Null texts are empty; a null id isn't held out. Ties and repeated rows have the scores of their texts. Other
+    columns are left out, whatever their names; no rows give none. Labels that contradict each other: see ``fit``.
+    """
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    model = fit(docs, labels.where(fold != 0), id_col, text_col)
+    model = fit(docs, labels.where(fold != 0), id_col, text_col)  # null ids have no fold and teach nothing
     rows = score(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col)), model, id_col, text_col)
-    return rows.select(id_col, (fold == 0).alias("held_out"), "score", "predicted")
+    return rows.select(id_col, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
