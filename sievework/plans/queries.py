@@ -252,16 +252,6 @@ def e12_best_per_repository(spark, d):
     return facets.best_per_repository(posts(spark, d))
 
 
-@query("e15_build_stats", """,
-firsts AS (SELECT p.*, row_number() OVER (PARTITION BY channel, msg_id % 700 ORDER BY id) > 1 AS dup_id FROM posts p),
-texts AS (SELECT f.*, dup_id = FALSE AND length(text) > 25 AND row_number() OVER (PARTITION BY text, dup_id ORDER BY id) > 1 AS dup_text FROM firsts f)
-SELECT channel, count(*) AS raw, count(*) FILTER (dup_id) AS dup_id, count(*) FILTER (NOT dup_id AND dup_text) AS dup_text, count(*) FILTER (NOT dup_id AND NOT dup_text AND id % 9 = 8) AS spam,
-  count(*) FILTER (NOT dup_id AND NOT dup_text AND id % 9 <> 8) AS clean FROM texts GROUP BY channel""")
-def e15_build_stats(spark, d):
-    rows = posts(spark, d).withColumn("msg_id", F.col("msg_id") % 700).withColumn("spam", F.when(F.col("id") % 9 == 8, 4.0).otherwise(0.0))
-    return dedup.build_stats(dedup.dispositions(rows, [F.col("id")]))
-
-
 @query("e17_known_items", """
 SELECT b.item_id, count(p.id) AS found, min(p.id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN posts p ON p.id = d.doc_id GROUP BY b.item_id""")
 def e17_known_items(spark, d):
@@ -331,13 +321,19 @@ def g15_fuzzy(spark, d):
 # --- functions ----------------------------------------------------------------------------------------------------
 
 
-@query("i2_strip_tags", r"""
-SELECT page_id, md5(t) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|blockquote|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', '', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#039;', ''''), '&apos;', ''''), '&amp;', '&'),
-  '[ \t\x{00a0}]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS t FROM pages)""", with_posts=False)
+NAMED_SQL = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#039;', ''''), '&apos;', ''''), '&amp;', '&')"
+
+
+def strip_sql(html: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(regexp_replace({html}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|blockquote|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({NAMED_SQL.format(bare)}, '[ \t\x{{00a0}}]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"
+
+
+@query("i2_strip_tags", f"SELECT page_id, md5({strip_sql('html')}) AS digest FROM pages", with_posts=False)
 def i2_strip_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"), numeric=False).cast("binary")).alias("digest"))
+    """Some letters come as numeric entities, which give the same text."""
+    page = F.replace(F.replace(F.col("html"), F.lit("é"), F.lit("&#xE9;")), F.lit("w"), F.lit("&#119;"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(page).cast("binary")).alias("digest"))
 
 
 @query("i3_normalize_text", "SELECT id, length(text) AS n, md5(text) AS digest FROM posts")
@@ -355,9 +351,24 @@ def i6_terms(spark, d):
     return posts(spark, d).select("id", F.array_join(text.split_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("i12_extract_web", r"SELECT page_id, regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages", with_posts=False)
+def web_sql(keep: str = "page_id") -> str:
+    """``web``: ``keep``, title and text of each page."""
+    cell = lambda pattern: rf"nullif(regexp_replace({NAMED_SQL.format(f'regexp_extract(html, {pattern}, 1)')}, '^\s+|\s+$', '', 'g'), '')"
+    meta = lambda attribute, name: rf"""'(?is)<meta[^>]+{attribute}=["'']{name}["''][^>]+content=["'']([^"'']*)["'']'"""
+    body = "html"
+    for tag in ("script", "style", "noscript", "nav", "footer", "header"):
+        body = f"regexp_replace({body}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
+    title = f"coalesce({cell(meta('property', 'og:title'))}, {cell(chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39))}, '')"
+    about = f"coalesce({cell(meta('property', 'og:description'))}, {cell(meta('name', 'description'))}, '')"
+    return rf"""cut AS (SELECT {keep}, html, {title} AS title, {about} AS about, regexp_replace({strip_sql(body)}, '[ \t]{{2,}}', ' ', 'g') AS plain FROM pages),
+    web AS (SELECT {keep}, title, substr(CASE WHEN title <> '' THEN title || chr(10) ELSE '' END || CASE WHEN about <> '' THEN about || chr(10) ELSE '' END || plain, 1, 6000) AS text FROM cut)"""
+
+
+@query("i12_extract_web", f"WITH {web_sql()} SELECT page_id, title, md5(text) AS digest, length(text) AS n FROM web", with_posts=False)
 def i12_extract_web(spark, d):
-    return table(spark, d, "pages").select("page_id", html.extract_web(F.col("html"))["title"].alias("title"))
+    page = html.extract_web(F.col("html"))
+    rows = table(spark, d, "pages").select("page_id", page.alias("p"))
+    return rows.select("page_id", "p.title", F.md5(F.col("p.text").cast("binary")).alias("digest"), F.length("p.text").cast("long").alias("n"))
 
 
 @query("i13_normalize_url", r"""
@@ -374,6 +385,17 @@ def i14_cluster_key(spark, d):
     return posts(spark, d).select("id", "cluster_key")
 
 
+@query("i14_topics", """SELECT id, CASE id % 5 WHEN 0 THEN 'topic:' || (id % 13) WHEN 1 THEN CASE WHEN id % 13 = id % 11 THEN 'topic:' || (id % 13) END WHEN 2 THEN 'link:github.com/a/b' || (id % 3) WHEN 3 THEN 'topic:' || (id % 13) END AS cluster_key FROM posts""")
+def i14_topics(spark, d):
+    """Links to one topic, to two, to a page beside a profile, to a topic twice, and to none that tells."""
+    n = F.col("id")
+    topic = lambda k, tail="": F.concat(F.lit("https://linux.do/t/topic/"), (n % k).cast("string"), F.lit(tail))
+    profile = F.lit("https://t.me/someuser")
+    links = F.when(n % 5 == 0, F.array(profile, topic(13, "/21"))).when(n % 5 == 1, F.array(topic(13), topic(11))).when(n % 5 == 2, F.array(profile, F.concat(F.lit("https://github.com/a/b"), (n % 3).cast("string"))))
+    links = links.when(n % 5 == 3, F.array(topic(13), F.lit(None), topic(13, "/1"))).otherwise(F.array(F.lit("https://t.me/chan/12"), F.lit("https://example.com")))
+    return posts(spark, d).select("id", urls.cluster_key(links).alias("cluster_key"))
+
+
 @query("i21_recency", "SELECT id, round(pow(2.0, -greatest(0, date_diff('day', CAST(date AS DATE), DATE '2024-12-31')) / 10.0), 8) AS decay FROM posts")
 def i21_recency(spark, d):
     return posts(spark, d).select("id", F.round(hybrid.recency_decay(F.col("date"), "2024-12-31"), 8).alias("decay"))
@@ -392,32 +414,61 @@ def i29_json(spark, d):
 # --- classification -----------------------------------------------------------------------------------------------
 
 
-def _classify_sql() -> str:
+def classify_sql(hays: str, tail: str) -> str:
+    """``worthy``: the classification of ``hays`` (id, text, links, views, hay, and 1 or 0 in recent)."""
     def listed(words):
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-    scores = ", ".join(f"list_sum(list_transform(list_filter({listed(w)}, lambda k: contains(hay, k)), lambda k: CASE WHEN length(k) >= 4 THEN 1.6 ELSE 1.0 END)) AS s{i}" for i, w in enumerate(C.CATEGORIES.values()))
+    scores = ", ".join(f"coalesce(list_sum(list_transform(list_filter({listed(w)}, lambda k: contains(hay, k)), lambda k: CASE WHEN length(k) >= 4 THEN 1.6 ELSE 1.0 END)), 0) AS s{i}" for i, w in enumerate(C.CATEGORIES.values()))
     names = list(C.CATEGORIES)
-    best = "greatest(" + ", ".join(f"coalesce(s{i}, 0)" for i in range(len(names))) + ")"
-    primary = "CASE WHEN top = 0 THEN '其他' " + " ".join(f"WHEN coalesce(s{i}, 0) = top THEN '{n}'" for i, n in enumerate(names)) + " END"
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(names))) + ")"
+    primary = "CASE WHEN top = 0 THEN '其他' " + " ".join(f"WHEN s{i} = top THEN '{n}'" for i, n in enumerate(names)) + " END"
+    cats = "list_transform(list_sort(list_filter([" + ", ".join(f"struct_pack(k := -s{i}, i := {i}, n := '{n}')" for i, n in enumerate(names)) + "], lambda x: x.k <= -1.5))[1:4], lambda x: x.n)"
     spam = " + ".join(f"{w} * len(list_filter({listed(words)}, lambda k: contains(hay, k)))" for w, words in C.SPAM.items())
     tags = ", ".join(f"CASE WHEN len(list_filter({listed(words)}, lambda k: contains(hay, k))) > 0 THEN '{t}' END" for t, words in C.TAGS.items())
     worth = "CASE \"primary\" " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in C.WORTH.items()) + " ELSE 0 END"
     has = lambda t: f"list_contains(tags, '{t}')::INT"
     hits = " || ".join(f"list_filter({listed(words)}, lambda k: contains(hay, k))" for words in C.SPAM.values())
-    return f""", hays AS (SELECT id, text, links, views, lower(text) || ' ' AS hay FROM posts), scored AS (SELECT id, text, links, views, hay, {scores} FROM hays), topped AS (SELECT *, {best} AS top FROM scored),
-    marked AS (SELECT *, {primary} AS "primary", list_filter([{tags}], lambda t: t IS NOT NULL) AS tags, {spam} AS spam_words, {hits} AS hits FROM topped),
-    worthy AS (SELECT *, {worth} + {has("免费")} + 0.5 * {has("限时")} + 0.5 * {has("教程")} + 0.5 * {has("开源")} + (len(list_filter(links, lambda u: contains(u, 'github.com'))) > 0)::INT - 3 * {has("风险")} - 2 * (length(text) < 8 AND len(links) = 0)::INT AS content FROM marked)
-    SELECT id, "primary", array_to_string(tags, ',') AS tags, array_to_string(regexp_extract_all(text, '#([A-Za-z0-9_一-龥]{{1,24}})', 1), ',') AS hashtags, CAST(spam_words + 2 * (length(text) < 12 AND len(links) > 0 AND NOT list_contains(tags, '免费'))::INT AS DOUBLE) AS spam,
-      array_to_string(hits, ',') AS spam_hits, CAST(content AS DOUBLE) AS content, CAST(round(content + least(2.0, log10(1 + views) * 0.7), 2) AS DOUBLE) AS value, array_to_string(links, ' ') AS links FROM worthy"""
+    return f"""hays AS ({hays}), scored AS (SELECT *, {scores} FROM hays), topped AS (SELECT *, {best} AS top FROM scored),
+    marked AS (SELECT *, {primary} AS "primary", {cats} AS cats, list_filter([{tags}], lambda t: t IS NOT NULL) AS tags, {spam} AS spam_words, {hits} AS hits FROM topped),
+    valued AS (SELECT *, {worth} + {has("免费")} + 0.5 * {has("限时")} + 0.5 * {has("教程")} + 0.5 * {has("开源")} + (len(list_filter(links, lambda u: contains(u, 'github.com'))) > 0)::INT - 3 * {has("风险")} - 2 * (length(text) < 8 AND len(links) = 0)::INT AS content,
+      spam_words + 2 * (length(text) < 12 AND len(links) > 0 AND NOT list_contains(tags, '免费'))::INT AS spam FROM marked),
+    worthy AS (SELECT id, "primary", CASE WHEN len(cats) > 0 THEN cats ELSE ['其他'] END AS cats, tags, regexp_extract_all(text, '#([A-Za-z0-9_一-龥]{{1,24}})', 1) AS hashtags, CAST(spam AS DOUBLE) AS spam, hits AS spam_hits, CAST(content AS DOUBLE) AS content,
+      CAST(round(content + least(2.0, log10(1 + coalesce(views, 0)) * 0.7) + 0.5 * recent, 2) AS DOUBLE) AS value, links, text,
+      list_sort(list_distinct(list_transform(links, lambda u: regexp_replace(lower(regexp_extract(u, '://([^/?#:]+)', 1)), '^www\\.', '')))) AS domains FROM valued) {tail}"""
 
 
-@query("j6_classify", _classify_sql())
+#: Previews of every second post, some of whose words tell; a time from which posts of half a year are recent.
+PREVIEW_WORDS, AS_OF = ("限时 教程", "GitHub", "", "博彩 平台", "广告位"), 1725148800
+PREVIEW_SQL = f"CASE WHEN id % 2 = 0 THEN lower([{', '.join(f"'{w}'" for w in PREVIEW_WORDS)}][id % 5 + 1] || ' ' || coalesce(channel, '')) ELSE '' END"
+
+
+def previewed(rows: DataFrame) -> DataFrame:
+    """Posts as raw messages, with previews."""
+    n = F.col("id")
+    words = F.array(*map(F.lit, PREVIEW_WORDS))[(n % 5).cast("int")]
+    own = F.array(F.struct(F.concat(F.lit("https://www.example.org/p/"), (n % 5).cast("string")).alias("u"), F.col("channel").alias("s"), words.alias("t")))
+    return rows.select("id", "channel", "msg_id", F.col("text").alias("t"), F.col("links").alias("lk"), F.when(n % 2 == 0, own).alias("lp"), F.col("views").alias("v"), "ts")
+
+
+HAYS_SQL = f"SELECT id, channel, msg_id, text, CASE WHEN id % 2 = 0 THEN list_append(links, 'https://www.example.org/p/' || (id % 5)) ELSE links END AS links, views, lower(text) || ' ' || {PREVIEW_SQL} AS hay, (({AS_OF} - ts) < 180 * 86400)::INT AS recent FROM posts"
+
+
+@query("j6_classify", ", " + classify_sql(HAYS_SQL, """SELECT id, "primary", array_to_string(cats, ',') AS cats, array_to_string(tags, ',') AS tags, array_to_string(hashtags, ',') AS hashtags, spam, array_to_string(spam_hits, ',') AS spam_hits, content, value, array_to_string(links, ' ') AS links, array_to_string(domains, ' ') AS domains FROM worthy"""))
 def j6_classify(spark, d):
-    rows = posts(spark, d).select("id", F.col("text").alias("t"), F.col("links").alias("lk"), F.col("views").alias("v"), "ts")
-    shown = ("tags", "hashtags", "spam_hits")
-    out = C.classify(rows, previews_col=None)
-    return out.select("id", "primary", "spam", "content", "value", *(F.array_join(c, ",").alias(c) for c in shown), F.array_join("links", " ").alias("links"))
+    out = C.classify(previewed(posts(spark, d)), AS_OF)
+    shown = ("cats", "tags", "hashtags", "spam_hits")
+    return out.select("id", "primary", "spam", "content", "value", *(F.array_join(c, ",").alias(c) for c in shown), F.array_join("links", " ").alias("links"), F.array_join(F.array_sort("domains"), " ").alias("domains"))
+
+
+@query("e15_build_stats", ", " + classify_sql(HAYS_SQL, """, spamming AS (SELECT p.id, p.channel, p.msg_id % 700 AS key, p.text, w.spam >= 4 OR (w.spam >= 3 AND length(p.text) < 80) AS is_spam FROM posts p JOIN worthy w ON p.id = w.id),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY channel, key ORDER BY id) > 1 AS dup_id FROM spamming),
+texts AS (SELECT *, dup_id = FALSE AND length(text) > 25 AND row_number() OVER (PARTITION BY text, dup_id ORDER BY id) > 1 AS dup_text FROM firsts)
+SELECT channel, count(*) AS raw, count(*) FILTER (dup_id) AS dup_id, count(*) FILTER (NOT dup_id AND dup_text) AS dup_text, count(*) FILTER (NOT dup_id AND NOT dup_text AND is_spam) AS spam,
+  count(*) FILTER (NOT dup_id AND NOT dup_text AND NOT is_spam) AS clean FROM texts GROUP BY channel"""))
+def e15_build_stats(spark, d):
+    rows = C.classify(previewed(posts(spark, d)), AS_OF).withColumn("msg_id", F.col("msg_id") % 700)
+    return dedup.build_stats(dedup.dispositions(rows, [F.col("id")]))
 
 
 # --- search and retrieval -----------------------------------------------------------------------------------------
@@ -621,12 +672,16 @@ def o5_badges(spark, d):
     return reports.badges(posts(spark, d)).select("id", F.array_join("badges", "/").alias("badges"))
 
 
-@query("b6_csv_rows", "SELECT id, date, channel, category, CAST(value AS VARCHAR) AS value, CAST(views AS VARCHAR) AS views, array_to_string(tags, ',') AS tags, array_to_string(links, ' ') AS links FROM posts")
+FLAT_SQL = r"trim(regexp_replace(text, '[\s\x{0b}]+', ' ', 'g'))"
+ONE_LINE_SQL = "(CASE WHEN length(flat) > {n} THEN substr(flat, 1, {n}) || '…' ELSE flat END)"
+
+
+@query("b6_csv_rows", f"SELECT id, date, channel, category, CAST(value AS VARCHAR) AS value, CAST(views AS VARCHAR) AS views, array_to_string(tags, ',') AS tags, {ONE_LINE_SQL.format(n=500)} AS text, array_to_string(links, ' ') AS links FROM (SELECT *, {FLAT_SQL} AS flat FROM posts)")
 def b6_csv_rows(spark, d):
-    return reports.csv_rows(posts(spark, d)).select("id", "date", "channel", "category", "value", "views", "tags", "links")
+    return reports.csv_rows(posts(spark, d)).select("id", "date", "channel", "category", "value", "views", "tags", "text", "links")
 
 
-@query("b8_dashboard")
+@query("b8_dashboard", f"SELECT id, to_json([CAST(id AS VARCHAR), date, coalesce(channel, ''), coalesce(category, ''), CAST(value AS VARCHAR), coalesce(CAST(views AS VARCHAR), ''), {ONE_LINE_SQL.format(n=120)}])::VARCHAR AS json FROM (SELECT *, {FLAT_SQL} AS flat FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10 ORDER BY value DESC, id LIMIT 30000)")
 def b8_dashboard(spark, d):
     return reports.dashboard(posts(spark, d))
 

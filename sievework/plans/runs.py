@@ -13,7 +13,7 @@ from ..operators import cluster as K
 from ..operators import discover, facets, hybrid, index, overlays, reports, sync, vectors
 from ..sources import imports
 from ..sources.versions import Versions
-from .queries import QUANT_SQL, TOKENS_SQL, clustered_posts, query, stored, stored_posts
+from .queries import FLAT_SQL, ONE_LINE_SQL, QUANT_SQL, TOKENS_SQL, classify_sql, clustered_posts, query, stored, stored_posts, web_sql
 
 LABELS_SQL = "labs AS (SELECT doc_id AS post_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS category, CAST(quality * 5 AS DOUBLE) AS value FROM labels)"
 
@@ -193,10 +193,6 @@ def f5_first_per_category(spark, d):
     return facets.top_per_category(posts(spark, d), 8, [F.asc("id")]).select("id", "category", "rank")
 
 
-ONE_LINE_SQL = r"(CASE WHEN length(flat) > {n} THEN substr(flat, 1, {n}) || '…' ELSE flat END)"
-FLAT_SQL = r"trim(regexp_replace(text, '[\s\x{0b}]+', ' ', 'g'))"
-
-
 @query("e16_sections", f""", best AS (SELECT *, {FLAT_SQL} AS flat, row_number() OVER (PARTITION BY category ORDER BY value DESC, ts DESC, id) AS place FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10)
 SELECT category, substr(date, 1, 7) AS month, CAST(place AS INTEGER) AS place, md5('- **' || date || '** [' || regexp_replace({ONE_LINE_SQL.format(n=80)}, '[\\[\\]]', ' ', 'g') || '] ' || array_to_string(tags, '/')) AS line FROM best WHERE place <= 1200""")
 def e16_sections(spark, d):
@@ -231,16 +227,21 @@ def i25_escape_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.escape_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("i17_parse_link", r"SELECT page_id, 'web' AS kind, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages", with_posts=False)
+@query("i17_parse_link", r"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'web' WHEN 1 THEN 'tme' WHEN 2 THEN 'tme' WHEN 3 THEN 'invite' WHEN 4 THEN 'private' WHEN 5 THEN 'tme' END AS kind, CASE WHEN page_id % 7 IN (1, 2, 5) THEN 'somechan' || (page_id % 9) WHEN page_id % 7 IN (0, 3, 4) THEN '' END AS username,
+  CASE WHEN page_id % 7 = 2 THEN page_id END AS msg_id, CASE page_id % 7 WHEN 0 THEN url WHEN 3 THEN 'https://t.me/+AbC' || page_id WHEN 4 THEN 't.me/c/12345/' || page_id WHEN 6 THEN NULL ELSE 'https://t.me/somechan' || (page_id % 9) END AS url,
+  CASE WHEN page_id % 7 = 0 THEN lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) END AS host FROM pages""", with_posts=False)
 def i17_parse_link(spark, d):
-    link = urls.parse_link(F.col("url"))
-    return table(spark, d, "pages").select("page_id", link["kind"].alias("kind"), link["host"].alias("host"))
+    n, word = F.col("page_id"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    name = word("somechan", n % 9)
+    pasted = F.when(n % 7 == 0, F.col("url")).when(n % 7 == 1, word("@", name)).when(n % 7 == 2, word(" https://t.me/s/", name, "/", n)).when(n % 7 == 3, word("https://t.me/+AbC", n))
+    link = urls.parse_link(pasted.when(n % 7 == 4, word("t.me/c/12345/", n)).when(n % 7 == 5, word("t.me/", name, "/")).otherwise(word("some words ", n)))
+    return table(spark, d, "pages").select("page_id", *(link[c].alias(c) for c in ("kind", "username", "msg_id", "url", "host")))
 
 
-@query("i27_links_in_text", r"SELECT page_id, CAST(least(12, len(list_distinct(u))) AS INTEGER) AS n, u[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '(https?://[^\s\x{0b}<>""''）)】]+)', 1) AS u FROM pages)", with_posts=False)
+@query("i27_links_in_text", r"SELECT page_id, CAST(least(12, len(list_distinct(u))) AS INTEGER) AS n, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i)[1:12], ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '(https?://[^\s\x{0b}<>""''）)】]+)', 1) AS u FROM pages)", with_posts=False)
 def i27_links_in_text(spark, d):
     found = urls.links_in(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.try_element_at(found, F.lit(1)).alias("first"))
+    return table(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.array_join(found, " ").alias("links"))
 
 
 @query("o8_batch_lines", r"SELECT id, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, chr(10))) AS digest FROM (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\x{0b}]+|[\s\x{0b}]+$', '', 'g')), lambda x: x <> '')[1:500] AS l FROM posts)")
@@ -264,7 +265,8 @@ def o16_unread(spark, d):
     return posts(spark, d).where(F.col("ts") > 1720000000).agg(F.count("*").alias("unread"))
 
 
-@query("b11_stats")
+@query("b11_stats", """, best AS (SELECT * FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10), one AS (SELECT coalesce(category, '') AS k, count(*) AS n FROM best GROUP BY 1), two AS (SELECT coalesce(channel, '') AS k, count(*) AS n FROM best GROUP BY 1)
+SELECT (SELECT count(*) FROM posts) AS total, (SELECT count(*) FROM best) AS valuable, (SELECT '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' FROM one) AS by_category, (SELECT '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' FROM two) AS by_channel""")
 def b11_stats(spark, d):
     return reports.stats(posts(spark, d))
 
@@ -272,18 +274,25 @@ def b11_stats(spark, d):
 # --- imports and exports ------------------------------------------------------------------------------------------
 
 
-@query("a7_web_import", r"""SELECT page_id, 'web_' || host AS channel, CAST(('0x' || substr(md5(url), 1, 15)) AS BIGINT) AS msg_id, coalesce(nullif(title, ''), host) AS group_title, '2025-01-01' AS date FROM (
-  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
-    regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages WHERE html <> '' AND url IS NOT NULL)""", with_posts=False)
+def normal_sql(text: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '[\x{{200b}}\x{{feff}}]', '', 'g'), '[ \t\x{{00a0}}]+', ' ', 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("a7_web_import", f"""WITH {web_sql("page_id, url")}, named AS (SELECT page_id AS id, url, title, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, {normal_sql("text")} AS text FROM web WHERE url IS NOT NULL),
+{classify_sql("SELECT id, text, [url] AS links, 0 AS views, lower(text) || ' ' AS hay, 1 AS recent FROM named", "")}
+SELECT n.id AS page_id, 'web_' || host AS channel, CAST(('0x' || substr(md5(n.url), 1, 15)) AS BIGINT) AS msg_id, coalesce(nullif(n.title, ''), host) AS group_title, '2025-01-01' AS date, md5(n.text) AS digest, "primary" AS category, array_to_string(cats, ',') AS categories, array_to_string(tags, ',') AS tags, value, content, n.url AS links
+FROM named n JOIN worthy w ON n.id = w.id JOIN pages p ON p.page_id = n.id WHERE p.html <> ''""", with_posts=False)
 def a7_web_import(spark, d):
-    return imports.web_posts(table(spark, d, "pages"), 1735689600, also=("page_id",)).select("page_id", "channel", "msg_id", "group_title", "date")
+    rows = imports.web_posts(table(spark, d, "pages"), 1735689600, also=("page_id",))
+    return rows.select("page_id", "channel", "msg_id", "group_title", "date", F.md5(F.col("text").cast("binary")).alias("digest"), "category", "categories", "tags", "value", "content", "links")
 
 
-@query("a8_channel_import", "SELECT channel, id AS msg_id, 'https://t.me/' || channel || '/' || id AS url, date, array_to_string(links, ' ') AS links, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS p FROM posts) WHERE p <= 2000 AND (text <> '' OR len(links) > 0)")
+@query("a8_channel_import", ", " + classify_sql("SELECT id, text, links, views, lower(text) || ' ' AS hay, 0 AS recent FROM posts", """SELECT channel, p.id AS msg_id, 'https://t.me/' || channel || '/' || p.id AS url, date, array_to_string(p.links, ' ') AS links, md5(p.text) AS digest, "primary" AS category, array_to_string(w.tags, ',') AS tags, w.value, w.content
+FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS p FROM posts) p JOIN worthy w ON p.id = w.id WHERE p <= 2000 AND (p.text <> '' OR len(p.links) > 0)"""))
 def a8_channel_import(spark, d):
     lp = F.lit(None).cast("array<struct<u:string,s:string,t:string>>")
     messages = posts(spark, d).select("channel", F.col("id").alias("i"), F.col("date").alias("d"), "ts", F.col("views").alias("v"), F.col("text").alias("t"), F.col("links").alias("lk"), lp.alias("lp"))
-    return imports.channel_posts(messages).select("channel", "msg_id", "url", "date", "links", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return imports.channel_posts(messages).select("channel", "msg_id", "url", "date", "links", F.md5(F.col("text").cast("binary")).alias("digest"), "category", "tags", "value", "content")
 
 
 @query("b15_export", r"""SELECT CAST(place AS INTEGER) AS place, md5('## ' || place || '. ' || substr(title, 1, 120) || chr(10) || chr(10) || '- 分类：' || coalesce(category, '') || '　价值分：' || format('{:.1f}', value) || '　来源：@' || coalesce(channel, '') || '　日期：' || date || chr(10)
