@@ -80,9 +80,9 @@ def keyword_heat(posts: DataFrame, words: list[str], text: Column | None = None)
 
 
 def best_per_repository(posts: DataFrame, n: int = 90) -> DataFrame:
-    """The most valuable post of each repository linked to; the earliest of equals."""
+    """The most valuable post of each repository linked to, names as they are written; the earliest of equals."""
     rows = posts.select("id", "value", F.explode("links").alias("u")).withColumn("repo", F.regexp_extract("u", r"github\.com/([^/?#]+/[^/?#]+)", 1)).where("repo <> ''")
-    rows = rows.withColumn("repo", F.regexp_replace(F.lower("repo"), r"\.git$", ""))
+    rows = rows.withColumn("repo", F.regexp_replace("repo", r"\.git$", ""))
     best = rows.groupBy("repo").agg(F.max(F.struct("value", (-F.col("id")).alias("i"))).alias("b"), F.count_distinct("id").alias("posts"))
     return best.select("repo", F.col("b.value").alias("value"), (-F.col("b.i")).alias("id"), "posts").orderBy(F.desc("value"), "repo").limit(n)
 

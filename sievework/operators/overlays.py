@@ -14,9 +14,21 @@ from .dedup import last_writer
 from .index import at_hand, segment_of
 
 
-def favourites(favs: DataFrame, posts: DataFrame) -> DataFrame:
-    """Posts that are favourites, newest first; of repeated additions the last holds."""
+#: Fixed value: characters of a favourite's tag.
+TAG_LENGTH = 12
+
+
+def tagged(tags: Column, tag: Column) -> Column:
+    """A favourite's tags with one more: trimmed, cut to ``TAG_LENGTH``, not twice, and not if it is empty."""
+    own = F.substring(F.regexp_replace(F.coalesce(tag, F.lit("")), r"^\s+|\s+$", ""), 1, TAG_LENGTH)
+    held = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.when((own != "") & ~F.array_contains(held, own), F.array_append(held, own)).otherwise(held)
+
+
+def favourites(favs: DataFrame, posts: DataFrame, tag: str = "") -> DataFrame:
+    """Posts that are favourites, newest first; of repeated additions the last holds. With ``tag`` those that carry it."""
     current = last_writer(favs, ["post_id"], "created_at")
+    current = current.where(F.array_contains("tags", tag)) if tag else current
     return posts.join(current.select(F.col("post_id").alias("id"), F.col("tags").alias("fav_tags"), "note", "created_at"), "id").orderBy(F.desc("created_at"), "id")
 
 

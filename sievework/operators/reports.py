@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
-from .facets import category_rank, valuable
+from .facets import best_per_repository, category_rank, free_deals, keyword_heat, valuable
 
 #: The order in which categories are shown, and tags worth a badge.
 BADGES = ("免费", "限时", "风险", "开源")
@@ -55,6 +55,59 @@ def stats(posts: DataFrame) -> DataFrame:
     return one.join(F.broadcast(count("category", best))).join(F.broadcast(count("channel", best)))
 
 
+def grouped_number(c: Column) -> Column:
+    return F.format_number(c, 0)
+
+
+def overview(marked: DataFrame, titles: DataFrame | None = None, tags: int = 20) -> DataFrame:
+    """section, place, line: what was read and kept as Markdown rows, from posts with their ``dispositions``.
+
+    Sections: 1 totals, 2 channels (with ``titles``: channel, title) by clean posts, 3 categories, 4 tags of valuable posts, 5
+    months with bars. Each is a small aggregate; lists are looked up by joins.
+    """
+    clean = marked.where("disposition = 'clean'")
+    best = valuable(clean)
+    count = lambda d: F.count_if(F.col("disposition").isin(*d))
+    one = marked.agg(F.count("*").alias("raw"), count(["dup_id", "dup_text"]).alias("dup"), count(["spam"]).alias("spam"), count(["clean"]).alias("clean"), F.count_distinct(F.when(F.col("disposition") == "clean", F.col("channel"))).alias("channels"), F.min(F.when(F.col("disposition") == "clean", F.col("date"))).alias("first"), F.max(F.when(F.col("disposition") == "clean", F.col("date"))).alias("last"))
+    one = one.join(F.broadcast(best.agg(F.count("*").alias("valuable"))))
+    named = (("抓取原始帖子", "raw"), ("重复内容", "dup"), ("广告与垃圾", "spam"), ("去重清洗后有效帖子", "clean"), ("高价值精选条目", "valuable"))
+    facts = [F.concat(F.lit(f"| {n} | "), grouped_number(F.col(c)), F.lit(" 条 |")) for n, c in named]
+    facts += [F.concat(F.lit("| 时间跨度 | "), F.coalesce("first", F.lit("-")), F.lit(" ~ "), F.coalesce("last", F.lit("-")), F.lit(" |")), F.concat(F.lit("| 覆盖频道 | "), grouped_number(F.col("channels")), F.lit(" 个 |"))]
+    totals = one.select(F.lit(1).alias("section"), F.posexplode(F.array(*facts)).alias("at", "line")).select("section", (F.col("at") + 1).alias("place"), "line")
+    ordered = lambda rows, key, n, section, line: rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(n), key))).select(F.lit(section).alias("section"), "place", line.alias("line"))
+    of = lambda rows, key: rows.groupBy(F.coalesce(key, F.lit("")).alias(key)).agg(F.count("*").alias("n"))
+    cell = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    channels = of(clean, "channel").join(of(best, "channel").withColumnRenamed("n", "good"), "channel", "left")
+    title = F.lit("")
+    if titles is not None:
+        channels = channels.join(titles.groupBy("channel").agg(F.max("title").alias("title")), "channel", "left")
+        title = F.substring(F.regexp_replace(F.coalesce("title", F.lit("")), r"\|", "/"), 1, 42)
+    named = F.concat(F.lit("[@"), "channel", F.lit("](https://t.me/"), "channel", F.lit(")"))
+    months = of(clean.select(F.substring("date", 1, 7).alias("month")), "month")
+    bars = F.expr("repeat('█', cast(greatest(1, floor(n * 40 / most + 0.5)) as int))")
+    months = months.join(F.broadcast(months.agg(F.max("n").alias("most")))).withColumn("place", F.row_number().over(Window.orderBy("month")))
+    by_tag = best.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(tags)
+    return (
+        totals.unionByName(ordered(channels, "channel", "n", 2, cell(named, title, grouped_number(F.col("n")), grouped_number(F.coalesce("good", F.lit(0))))))
+        .unionByName(ordered(of(clean, "category"), "category", "n", 3, cell(F.col("category"), grouped_number(F.col("n")))))
+        .unionByName(ordered(by_tag, "tag", "n", 4, cell(F.col("tag"), grouped_number(F.col("n")))))
+        .unionByName(months.select(F.lit(5).alias("section"), "place", cell(F.col("month"), grouped_number(F.col("n")), bars).alias("line"))))
+
+
+def insight(posts: DataFrame, words: list[str], deals: int = 70, repos: int = 90) -> DataFrame:
+    """section, place, line: words by the number of valuable posts that hold them, the best free offers, the best repositories."""
+    best = valuable(posts)
+    heat = keyword_heat(best, words).where("n > 0").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "keyword")))
+    link = F.coalesce(F.try_element_at("links", F.lit(1)), F.lit(""))
+    offers = free_deals(best, deals).withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "id")))
+    offer = F.concat(F.lit("- **"), F.col("date"), F.lit("** "), one_line(F.col("text"), 110), F.when(link != "", F.concat(F.lit(" "), link)).otherwise(""))
+    code = best_per_repository(best, repos).withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "repo")))
+    code = code.join(best.select("id", "text"), "id")
+    repo = F.concat(F.lit("- ["), F.col("repo"), F.lit("](https://github.com/"), F.col("repo"), F.lit(") "), one_line(F.col("text"), 110))
+    row = lambda rows, section, line: rows.select(F.lit(section).alias("section"), "place", line.alias("line"))
+    return row(heat, 1, F.concat(F.lit("| "), F.col("keyword"), F.lit(" | "), grouped_number(F.col("n")), F.lit(" |"))).unionByName(row(offers, 2, offer)).unionByName(row(code, 3, repo))
+
+
 def exported(posts: DataFrame, *order, most: int = 300) -> DataFrame:
     """place, block: the first ``most`` posts in ``order`` as Markdown, with title, facts, first link, tags and text."""
     best = posts.orderBy(*order).limit(most)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..adapter import posts, table
 from ..functions import display, text, urls
 from ..operators import cluster as K
-from ..operators import discover, facets, hybrid, index, overlays, reports, sync, vectors
+from ..operators import dedup, discover, facets, hybrid, index, overlays, reports, sync, vectors
 from ..sources import imports
 from ..sources.versions import Versions
-from .queries import FLAT_SQL, ONE_LINE_SQL, QUANT_SQL, TOKENS_SQL, classify_sql, clustered_posts, query, stored, stored_posts, web_sql
+from ..streaming.store import PostStore
+from .queries import AS_OF, FLAT_SQL, HAYS_SQL, HEAT, ONE_LINE_SQL, QUANT_SQL, TOKENS_SQL, C, classify_sql, clustered_posts, previewed, query, shared_root, stored, stored_blocks, stored_posts, web_sql
 
 LABELS_SQL = "labs AS (SELECT doc_id AS post_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS category, CAST(quality * 5 AS DOUBLE) AS value FROM labels)"
 
@@ -199,10 +200,16 @@ def e16_sections(spark, d):
     return reports.by_category_sections(posts(spark, d)).select("category", "month", "place", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
-@query("b9_valuable_sorted", f"""SELECT id, CAST(row_number() OVER (ORDER BY coalesce(list_position([{", ".join(f"'{c}'" for c in facets.CATEGORY_ORDER)}], category) - 1, 99), value DESC, id) AS BIGINT) AS place FROM (SELECT *, 1 FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10)""")
+@query("b9_valuable_sorted", f"""SELECT id, CAST(coalesce(list_position([{", ".join(f"'{c}'" for c in facets.CATEGORY_ORDER)}], category) - 1, 99) AS INTEGER) AS place, value, TRUE AS in_order FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10""")
 def b9_valuable_sorted(spark, d):
-    rows = reports.valuable_sorted(posts(spark, d)).select("id", F.monotonically_increasing_id().alias("m"))
-    return rows.select("id", F.row_number().over(Window.orderBy("m")).cast("long").alias("place"))
+    """Each row with whether it follows its neighbour in the task, and its task in the order of tasks."""
+    rows = reports.valuable_sorted(posts(spark, d)).select("id", facets.category_rank(F.col("category")).alias("place"), "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    key = F.struct("place", (-F.col("value")).alias("v"), "id")
+    rows = rows.withColumn("key", key)
+    within = F.coalesce(F.lag("key").over(Window.partitionBy("part").orderBy("at")) < F.col("key"), F.lit(True))
+    ends = rows.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    good = ends.withColumn("good", F.coalesce(F.lag("most").over(Window.orderBy("part")) < F.col("least"), F.lit(True))).select("part", "good")
+    return rows.withColumn("within", within).join(F.broadcast(good), "part").select("id", "place", "value", (F.col("within") & F.col("good")).alias("in_order"))
 
 
 @query("i16_hashtags", "SELECT id, array_to_string(regexp_extract_all(text, '#([A-Za-z0-9_一-龥]{1,24})', 1), ',') AS hashtags FROM posts")
@@ -271,6 +278,86 @@ def b11_stats(spark, d):
     return reports.stats(posts(spark, d))
 
 
+DISPOSED_SQL = """, spamming AS (SELECT p.*, p.msg_id % 700 AS key, w.spam >= 4 OR (w.spam >= 3 AND length(p.text) < 80) AS is_spam FROM posts p JOIN worthy w ON p.id = w.id),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY channel, key ORDER BY id) > 1 AS dup_id FROM spamming),
+texts AS (SELECT *, dup_id = FALSE AND length(text) > 25 AND row_number() OVER (PARTITION BY text, dup_id ORDER BY id) > 1 AS dup_text FROM firsts),
+disposed AS (SELECT *, CASE WHEN dup_id THEN 'dup_id' WHEN dup_text THEN 'dup_text' WHEN is_spam THEN 'spam' ELSE 'clean' END AS disposition FROM texts)"""
+
+
+@query("b7_overview", ", " + classify_sql(HAYS_SQL, DISPOSED_SQL + """, clean AS (SELECT * FROM disposed WHERE disposition = 'clean'), best AS (SELECT * FROM clean WHERE value >= 2 AND content >= 2 AND length(text) >= 10),
+ch AS (SELECT coalesce(channel, '') AS k, count(*) AS n, count(*) FILTER (value >= 2 AND content >= 2 AND length(text) >= 10) AS good, max(group_title) AS title FROM clean GROUP BY 1), ca AS (SELECT coalesce(category, '') AS k, count(*) AS n FROM clean GROUP BY 1),
+ta AS (SELECT tag AS k, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM best) GROUP BY 1 ORDER BY n DESC, k LIMIT 20), mo AS (SELECT substr(date, 1, 7) AS k, count(*) AS n FROM clean GROUP BY 1)
+SELECT 1 AS section, 1 AS place, '| 抓取原始帖子 | ' || format('{:,}', count(*)) || ' 条 |' AS line FROM disposed UNION ALL SELECT 1, 2, '| 重复内容 | ' || format('{:,}', count(*)) || ' 条 |' FROM disposed WHERE disposition IN ('dup_id', 'dup_text')
+UNION ALL SELECT 1, 3, '| 广告与垃圾 | ' || format('{:,}', count(*)) || ' 条 |' FROM disposed WHERE disposition = 'spam' UNION ALL SELECT 1, 4, '| 去重清洗后有效帖子 | ' || format('{:,}', count(*)) || ' 条 |' FROM clean
+UNION ALL SELECT 1, 5, '| 高价值精选条目 | ' || format('{:,}', count(*)) || ' 条 |' FROM best UNION ALL SELECT 1, 6, '| 时间跨度 | ' || min(date) || ' ~ ' || max(date) || ' |' FROM clean UNION ALL SELECT 1, 7, '| 覆盖频道 | ' || format('{:,}', count(DISTINCT channel)) || ' 个 |' FROM clean
+UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER), '| [@' || k || '](https://t.me/' || k || ') | ' || substr(replace(coalesce(title, ''), '|', '/'), 1, 42) || ' | ' || format('{:,}', n) || ' | ' || format('{:,}', good) || ' |' FROM ch
+UNION ALL SELECT 3, CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER), '| ' || k || ' | ' || format('{:,}', n) || ' |' FROM ca UNION ALL SELECT 4, CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER), '| ' || k || ' | ' || format('{:,}', n) || ' |' FROM ta
+UNION ALL SELECT 5, CAST(row_number() OVER (ORDER BY k) AS INTEGER), '| ' || k || ' | ' || format('{:,}', n) || ' | ' || repeat('█', CAST(greatest(1, floor(n * 40 / (SELECT max(n) FROM mo) + 0.5)) AS INTEGER)) || ' |' FROM mo"""))
+def b7_overview(spark, d):
+    p = posts(spark, d)
+    marks = C.classify(previewed(p), AS_OF).withColumn("msg_id", F.col("msg_id") % 700)
+    marks = dedup.dispositions(marks, [F.col("id")]).select("id", "disposition")
+    return reports.overview(p.join(marks, "id"), p.select("channel", F.col("group_title").alias("title")))
+
+
+@query("b7_insight", """, best AS (SELECT * FROM posts WHERE value >= 2 AND content >= 2 AND length(text) >= 10), heat AS (""" + " UNION ALL ".join(f"SELECT '{w}' AS k, count(*) FILTER (contains(text, '{w}')) AS n FROM best" for w in HEAT) + f"""),
+deals AS (SELECT *, {FLAT_SQL} AS flat FROM best WHERE (list_contains(tags, '免费') OR list_contains(tags, '限时')) AND NOT list_contains(tags, '风险') AND length(text) >= 25 ORDER BY value DESC, id LIMIT 70),
+linked AS (SELECT *, regexp_extract(u, 'github\\.com/([^/?#]+/[^/?#]+)', 1) AS repo FROM (SELECT id, value, unnest(links) AS u FROM best)), repos AS (SELECT repo, max(value) AS value, arg_max(id, struct_pack(a := value, b := -id)) AS id FROM linked WHERE repo <> '' GROUP BY repo ORDER BY value DESC, repo LIMIT 90)
+SELECT 1 AS section, CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS place, '| ' || k || ' | ' || format('{{:,}}', n) || ' |' AS line FROM heat WHERE n > 0
+UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY value DESC, id) AS INTEGER), '- **' || date || '** ' || {ONE_LINE_SQL.format(n=110)} || CASE WHEN len(links) > 0 THEN ' ' || links[1] ELSE '' END FROM deals
+UNION ALL SELECT 3, CAST(row_number() OVER (ORDER BY r.value DESC, repo) AS INTEGER), '- [' || repo || '](https://github.com/' || repo || ') ' || {ONE_LINE_SQL.format(n=110)} FROM repos r JOIN (SELECT id, {FLAT_SQL} AS flat FROM best) b ON b.id = r.id""")
+def b7_insight(spark, d):
+    return reports.insight(posts(spark, d), HEAT)
+
+
+@query("j26_run", f""", {SOURCES_SQL}, mine AS (SELECT p.* FROM posts p JOIN sources s ON p.channel = s.channel WHERE kind IN ('channel', 'web')), bound AS (SELECT max(id) AS b FROM posts WHERE id % 2 = 0), new AS (SELECT * FROM mine WHERE id % 2 = 1)
+SELECT 'imported' AS what, count(*) AS n FROM new UNION ALL SELECT 'skipped', count(*) FROM mine WHERE id % 2 = 0 UNION ALL SELECT 'scanned', count(*) FROM mine UNION ALL SELECT 'sources', count(*) FROM sources WHERE kind IN ('channel', 'web') UNION ALL SELECT 'runs', 1""")
+def j26_run(spark, d):
+    """Every second post is stored; a run brings all."""
+    store = PostStore(spark, f"{shared_root(spark)}/run-{uuid.uuid4().hex}")
+    rows = posts(spark, d)
+    store.build(rows.where("id % 2 = 0"))
+    came, _ = sync.run(store, sources(spark, d), rows, date="2025-01-01")
+    found = spark.createDataFrame([(k, v) for k, v in came.items()], "what string, n long")
+    return found.unionByName(sync.runs(store).agg(F.count("*").alias("n")).select(F.lit("runs").alias("what"), "n"))
+
+
+@query("a10_resolve", """, have AS (SELECT channel, count(*) AS n FROM posts GROUP BY 1), given AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '@' || source WHEN 1 THEN 'https://t.me/s/' || source || '/' WHEN 2 THEN 'https://example.com/' || doc_id ELSE 'no link' END AS input, source FROM documents)
+SELECT id, CASE WHEN id % 4 = 0 AND NOT regexp_matches(source, '^[A-Za-z][A-Za-z0-9_]{3,31}$') THEN NULL WHEN id % 4 IN (0, 1) THEN 'tme' WHEN id % 4 = 2 THEN 'web' END AS kind,
+  CAST(CASE WHEN id % 4 = 0 AND NOT regexp_matches(source, '^[A-Za-z][A-Za-z0-9_]{3,31}$') THEN 0 WHEN id % 4 IN (0, 1) THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS existing FROM given LEFT JOIN have ON source = channel""")
+def a10_resolve(spark, d):
+    n, name = F.col("doc_id"), F.col("source")
+    pasted = F.when(n % 4 == 0, F.concat(F.lit("@"), name)).when(n % 4 == 1, F.concat(F.lit("https://t.me/s/"), name, F.lit("/"))).when(n % 4 == 2, F.concat(F.lit("https://example.com/"), n.cast("string"))).otherwise("no link")
+    return sync.resolved(table(spark, d, "documents").select(n.alias("id"), pasted.alias("input")), posts(spark, d)).select("id", "kind", "existing")
+
+
+@query("j25_context", r""", best AS (SELECT *, row_number() OVER (ORDER BY value DESC, id) AS rank FROM posts ORDER BY value DESC, id LIMIT 14), flat AS (SELECT *, regexp_replace(text, '[\s\x{0b}]+', ' ', 'g') AS f FROM best)
+SELECT CAST(rank AS INTEGER) AS rank, '[' || rank || '] 日期:' || date || ' 频道:@' || channel || ' 分类:' || category || ' 热度:' || views || chr(10) || CASE WHEN len(tags) > 0 THEN '标签:' || array_to_string(tags, '/') || chr(10) ELSE '' END || '内容:' || substr(f, 1, 420) || CASE WHEN len(links) > 0 THEN chr(10) || '链接:' || array_to_string(links[1:3], ' , ') ELSE '' END AS line,
+  CASE WHEN rank <= 10 THEN '**[' || rank || '] ' || date || ' · @' || channel || ' · ' || category || '**' || chr(10) || substr(f, 1, 300) || CASE WHEN len(links) > 0 THEN chr(10) || '链接：' || links[1] ELSE '' END END AS block FROM flat""")
+def j25_context(spark, d):
+    best = posts(spark, d).orderBy(F.desc("value"), "id").limit(14)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "id")))
+    return hybrid.context(best).join(hybrid.extracts(best), "rank", "left")
+
+
+@query("o6_favourite_tags", """, tagged AS (SELECT id, CASE WHEN id % 4 = 0 THEN tags WHEN list_contains(tags, '免费') AND id % 4 = 2 THEN tags WHEN id % 4 = 2 THEN list_append(tags, '免费') ELSE list_append(tags, substr('a tag that is too long', 1, 12)) END AS t FROM posts)
+SELECT id, array_to_string(t, '|') AS tags FROM tagged WHERE list_contains(t, '免费')""")
+def o6_favourite_tags(spark, d):
+    n = F.col("id")
+    more = F.when(n % 4 == 0, F.lit("  ")).when(n % 4 == 2, F.lit(" 免费 ")).otherwise("a tag that is too long ")
+    favs = posts(spark, d).select(n.alias("post_id"), overlays.tagged(F.col("tags"), more).alias("tags"), F.lit("").alias("note"), F.col("ts").alias("created_at"))
+    return overlays.favourites(favs, posts(spark, d), "免费").select("id", F.array_join("fav_tags", "|").alias("tags"))
+
+
+@query("j16_many", f"""WITH {QUANT_SQL} SELECT query, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT r.id AS query, m.id, list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) AS score,
+  row_number() OVER (PARTITION BY r.id ORDER BY list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) DESC, m.id) AS rank FROM m, (SELECT * FROM m WHERE id % 50 = 7) r) WHERE rank <= 20""", with_posts=False)
+def j16_many(spark, d):
+    """Stored blocks of vectors, every fiftieth of them a query."""
+    items = vectors.encode(table(spark, d, "embeddings"), id_col="vec_id")
+    asked = [(r["id"], r["vec"], r["norm"]) for r in items.where("id % 50 = 7").limit(5000).collect()]
+    return vectors.nearest_in(stored_blocks(spark, d), asked, 20).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 # --- imports and exports ------------------------------------------------------------------------------------------
 
 
