@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty
-from .facets import mention_histogram
+from .facets import NOISE, mention_histogram
 
 #: Words of the themes that sources are sought for.
 THEME = (
@@ -21,10 +21,11 @@ def theme_hits(title: Column, about: Column) -> Column:
     return F.filter(F.array(*map(F.lit, THEME)), lambda w: F.contains(hay, w))
 
 
-def candidates(posts: DataFrame, known: DataFrame, n: int = 260, noise: tuple[str, ...] = ()) -> DataFrame:
-    """handle, n: the handles mentioned by most posts that aren't ``known`` (column handle, in whatever case); ties by handle."""
+def candidates(posts: DataFrame, known: DataFrame, n: int = 260, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """handle, n: the handles, as they are written, mentioned by most posts that aren't ``known`` (column handle, in whatever case); ties by handle."""
     counts = mention_histogram(posts, None, noise)
-    return counts.join(known.select(F.lower("handle").alias("handle")), "handle", "left_anti").orderBy(F.desc("n"), "handle").limit(n)
+    own = known.select(F.lower("handle").alias("_known")).distinct()
+    return counts.join(own, F.lower("handle") == F.col("_known"), "left_anti").orderBy(F.desc("n"), "handle").limit(n)
 
 
 def ranked(probed: DataFrame) -> DataFrame:

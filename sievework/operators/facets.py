@@ -136,25 +136,46 @@ def throughput(batches: DataFrame, key: str, last: int = 20, order: tuple[str, .
     return batches.withColumn("rate", F.when(span > 0, F.sum(done).over(w) / span))
 
 
+#: Words of the key by which an item is looked up, at most; characters of the key of items without inner words.
+KEY_WORDS, KEY_CHARACTERS = 4, 3
+
+
 def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``item_col``, ``id_col``: which documents contain an item's whole text (column ``text``).
+    """``item_col``, ``id_col``: which documents contain an item's whole text (column ``text``), a row for each pair of rows.
 
     Inner words of an item, which white space bounds in any document that holds it, are the key of an equality
-    join; only ids and keys move, and texts are fetched for the hits. Items of fewer than six words, which have
-    no such key, are looked for one by one in each text.
+    join: four of them, or as many as there are. Items of one or two words are keyed by their first three characters, which
+    are met with the texts' own triples. Only keys of the sizes that items have are made of texts, and only ids and keys move; texts are
+    fetched for the hits. Null and empty texts and items take no part; items of one or two characters, of which there are
+    few different ones, are tried in every text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    given = items.select(item_col, F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    key = F.concat_ws(" ", F.slice("w", 2, 4))
-    keyed = given.where(F.size("w") >= 6).select(item_col, "item", key.alias("key"))
-    places = F.sequence(F.lit(1), F.size("w") - 3)
-    grams = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") >= 4).select(id_col, F.explode(F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4)))))).alias("key"))
-    hits = grams.join(keyed, "key").select(id_col, item_col, "item").distinct()
-    found = docs.select(id_col, text_col).join(hits, id_col).where(F.contains(text_col, F.col("item"))).select(item_col, id_col)
-    short = given.where(F.size("w") < 6).select(item_col, "item")
-    if short.isEmpty():
+    given = items.where(F.coalesce("text", F.lit("")) != "").select(item_col, F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    inner = F.least(F.size("w") - 2, F.lit(KEY_WORDS))
+    by_words = given.where(F.size("w") > 2).select(item_col, "item", inner.alias("n"), F.array_join(F.slice("w", F.lit(2), inner), " ").alias("key"))
+    rest = given.where(F.size("w") <= 2)
+    by_characters = rest.where(F.length("item") >= KEY_CHARACTERS).select(item_col, "item", F.lit(-1).alias("n"), F.substring("item", 1, KEY_CHARACTERS).alias("key"))
+    keyed = by_words.unionByName(by_characters)
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # five at most
+    text = F.col(text_col)
+
+    def word_grams(k: int) -> Column:
+        of = lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.size(o) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(o, i, F.lit(k)), " "))
+        return F.transform(F.array(words(text)), of)[0]
+
+    grams = [word_grams(k) for k in sizes if k > 0]
+    if -1 in sizes:
+        grams.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (KEY_CHARACTERS - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(KEY_CHARACTERS))))
+    rows = docs.where(F.coalesce(text, F.lit("")) != "")
+    found = items.select(item_col).limit(0).join(docs.select(id_col).limit(0), F.lit(True))
+    if grams:
+        each = rows.select(id_col, F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
+        hits = each.join(keyed, "key").select(id_col, item_col, "item").distinct()
+        found = rows.select(id_col, text_col).join(hits, id_col).where(F.contains(text_col, F.col("item"))).select(item_col, id_col)
+    tiny = rest.where(F.length("item") < KEY_CHARACTERS).select(item_col, "item")
+    if tiny.isEmpty():
         return found
-    return found.unionByName(docs.select(id_col, text_col).join(F.broadcast(short), F.contains(text_col, F.col("item"))).select(item_col, id_col))
+    return found.unionByName(rows.select(id_col, text_col).join(tiny, F.contains(text_col, F.col("item"))).select(item_col, id_col))
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:

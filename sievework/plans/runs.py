@@ -14,7 +14,7 @@ from ..operators import dedup, discover, facets, hybrid, index, overlays, report
 from ..sources import imports
 from ..sources.versions import Versions
 from ..streaming.store import PostStore
-from .queries import AS_OF, FLAT_SQL, HAYS_SQL, HEAT, ONE_LINE_SQL, QUANT_SQL, TOKENS_SQL, C, classify_sql, clustered_posts, previewed, query, shared_root, stored, stored_blocks, stored_posts, web_sql
+from .queries import AS_OF, FLAT_SQL, HAYS_SQL, HEAT, NOISE_SQL, ONE_LINE_SQL, QUANT_SQL, TOKENS_SQL, C, classify_sql, clustered_posts, previewed, query, shared_root, stored, stored_blocks, stored_posts, web_sql
 
 LABELS_SQL = "labs AS (SELECT doc_id AS post_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS category, CAST(quality * 5 AS DOUBLE) AS value FROM labels)"
 
@@ -105,7 +105,7 @@ def e14_high_water(spark, d):
 # --- candidates ---------------------------------------------------------------------------------------------------
 
 
-@query("d8_candidates", "SELECT handle, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_]{4,31})', 1), lambda x: lower(x))) AS handle FROM posts) WHERE handle NOT IN (SELECT lower(channel) FROM posts) GROUP BY handle ORDER BY n DESC, handle LIMIT 260")
+@query("d8_candidates", f"SELECT handle, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_]{{4,31}})', 1)) AS handle FROM posts) WHERE lower(handle) NOT IN (SELECT lower(channel) FROM posts WHERE channel IS NOT NULL) AND NOT list_contains({NOISE_SQL}, lower(handle)) GROUP BY handle ORDER BY n DESC, handle LIMIT 260")
 def d8_candidates(spark, d):
     return discover.candidates(posts(spark, d), posts(spark, d).select(F.col("channel").alias("handle")).distinct())
 

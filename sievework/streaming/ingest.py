@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import sized
+
 
 def appended(spark: SparkSession, batch: DataFrame, path: str, key: tuple[str, ...] = ("channel", "msg_id")) -> None:
-    """Appends the rows of a batch whose key isn't stored yet. Run again with the same batch, it adds nothing."""
+    """Appends the rows of a batch whose key isn't stored yet. Run again with the same batch, it adds nothing.
+
+    Only the batch's keys are looked for in the stored ones. ``PostStore`` keeps clusters, index and counts as well.
+    """
     fresh = batch.dropDuplicates(list(key))
-    try:
-        stored = spark.read.parquet(path).select(*key)
-    except Exception as e:  # the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        fresh = fresh.join(stored, list(key), "left_anti")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        stored = spark.read.schema(batch.schema).parquet(path).select(*key)
+        known = stored.join(sized(fresh.select(*key)), list(key), "left_semi").distinct()
+        fresh = fresh.join(sized(known), list(key), "left_anti")
     fresh.write.mode("append").parquet(path)
 
 

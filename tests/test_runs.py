@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text, urls
 from sievework.operators import cluster, discover, facets, overlays, sync, vectors
+from sievework.streaming import ingest
 
 POST = "id long, channel string, cluster_key string, value double, text string"
 
@@ -84,3 +85,20 @@ def test_small_functions(spark):
     row = spark.createDataFrame([("see https://a.b/c) and https://a.b/c [2][10]\n\n x ", ["HTTP://m.n/", "tg://x"])], "t string, m array<string>")
     got = row.select(urls.links_in(F.col("t"), F.col("m")).alias("u"), text.citations(F.col("t")).alias("c"), text.batch_lines(F.col("t")).alias("l")).first()
     assert got["u"] == ["HTTP://m.n/", "https://a.b/c"] and got["c"] == [2, 10] and len(got["l"]) == 2
+
+
+def test_containing_finds_items_of_any_length(spark):
+    texts = ["one two three four five six seven eight", "a one two three, b", "xone twox", "", None, "ab", "é𝒳z end", "one  two\tthree four five six"]
+    items = ["two three four five six seven", "one two three", "one two", "e", "ab", "é𝒳z", "", None, "three", "two three four five", "one two three four five", "x", "missing words of an item here", "five six seven eight"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["item_id"], r["doc_id"]) for r in facets.containing(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
+    assert got == sorted((k, i) for k, item in enumerate(items) for i, t in enumerate(texts) if item and t and item in t)
+    assert facets.containing(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_appended_twice_adds_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y")], "channel string, msg_id long, text string")
+    for _ in range(2):
+        ingest.appended(spark, rows, path)
+    assert spark.read.parquet(path).count() == 2
