@@ -224,7 +224,7 @@ def _epoch(rows: DataFrame, capacity: int, first: bool, epoch: int) -> DataFrame
     schema = rows.schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name not in ("item", "bin", "immigrant", "bins"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by = ["length", "doc_id", "piece", "ids_crc32"] if first else ["item"]
         pdf = pdf.sort_values(by, ascending=not first, na_position="last").reset_index(drop=True)
         given = [] if first else [pdf[c].tolist() for c in ("bin", "immigrant") if not pdf[c].isna().any()]

@@ -26,8 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared one."""
+    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all tables of this application. Results of operators read them: write those first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables written by one run of an operator.
+    """Tables written by one run of an operator, which results read; ``clear`` deletes them in the end.
 
     ``keep`` cuts the lineage: a lost executor costs at most the work since the last table.
     ``drop`` deletes tables that no later step reads.
@@ -35,7 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
