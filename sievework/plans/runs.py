@@ -235,14 +235,14 @@ def i25_escape_html(spark, d):
 
 
 @query("i17_parse_link", r"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'web' WHEN 1 THEN 'tme' WHEN 2 THEN 'tme' WHEN 3 THEN 'invite' WHEN 4 THEN 'private' WHEN 5 THEN 'tme' END AS kind, CASE WHEN page_id % 7 IN (1, 2, 5) THEN 'somechan' || (page_id % 9) WHEN page_id % 7 IN (0, 3, 4) THEN '' END AS username,
-  CASE WHEN page_id % 7 = 2 THEN page_id END AS msg_id, CASE page_id % 7 WHEN 0 THEN url WHEN 3 THEN 'https://t.me/+AbC' || page_id WHEN 4 THEN 't.me/c/12345/' || page_id WHEN 6 THEN NULL ELSE 'https://t.me/somechan' || (page_id % 9) END AS url,
+  CASE WHEN page_id % 7 = 2 THEN page_id ELSE -1 END AS msg_id, CASE page_id % 7 WHEN 0 THEN url WHEN 3 THEN 'https://t.me/+AbC' || page_id WHEN 4 THEN 't.me/c/12345/' || page_id WHEN 6 THEN NULL ELSE 'https://t.me/somechan' || (page_id % 9) END AS url,
   CASE WHEN page_id % 7 = 0 THEN lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) END AS host FROM pages""", with_posts=False)
 def i17_parse_link(spark, d):
     n, word = F.col("page_id"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     name = word("somechan", n % 9)
     pasted = F.when(n % 7 == 0, F.col("url")).when(n % 7 == 1, word("@", name)).when(n % 7 == 2, word(" https://t.me/s/", name, "/", n)).when(n % 7 == 3, word("https://t.me/+AbC", n))
     link = urls.parse_link(pasted.when(n % 7 == 4, word("t.me/c/12345/", n)).when(n % 7 == 5, word("t.me/", name, "/")).otherwise(word("some words ", n)))
-    return table(spark, d, "pages").select("page_id", *(link[c].alias(c) for c in ("kind", "username", "msg_id", "url", "host")))
+    return table(spark, d, "pages").select("page_id", *(link[c].alias(c) for c in ("kind", "username", "url", "host")), F.coalesce(link["msg_id"], F.lit(-1)).cast("long").alias("msg_id"))
 
 
 @query("i27_links_in_text", r"SELECT page_id, CAST(least(12, len(list_distinct(u))) AS INTEGER) AS n, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i)[1:12], ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '(https?://[^\s\x{0b}<>""''）)】]+)', 1) AS u FROM pages)", with_posts=False)
