@@ -55,7 +55,12 @@ def fields_of(posts: DataFrame) -> Column:
 
 
 def segment_of(posts: DataFrame, number: int) -> DataFrame:
-    """The rows of a segment. A narrow job; ``first`` marks one row of each term and post. Ids are unique."""
+    """The rows of a segment. A narrow job; ``first`` marks one row of each term and post. Ids are unique.
+
+    Each post has one row more, of the empty term, for its length.
+    """
+    names = ["term", "id", "field", "positions", "n", "length", "first", "segment"]
+
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
@@ -67,6 +72,10 @@ def segment_of(posts: DataFrame, number: int) -> DataFrame:
                 many = np.diff(words.offsets.to_numpy())
                 at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 length = np.bincount(post, many, batch.num_rows).astype(np.int32)
+                none = pa.array([""] * batch.num_rows)
+                empty = pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1, np.int32)), pa.array([], pa.int32()))
+                few = [none, batch.column("id"), none, empty, pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(length), pa.array(np.zeros(batch.num_rows, bool)), pa.array(np.full(batch.num_rows, number))]
+                yield pa.RecordBatch.from_arrays(few, names)
                 each = pa.table({"post": np.repeat(post, many), "field": flat.field("field").take(pa.array(np.repeat(np.arange(len(many)), many))), "term": words.flatten(), "at": pa.array(at.astype(np.int32))})
                 made = each.group_by(["post", "field", "term"], use_threads=False).aggregate([("at", "list"), ("at", "count")]).combine_chunks().sort_by([("term", "ascending"), ("post", "ascending")])
                 if not made.num_rows:
@@ -76,7 +85,7 @@ def segment_of(posts: DataFrame, number: int) -> DataFrame:
                 code = term.dictionary_encode().indices.to_numpy()
                 first = np.append(True, (code[1:] != code[:-1]) | (rows[1:] != rows[:-1]))
                 columns = [term, batch.column("id").take(pa.array(rows)), made.column("field").combine_chunks(), made.column("at_list").combine_chunks(), made.column("at_count").cast(pa.int32()).combine_chunks(), pa.array(length[rows]), pa.array(first), pa.array(np.full(len(rows), number))]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "field", "positions", "n", "length", "first", "segment"])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return posts.select(F.col("id").cast("long").alias("id"), fields_of(posts).alias("fields")).mapInArrow(run, SEGMENT)
 
@@ -120,9 +129,8 @@ def added(versions: Versions, now: Version, posts: DataFrame, replace: bool = Fa
     folder = versions.write("postings", segment_of(posts, number).sortWithinPartitions("term", "id"))
     own = versions.spark.read.parquet(f"{versions.root}/{folder}")
     terms = versions.write("terms", own.where("first").groupBy("term").agg(F.count("*").alias("n")))
-    lengths = versions.write("lengths", posts.select(F.col("id").cast("long").alias("id"), F.aggregate(fields_of(posts), F.lit(0), lambda n, f: n + F.size(f["words"])).alias("length"), F.lit(number).cast("long").alias("segment")))
-    n, words = versions.spark.read.parquet(f"{versions.root}/{lengths}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    grown = {k: [*tables.get(k, now.tables.get(k, [])), f] for k, f in (("postings", folder), ("terms", terms), ("lengths", lengths))}
+    n, words = own.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    grown = {k: [*tables.get(k, now.tables.get(k, [])), f] for k, f in (("postings", folder), ("terms", terms))}
     return tables | grown, facts | {"segment": number, "posts": facts["posts"] + n, "words": facts["words"] + words}
 
 
@@ -134,15 +142,15 @@ def removed(versions: Versions, now: Version, ids: DataFrame) -> tuple[dict, dic
     gone = versions.write("gone", ids.select(F.col("id").cast("long").alias("id"), F.lit(facts["segment"]).cast("long").alias("until")).distinct())
     dead = versions.spark.read.parquet(f"{versions.root}/{gone}").select("id")
     few = sized(dead)
-    n, words = living(versions, now, "lengths").join(few, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    lost = living(versions, now, "postings").where("first").join(few, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("n"))
+    n, words = living(versions, now).where("term = ''").join(few, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    lost = living(versions, now).where("first").join(few, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("n"))
     tables = {"gone": [*now.tables.get("gone", []), gone], "terms": [*now.tables.get("terms", []), versions.write("terms", lost)]}
     return tables, facts | {"posts": facts["posts"] - n, "words": facts["words"] - words}
 
 
-def living(versions: Versions, now: Version, name: str) -> DataFrame:
-    """Rows of a table of segments that no tombstone covers: one covers the segments up to its own."""
-    rows, gone = versions.read(now, name), versions.read(now, "gone")
+def living(versions: Versions, now: Version) -> DataFrame:
+    """Rows of the segments that no tombstone covers: one covers the segments up to its own."""
+    rows, gone = versions.read(now, "postings"), versions.read(now, "gone")
     if gone is None:
         return rows
     until = gone.groupBy("id").agg(F.max("until").alias("until"))
@@ -153,10 +161,9 @@ def compacted(versions: Versions, now: Version, files: int = 16) -> tuple[dict,
     """Tables of the version after ``now`` with one segment of the living rows, dealt and sorted by term, and no tombstones."""
     if not now.tables.get("postings"):
         return {}, {}
-    whole = versions.write("postings", living(versions, now, "postings").repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id"))
-    lengths = versions.write("lengths", living(versions, now, "lengths"))
+    whole = versions.write("postings", living(versions, now).repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id"))
     terms = versions.write("terms", versions.read(now, "terms").groupBy("term").agg(F.sum("n").alias("n")).where("n > 0"))
-    return {"postings": [whole], "lengths": [lengths], "terms": [terms], "gone": []}, {}
+    return {"postings": [whole], "terms": [terms], "gone": []}, {}
 
 
 def _facts(now: Version) -> dict:
@@ -171,7 +178,7 @@ def view(versions: Versions, now: Version | None = None) -> Index:
     if not now.tables.get("postings"):
         empty = versions.spark.createDataFrame([], SEGMENT)
         return Index(empty, one, empty.select("term", F.lit(0).cast("long").alias("n")))
-    return Index(living(versions, now, "postings"), one, versions.read(now, "terms"))
+    return Index(living(versions, now).where("term <> ''"), one, versions.read(now, "terms"))
 
 
 def build(posts: DataFrame, path: str) -> Index:

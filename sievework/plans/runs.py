@@ -349,6 +349,12 @@ def o6_favourite_tags(spark, d):
     return overlays.favourites(favs, posts(spark, d), "免费").select("id", F.array_join("fav_tags", "|").alias("tags"))
 
 
+@query("b17_vector_blocks", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings", with_posts=False)
+def b17_vector_blocks(spark, d):
+    """Writes the blocks, if they aren't there."""
+    return stored_blocks(spark, d).agg(F.sum("n").alias("n"), F.max("dim").alias("dim"))
+
+
 @query("j16_many", f"""WITH {QUANT_SQL} SELECT query, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT r.id AS query, m.id, list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) AS score,
   row_number() OVER (PARTITION BY r.id ORDER BY list_sum(list_transform(list_zip(m.vec, r.vec), lambda p: p[1] * p[2])) / (m.norm * r.norm) DESC, m.id) AS rank FROM m, (SELECT * FROM m WHERE id % 50 = 7) r) WHERE rank <= 20""", with_posts=False)
 def j16_many(spark, d):
