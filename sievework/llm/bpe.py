@@ -302,7 +302,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """``id_col``, ``text`` of every row of ids; null or no ids give an empty text."""
+    """``id_col``, ``text`` of every row of ids; null or no ids give an empty text. Extra columns are left out; no rows give none."""
     def run(batches):
         bpe = loaded(vocab or public_tokenizers.path(name))
         for batch in batches:

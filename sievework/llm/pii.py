@@ -133,7 +133,8 @@ def learnt(scratch: Scratch, rows: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with two columns more, ``SPANS_COLS``: base and other spans, arrays of (kind, s, e), of every row, repeated rows too.
 
-    A null text is an empty one and has no spans. A null id is an id like others. Very long texts are read whole.
+    A null text is an empty one and has no spans. A null id is an id like others; of one id each text has its own spans. Very
+    long texts are read whole. No rows give none, and a table without seeds has no other spans.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     base, other, h = unused(docs.columns, "base", "other", "h")
@@ -179,7 +180,10 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_email, n_ip, n_card, n_phone (base spans), n_other, base_sha256, spans (all) of every row. Extra columns are left out."""
+    """``id_col``, n_email, n_ip, n_card, n_phone (base spans), n_other, base_sha256, spans (all) of every row.
+
+    Nulls, repeated rows and ids, very long texts and empty tables: see ``spans``. Extra columns are left out, whatever their names.
+    """
     rows = spans(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in PATTERNS]
     return rows.select(F.col("id").alias(id_col), *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "other")).alias("spans"), F.size("other").cast("long").alias("n_other"))

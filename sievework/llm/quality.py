@@ -118,7 +118,13 @@ def score(docs: DataFrame, model: Model, host: Column, path: Column, text_col: s
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, made: tuple[str, str, str, str] = ("evidence", "prior", "p_low", "keep")) -> DataFrame:
-    """All columns of ``docs``, and evidence, prior, p_low and keep (p_low below ``threshold``), named by ``made``. Without labels all is kept."""
+    """All columns of ``docs``, and evidence, prior, p_low and keep (p_low below ``threshold``), named by ``made``.
+
+    Without labels all is kept. Null texts are empty, null hosts and paths are the empty ones, very long texts are read
+    whole; null and repeated ids are rows like others. Labels of one id that contradict each other make it low, null
+    labels and labels of null ids take no part. Equal texts of one site have equal scores; a score at the threshold goes. Columns of ``docs``
+    that are called like the new ones give way to them, all others come out as they are. No rows give none.
+    """
     model = fit(docs, labels, F.col(host_col), F.col(path_col), id_col, text_col)
     rows = score(docs.drop(made[3]), model, F.col(host_col), F.col(path_col), text_col, made[:3])
     return rows.withColumn(made[3], F.col(made[2]) < threshold)

@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Every row with its score (0 to 1) and prediction (1 from 0.5 on); a null text is an empty one. A narrow job.
 
     Columns of ``docs`` that have the names of the two new ones give way to them; all others come out as they
-    went in, null and repeated ids too.
+    went in, null and repeated ids too. Very long texts are scored whole; equal texts have equal scores; no rows give none.
     """
     again = unused([*docs.columns, score_col, predicted_col], "text")[0]
     rows = docs.drop(score_col, predicted_col).withColumn(again, F.col(f"`{text_col}`"))

@@ -123,6 +123,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
 
     Null ids and ids that aren't whole numbers take no part; of rows with the same id each is a candidate.
     Vectors of other lengths than a query's are no candidates of it. Ties go to the smaller id. Fewer candidates than k give them all; no rows give none.
+    Extra columns are left out, whatever their names.
     Every shard meets every block of queries: with S shards and B blocks, vectors are copied B times and
     queries S times, and a task holds one shard and one block.
     """
