@@ -22,14 +22,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are more likely good than low, by their text and their site."""
+    """Keeps documents that are more likely good than low, by their text and their site. Null texts are empty ones; repeated rows are judged alike."""
     ship(spark)
     made = tuple(unused(docs.columns, "evidence", "prior", "p_low", "keep"))
     return quality.judge(docs, _labels(spark, sf_dir), made=made).where(F.col(made[3])).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a toxicity score under one half."""
+    """Keeps documents of a toxicity score under one half. Null texts are empty ones; repeated rows are judged alike."""
     ship(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     made = unused(docs.columns, "score", "predicted")
@@ -55,14 +55,14 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; the number of characters follows."""
+    """Replaces personal data in the texts; the number of characters follows. Null texts stay null, and no row goes."""
     ship(spark)
     rows = pii.redact(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rows
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences: a row for each piece."""
+    """Packs the documents' tokens into sequences: a row for each piece. Null texts are empty ones, whose one token is packed."""
     ship(spark)
     return packing.pack(packing.pieces(docs))
 
