@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import blocks, loaded
+from .bpe import SpeculativeBpe, blocks
 from .tables import Scratch, few_at_once, sized
 
 CAPACITY = 1024
@@ -31,6 +31,68 @@ CAPACITY = 1024
 RANK_BITS = 48
 
 
+class LibraryBpe(SpeculativeBpe):
+    """The same ids, of which the tokenizers library makes those of new words that begin with a blank.
+
+    Such words are cut alike when they stand end to end, and none but a word's first token begins with a blank.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.leads = np.array([x.startswith(b" ") for x in self.bytes_of])
+
+    def learn(self, keys: list, words: list) -> None:
+        if not isinstance(keys[0], int):  # words of texts that the pattern cuts, with white space of any kind
+            return super().learn(keys, words)
+        led = np.fromiter((w[:1] == b" " and len(w) > 1 and w[1] > 32 for w in words), bool, len(words))
+        ids = np.zeros(0, np.uint32)
+        if led.any():
+            whole = b"".join(itertools.compress(words, led.tolist())).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != led.sum():  # an exact way for words that the library cuts otherwise
+            return super().learn(keys, words)
+        others = [self.merged(words[i]) for i in np.flatnonzero(~led).tolist()]
+        size = np.empty(len(words), np.int64)
+        size[led] = np.diff(np.append(begin, len(ids)))
+        size[~led] = [len(x) for x in others]
+        # callers number new words by their order
+        source = np.empty(len(words), np.int64)
+        source[led] = begin
+        source[~led] = len(ids) + np.cumsum(size[~led]) - size[~led]
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(others), np.uint32)])
+        end = np.cumsum(size)
+        self.add_flat(keys, ids[np.arange(end[-1]) + np.repeat(source - (end - size), size)], end)
+        return None
+
+    def add_flat(self, keys: list, ids: np.ndarray, end: np.ndarray) -> None:
+        """Words whose ids lie end to end; ``end``: how many of them end with each word."""
+        n, first = self.size, int(self.ends[self.size])
+        while first + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(keys) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[first : first + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(keys)] = first + end
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.size += len(keys)
+
+
+_loaded: dict[str, LibraryBpe] = {}
+
+
+def loaded(path: str) -> LibraryBpe:
+    """One vocabulary for each Python worker."""
+    if path not in _loaded:
+        _loaded[path] = LibraryBpe(path)
+    return _loaded[path]
+
+
 @dataclass
 class Pattern:
     """``count`` sequences that hold pieces of these lengths, in this order."""

@@ -82,3 +82,12 @@ def test_edges(spark):
     assert got["doc_id"].isna().sum() >= 2 and set(got["doc_id"].dropna()) == {1, 2, 3, 4, 5, 6}
     assert hp.pack(docs.limit(0)).count() == 0
     assert set(hp.pack(docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id")))).toPandas()["doc_id"].dropna()) == {f"k{i}" for i in range(1, 7)}
+
+
+def test_new_words_are_the_librarys():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["", " ", "don't we'll 's ' 's  ''x", " a\n b\t\tc  d\r\n", "x" * 3000 + " " + "yz" * 2000, "\n\n  lead", "12 3a4 $%& a-b", "Ünïcode Ärger ß 漢字 　 é́ ", "tail  ", "<|endoftext|> a <|endoftext|>", "\x00 \x7f a", " q" * 500]
+    own = hp.LibraryBpe(path)
+    for few in (texts, texts[::-1], [t for t in texts for _ in range(2)]):
+        assert [x.tolist() for x in own.encode_batch(few)] == [library.encode(t, add_special_tokens=False).ids for t in few]
