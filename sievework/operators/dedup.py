@@ -16,15 +16,16 @@ def dispositions(rows: DataFrame, order: list[Column], key: list[str] = ("channe
     text; spam is told apart last, so that a spam row still covers its copies. The first of each key and text
     is found by a partial aggregate (the smallest order), so a hot text isn't gathered anywhere.
     """
-    ordered = rows.withColumn("_seq", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    digest = F.struct(F.xxhash64(text_col).alias("a"), F.crc32(F.col(text_col).cast("binary")).alias("b"), F.length(text_col).alias("n"))
+    spam = ~not_spam(F.col(spam_col), F.col(text_col)) if spam_col else F.lit(False)
+    # what the joins need of a text is taken before them, so that it moves only if it is asked for
+    ordered = rows.withColumn("_seq", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).withColumn("_text", F.when(len16(F.col(text_col)) > least, digest)).withColumn("_spam", spam)
     firsts = ordered.groupBy(*key).agg(F.min("_seq").alias("_first"))
     marked = ordered.join(firsts, list(key)).withColumn("_dup_id", F.col("_seq") != F.col("_first")).drop("_first")
-    digest = F.struct(F.xxhash64(text_col).alias("a"), F.crc32(F.col(text_col).cast("binary")).alias("b"), F.length(text_col).alias("n"))
-    marked = marked.withColumn("_text", F.when(~F.col("_dup_id") & (len16(F.col(text_col)) > least), digest))
+    marked = marked.withColumn("_text", F.when(~F.col("_dup_id"), F.col("_text")))
     texts = marked.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.min("_seq").alias("_first"))
     told = marked.join(texts, "_text", "left").withColumn("_dup_text", F.col("_first").isNotNull() & (F.col("_seq") != F.col("_first")))
-    spam = ~not_spam(F.col(spam_col), F.col(text_col)) if spam_col else F.lit(False)
-    kind = F.when(F.col("_dup_id"), "dup_id").when(F.col("_dup_text"), "dup_text").when(spam, "spam").otherwise("clean")
+    kind = F.when(F.col("_dup_id"), "dup_id").when(F.col("_dup_text"), "dup_text").when(F.col("_spam"), "spam").otherwise("clean")
     return told.withColumn("disposition", kind).select(*rows.columns, "disposition")
 
 
