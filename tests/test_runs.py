@@ -102,3 +102,43 @@ def test_appended_twice_adds_once(spark, tmp_path):
     for _ in range(2):
         ingest.appended(spark, rows, path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_places_of_valuable_posts_are_those_among_all(spark):
+    from sievework.plans.queries import QUERIES
+    from tests.conftest import SMALL
+
+    got = QUERIES["b9_valuable_sorted"](spark, SMALL).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1)) and len(got) > 1
+
+
+def test_no_task_of_a_segment_sorts_all_its_posts(spark):
+    from sievework.operators import index
+
+    rows = spark.createDataFrame([(i, f"b{i} a the the") for i in range(300)], "id long, text string")
+    made = index.segment_of(rows.coalesce(1), 1)
+    assert "Sort" not in made._jdf.queryExecution().toString()
+    held = made.where("term = 'the'").collect()
+    assert len(held) == 300 and all(r["positions"] == [2, 3] and r["n"] == 2 and r["length"] == 4 and r["first"] for r in held)
+
+
+def test_texts_are_not_sorted_or_shuffled_for_places_of_few(spark):
+    """Of the best posts only ids meet in one task."""
+    from pyspark.sql import functions as F
+    from sievework.operators import dedup, reports
+
+    rows = spark.range(50).select("id", F.lit("2024-01-01").alias("date"), F.lit("c").alias("channel"), F.lit("k").alias("category"), F.lit(3.0).alias("value"), F.lit(3.0).alias("content"), F.lit(1).alias("views"), F.col("id").alias("ts"), F.array(F.lit("t")).alias("tags"), F.repeat(F.lit("text "), 100).alias("text"))
+    assert [r["id"] for r in reports.dashboard(rows, 3).orderBy("id").collect()] == [0, 1, 2]
+    assert [r["place"] for r in reports.by_category_sections(rows, 4).orderBy("place").collect()] == [1, 2, 3, 4]
+    marked = dedup.dispositions(rows.withColumn("msg_id", F.col("id")), [F.col("id")], spam_col=None)
+    assert {r["disposition"]: r["count"] for r in marked.groupBy("disposition").count().collect()} == {"clean": 1, "dup_text": 49}
+
+
+def test_words_of_wide_characters_are_found_beside_long_runs_of_others(spark):
+    from pyspark.sql import functions as F
+    from sievework.operators import classify as C
+
+    hays = ["x" * 40 + "24小时" + "y" * 40, "github " + "a" * 50 + "加qq" + "b" * 50 + "pro号", "免费" + "z" * 9 + "教程", "0 元 stable diffusion"]
+    got = spark.createDataFrame([(h,) for h in hays], "h string").select("h", C.known_words(F.col("h")).alias("k")).collect()
+    for r in got:
+        assert sorted(r["k"]) == sorted(w for w in C.WORDS if w in r["h"])
