@@ -106,12 +106,15 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
 
     A reverse index: each subscription is keyed by its rarest word (by ``terms``, term and n, of a stored index; else
     in the new posts), without words by its first tag, without either by nothing. The new posts' words and tags meet
-    the keys in one join, and only those pairs are verified: positions of all phrases, tags, value. Subscriptions
-    stay a table, however many they are. One word needs no positions.
+    the keys in one join, and only those pairs are verified: value and tags in the join itself, then positions of all
+    phrases, looked up for the pairs alone. Equal subscriptions are answered once. Subscriptions stay a table, however
+    many they are. One word needs no positions.
     """
     rows = posts.where(F.col("ts") > since)
     rows = rows.where("is_rep") if "is_rep" in posts.columns else rows
-    words, few = at_hand(standing_phrases(subscriptions))
+    asking = subscriptions.where("enabled").select("id", "keyword", F.coalesce("min_value", F.lit(0)).cast("double").alias("min_value"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    alike = asking.groupBy("keyword", "min_value", "tags").agg(F.min("id").alias("id"), F.collect_set("id").alias("members"))
+    words, few = at_hand(standing_phrases(alike.select("id", "keyword", "min_value", "tags", F.lit(True).alias("enabled"))))
     near = (lambda df: F.broadcast(df)) if few is not None else (lambda df: df)
     held = segment_of(rows, 0).select("term", "id", "field", "positions", "first")
     counts = terms.groupBy("term").agg(F.sum("n").alias("n")) if terms is not None else held.where("first").groupBy("term").agg(F.count("*").alias("n"))
@@ -126,12 +129,15 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
     own = rows.select("id", "date", "ts", "value", F.coalesce("tags", F.array().cast("array<string>")).alias("own_tags"))
     by_word = held.where("first").select("id", F.concat(F.lit("w:"), "term").alias("key"))
     by_tag = own.select("id", F.explode(F.array_append(F.transform("own_tags", lambda t: F.concat(F.lit("t:"), t)), "*")).alias("key")).distinct()
-    met = by_word.unionByName(by_tag).join(near(keys), "key").drop("key")
-    met = met.join(own, "id").where((F.col("value") >= F.col("min_value")) & (F.size(F.array_except("tags", "own_tags")) == 0))
+    # posts' own columns come before the pairs, which a filter then thins out where they are made
+    keyed = by_word.unionByName(by_tag).join(near(keys.select("key").distinct()), "key", "left_semi").join(own, "id")
+    met = keyed.join(near(keys), "key").where((F.col("value") >= F.col("min_value")) & (F.size(F.array_except("tags", "own_tags")) == 0))
     plain = met.where((F.col("parts") <= 1) & (F.col("longest") <= 1)).select("subscription", "id", "date", "ts")
     asked = met.where((F.col("parts") > 1) | (F.col("longest") > 1)).select("subscription", "id", "date", "ts", "parts")
     needed = words.join(near(keys.where("parts > 1 or longest > 1").select("subscription")), "subscription", "left_semi").select("subscription", "part", "k", "term", "size")
-    each = held.join(near(needed), "term").join(asked.select("subscription", "id"), ["subscription", "id"], "left_semi")
+    # pairs ask for their words: a frequent word's posts don't meet all subscriptions that hold it
+    sought = asked.select("subscription", "id").join(near(needed), "subscription")
+    each = held.join(near(needed.select("term").distinct()), "term", "left_semi").join(sought, ["id", "term"])
     each = each.select("subscription", "id", "part", "field", "size", F.transform("positions", lambda i: i - F.col("k")).alias("starts"))
     fields = each.groupBy("subscription", "id", "part", "field").agg(F.max("size").alias("size"), F.count("*").alias("there"), F.collect_list("starts").alias("starts"))
     common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect)
@@ -141,7 +147,8 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
     newest = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
     totals = hits.groupBy("subscription").agg(F.count("*").alias("total"))
     ids = newest.groupBy("subscription").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
-    return totals.join(ids, "subscription")
+    found = totals.join(ids, "subscription").join(alike.select(F.col("id").alias("subscription"), "members"), "subscription")
+    return found.select(F.explode("members").alias("subscription"), "total", "ids")
 
 
 def removed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

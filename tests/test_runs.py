@@ -142,3 +142,14 @@ def test_words_of_wide_characters_are_found_beside_long_runs_of_others(spark):
     got = spark.createDataFrame([(h,) for h in hays], "h string").select("h", C.known_words(F.col("h")).alias("k")).collect()
     for r in got:
         assert sorted(r["k"]) == sorted(w for w in C.WORDS if w in r["h"])
+
+
+def test_equal_subscriptions_are_answered_once(spark):
+    from pyspark.sql import functions as F
+    from sievework.operators import overlays
+
+    rows = spark.createDataFrame([(i, "2024-01-01", 10 + i, 5.0, ["t"], "rare word common" if i < 3 else "common word") for i in range(6)], "id long, date string, ts long, value double, tags array<string>, text string")
+    subs = spark.range(40).select("id", F.lit("rare common").alias("keyword"), F.array(F.lit("t")).alias("tags"), F.lit(1.0).alias("min_value"), F.lit(True).alias("enabled"))
+    found = overlays.subscription_hits(rows, subs, 0)
+    assert sorted((r["subscription"], r["total"], tuple(r["ids"])) for r in found.collect()) == [(i, 3, (2, 1, 0)) for i in range(40)]
+    assert "explode(members" in found._jdf.queryExecution().toString()
