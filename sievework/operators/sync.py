@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import sized
+
 #: Fixed value: kinds of sources that can be read again.
 SYNCABLE = ("channel", "web")
 
@@ -48,7 +50,8 @@ def run(store, sources: DataFrame, incoming: DataFrame, key: str = "manual_sync"
     from .facets import highlights
 
     before = store.versions.current().facts.get("next_id", 1) - 1
-    mine = incoming.join(syncable(sources).select("channel").distinct(), "channel", "left_semi")
+    # texts aren't dealt by channels, of which there may be few
+    mine = incoming.join(sized(syncable(sources).select("channel").distinct()), "channel", "left_semi")
     scanned = mine.count()
     imported = store.append(mine)
     came = {"imported": imported, "skipped": scanned - imported, "scanned": scanned, "sources": syncable(sources).count()}

@@ -184,3 +184,20 @@ def test_equal_searches_of_many_questions_are_made_once(spark, tmp_path):
     assert [i for i, _ in of[0]] == [i for i, _ in of[20]] and all(i % 10 == 0 for i, _ in of[0])
     alone = hybrid.keyword_rank(rows, "common rare rare", limit=5, index=made).orderBy("rank").collect()
     assert [(r["id"], r["score"]) for r in alone] == of[0]
+
+
+def test_posts_without_a_key_are_not_one_tasks_work(spark, tmp_path):
+    """Neither clusters nor repeated keys of a batch move texts, so that no task holds all posts without a key."""
+    from sievework.streaming.store import PostStore
+
+    batch = spark.range(0, 400, 1, 4).select("id", F.concat(F.lit("c"), F.col("id") % 3).alias("channel"), (F.col("id") % 390).alias("msg_id"), F.when(F.col("id") % 10 == 0, "k").alias("cluster_key"), F.lit("some words").alias("text"), F.lit(1.0).alias("value"))
+    none = batch.limit(0).withColumns({"cluster_size": F.lit(1), "is_rep": F.lit(True)})
+    plan = cluster.joined(none, batch)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join LeftOuter" in line and "cluster_key" in line]
+    store = PostStore(spark, str(tmp_path / "s"))
+    store.append(batch.withColumns({"date": F.lit("2024-01-01"), "tags": F.array().cast("array<string>"), "category": F.lit("x")}))
+    # of 0 and 390 (c0), 1 and 391 (c1) and so on one stays
+    got = store.posts().collect()
+    assert len(got) == 390 and len({(r["channel"], r["msg_id"]) for r in got}) == 390
+    want = one_by_one([], [(r["id"], r["channel"], r["cluster_key"]) for r in got])
+    assert {r["id"]: (r["rep_id"], r["cluster_size"], r["is_rep"]) for r in got} == want
