@@ -201,3 +201,17 @@ def test_posts_without_a_key_are_not_one_tasks_work(spark, tmp_path):
     assert len(got) == 390 and len({(r["channel"], r["msg_id"]) for r in got}) == 390
     want = one_by_one([], [(r["id"], r["channel"], r["cluster_key"]) for r in got])
     assert {r["id"]: (r["rep_id"], r["cluster_size"], r["is_rep"]) for r in got} == want
+
+
+def test_few_items_are_found_without_moving_texts(spark, monkeypatch):
+    texts = ["x the cat sat on a mat y", "cat sat on", "xcat sat on the mats", "the  cat sat", "é cat sat on a matt", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = ["cat sat on", "at sat on a ma", "the  cat sat", "a b c d e f g", "cat sat", "the cat sat on a mat", None]
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, text string")
+    want = sorted((i, d) for i, w in enumerate(wanted) for d, t in enumerate(texts) if w and t and w in t)
+    found = facets.containing(docs, items.where("item_id <> 4"))
+    assert sorted(map(tuple, found.collect())) == [p for p in want if p[0] != 4]
+    assert "Generate explode" not in found._jdf.queryExecution().toString()
+    for most in (10_000, 0):
+        monkeypatch.setattr(facets, "FEW_ITEMS", most)
+        assert sorted(map(tuple, facets.containing(docs, items).collect())) == want
