@@ -2,7 +2,8 @@
 
 Equal shingle sets fold into one class. Two sets can only link if they share one of their first tokens in a
 global order (prefix filter); the order puts tokens that are frequent in the corpus last, so that common
-passages and phrases don't bring unlike documents together. The classes that share a token are searched by
+passages and phrases don't bring unlike documents together. Of the classes that share a token those are left whose
+sizes and places of the token allow a link with another (position filter). They are searched by
 signature trees: a node holds the OR of its members' token bitmaps and their range of sizes, and a dual
 traversal passes over pairs of nodes whose largest possible overlap is too small.
 
@@ -249,6 +250,49 @@ class Members:
         return good
 
 
+def ends_of_lists(key: np.ndarray) -> np.ndarray:
+    """For each row of lists that lie one after the other the row after its list."""
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    end = np.append(start[1:], len(key))
+    return np.repeat(end, end - start)
+
+
+def matched(pdf: pd.DataFrame, percent: int) -> np.ndarray:
+    """Whether each row of whole lists, which lie by size, may link with another row that it meets there.
+
+    Linked sets share enough tokens from their first common one on, in the list of that token: so many follow it in
+    both, itself included. Rows of which this holds with no other of their list are found elsewhere, or link with none.
+    """
+    key = pdf[["token", "i", "j"]].to_numpy()
+    size, part = pdf["size"].to_numpy(np.int64), pdf["part"].to_numpy()
+    rest = size - pdf["at"].to_numpy(np.int64)
+    end, alike = ends_of_lists(key), key[:, 1] == key[:, 2]
+    good = np.zeros(len(pdf), bool)
+    a, d = np.arange(len(pdf)), 1
+    while len(a := a[a + d < end[a]]):
+        a = a[100 * size[a] >= percent * size[a + d]]  # those further on are no smaller
+        b = a + d
+        able = (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (size[a] + size[b])
+        able &= alike[a] | (part[a] != part[b])
+        good[a[able]] = good[b[able]] = True
+        d += 1
+    return good
+
+
+def whole_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of lists that lie one after the other, cut between lists."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        last = pdf[["token", "i", "j"]].to_numpy()
+        cut = len(pdf) - int(np.argmax((last[::-1] != last[-1]).any(1))) if len(pdf) and (last != last[-1]).any() else 0
+        rest = pdf.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
 def connected(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b): of each group of nodes that the lists of a frame connect, the smallest with each of the others.
 
@@ -443,24 +487,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     scratch.drop(wide)
 
     # the lists of the first tokens; long ones as pairs of parts
-    entries = heads.select("node", "size", F.explode("prefix").alias("token"))
+    entries = heads.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     sums = entries.groupBy("token").agg(F.count("*").alias("length"), F.min("size").alias("least"), F.max("size").alias("most"))
     able = (F.col("length") > 2) | ((F.col("length") == 2) & (100 * F.col("least") >= percent * F.col("most")))
     counts = scratch.keep(sums.where(able).select("token", "length"), "counts")
     shared = scratch.keep(dealt(entries.join(counts, "token").withColumn("k", F.ceil(F.col("length") / PART).cast("int")).drop("length"), "k"), "shared")
-    lists = shared.join(heads.select("node", "map"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def meet(batches):
+        for pdf in whole_lists(batches):
+            yield pdf[matched(pdf, percent)]
+
+    # bitmaps move for those alone that may link in a list by their sizes and its token's places
+    by_list = shared.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size")
+    paired = by_list.mapInPandas(meet, shared.schema).drop("at")
+    lists = paired.join(heads.select("node", "map"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def search(batches):
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf[["token", "i", "j"]].to_numpy()
-            cut = len(pdf) - int(np.argmax((last[::-1] != last[-1]).any(1))) if len(pdf) and (last != last[-1]).any() else 0
-            rest = pdf.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield connected(pdf.iloc[:cut].reset_index(drop=True), percent)
-        if rest is not None and len(rest):
-            yield connected(rest, percent)
+        for pdf in whole_lists(batches):
+            yield connected(pdf, percent)
 
     close = scratch.keep(lists.mapInPandas(search, "a long, b long").distinct(), "close")
     family = components(scratch, close, "family")

@@ -94,3 +94,38 @@ def test_large_families_are_dealt_in_parts(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     got = jaccard.join(spark.createDataFrame(docs)).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == want
+
+
+@pytest.mark.parametrize(("percent", "parts"), [(90, 1), (80, 1), (60, 3)])
+def test_bitmaps_move_only_for_what_may_link(percent, parts):
+    """Of every linked pair both are left in the list of their first common token; of sets that share the last token of their prefixes none."""
+    rng = np.random.default_rng(percent)
+    sets, none = [], np.zeros(0, np.int64)
+    for _ in range(60):
+        own = np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 80)))
+        for _ in range(3):
+            sets.append(own)
+            own = np.unique(np.append(own[rng.random(len(own)) > 0.05], rng.integers(-(2**62), 2**62, rng.integers(0, 4))))
+            own = own if len(own) else sets[-1]
+    first, late = len(sets), 2**61 + np.arange(3)
+    before = 80 - -(-percent * 80 // 100)
+    sets += [np.concatenate([np.sort(rng.integers(0, 2**60, before)), rng.choice(late, 1), np.sort(rng.integers(2**61 + 9, 2**62, 79 - before))]) for _ in range(60)]
+    rows = []
+    for node, own in enumerate(sets):
+        for at, token in enumerate(jaccard.prefix(own, none, percent)):
+            p = node % parts
+            rows += [(node, len(own), at, token, min(p, q), max(p, q), int(p > q)) for q in range(parts)]
+    lists = pd.DataFrame(rows, columns=["node", "size", "at", "token", "i", "j", "part"]).sort_values(["token", "i", "j", "size"], ignore_index=True)
+    left = lists[jaccard.matched(lists, percent)]
+    met = {}
+    for (_, i, j), g in left.groupby(["token", "i", "j"]):
+        for a in g.itertuples():
+            for b in g.itertuples():
+                if a.node < b.node and (i == j or a.part != b.part):
+                    met[a.node, b.node] = True
+    for a, one in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            shared = len(np.intersect1d(one, sets[b]))
+            if shared and 100 * shared >= percent * (len(one) + len(sets[b]) - shared):
+                assert (a, b) in met
+    assert lists["token"].isin(late).sum() >= 60 and not (left["node"] >= first).any()
