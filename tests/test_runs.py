@@ -215,3 +215,20 @@ def test_few_items_are_found_without_moving_texts(spark, monkeypatch):
     for most in (10_000, 0):
         monkeypatch.setattr(facets, "FEW_ITEMS", most)
         assert sorted(map(tuple, facets.containing(docs, items).collect())) == want
+
+
+@pytest.mark.parametrize("own", [
+    "Shore the lane The pier", "the The", "Harbour harbour. lane", "see lane.pier-road lane_pier", "go example.com lane", "the and", "lane ... pier.",
+])
+def test_related_posts_are_those_of_the_sql(spark, tmp_path, own):
+    """Key terms that differ in case, hold inner signs or are in most posts; ranks that differ beyond the sixth digit."""
+    import duckdb
+    from sievework.plans.queries import ORACLES, QUERIES
+
+    texts = ["the and", "the and lane", "Lane.pier road and the", "lane pier", "harbour the shore", "example com the", "the lane pier " + "the and " * 40, "pier lane and the " + "and the " * 41]
+    rows = [(i, own if i == 3 else f"{texts[i % 8]} w{i % 4}", "en", f"src{i % 3}", 10) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    plain = lambda found: [(i, str(round(float(r), 6))) for i, r in found]
+    assert plain(tuple(r) for r in QUERIES["j18_related"](spark, str(tmp_path)).collect()) == plain(con.execute(ORACLES["j18_related"]).fetchall())
