@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import search as S
 from .classify import CATEGORIES, OTHER
 from .dedup import last_writer
-from .index import at_hand, segment_of
+from .index import FIELDS, MOST_GONE, Index, at_hand, segment_of, sized
 
 
 #: Fixed value: characters of a favourite's tag.
 TAG_LENGTH = 12
+#: Posts and characters of a block of posts, subscriptions of a group, about; a group meets a block in one task.
+BLOCK, BLOCK_TEXT, GROUP = 32_768, 100_000_000, 250_000
+#: Postings that a task packs at once.
+PACKED = 2_000_000
 
 
 def tagged(tags: Column, tag: Column) -> Column:
@@ -87,67 +94,205 @@ def digest(posts: DataFrame, pushed: DataFrame, tags: list[str], as_of: str, day
 
 
 def standing_phrases(subscriptions: DataFrame) -> DataFrame:
-    """subscription, min_value, tags, parts, part, k, term, size: enabled subscriptions, a row for each word of each phrase; without words one row."""
+    """subscription, min_value, tags, phrases: each subscription's different phrases, words parted by blanks."""
     def run(pdfs):
         for pdf in pdfs:
-            rows = []
-            for own, keyword in zip(pdf["subscription"], pdf["keyword"]):
-                phrases = S.phrases_of(keyword)
-                rows += [(own, len(phrases), i, k, w, len(p)) for i, p in enumerate(phrases) for k, w in enumerate(p)] or [(own, 0, 0, 0, None, 0)]
-            yield pd.DataFrame(rows, columns=["subscription", "parts", "part", "k", "term", "size"])
-
-    given = subscriptions.where("enabled").select(F.col("id").alias("subscription"), "keyword", F.coalesce("min_value", F.lit(0)).cast("double").alias("min_value"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    words = given.select("subscription", "keyword").mapInPandas(run, "subscription long, parts int, part int, k int, term string, size int")
-    return words.join(given.drop("keyword"), "subscription")
-
-
-def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, size: int = 5, terms: DataFrame | None = None) -> DataFrame:
+            pdf["phrases"] = [sorted({" ".join(p) for p in S.phrases_of(k)}) for k in pdf["keyword"]]
+            yield pdf[["subscription", "min_value", "tags", "phrases"]]
+
+    rows = subscriptions.select(F.col("id").alias("subscription"), "min_value", "tags", "keyword")
+    return rows.mapInPandas(run, "subscription long, min_value double, tags array<string>, phrases array<string>")
+
+
+def packed(postings: DataFrame) -> DataFrame:
+    """term, block, ids, at: each task's postings (term, block, id, at) of a term and block in one row. ``at`` has no nulls."""
+    names = ["term", "block", "ids", "at"]
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        terms = rows.column("term").combine_chunks().dictionary_encode()
+        block, ids, at = (rows.column(c).combine_chunks() for c in ("block", "id", "at"))
+        block = block.to_numpy()
+        many = int(block.max()) + 1
+        key = terms.indices.to_numpy().astype(np.int64) * many + block
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at.take(pa.array(order))
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        known = np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False)))
+        ends = np.append(begins, len(key))
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+        term, own = np.divmod(key[begins], many)
+        return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term)), pa.array(own.astype(np.int32)), lists(ends, ids.take(pa.array(order))), lists(known[ends], at.drop_null())], names)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield pack(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    return postings.select("term", "block", "id", "at").mapInArrow(run, "term string, block int, ids array<long>, at array<long>")
+
+
+class Block:
+    """Some posts, newest first, and where words stand in them: which posts hold phrases, have tags and are worth something."""
+
+    def __init__(self, rows: pa.Table):
+        posts = rows.filter(pc.is_null(rows.column("term")))
+        posts = posts.take(pc.sort_indices(posts, sort_keys=[("date", "descending"), ("ts", "descending"), ("id", "ascending")], null_placement="at_end"))
+        self.posts, self.size = posts, posts.num_rows
+        ids = posts.column("id").to_numpy()
+        self._by_id = np.argsort(ids)
+        self._ids = ids[self._by_id]
+        self._values = posts.column("value").to_numpy()
+        tags = posts.column("own_tags").combine_chunks()
+        owner, each = np.repeat(np.arange(self.size), np.diff(tags.offsets.to_numpy())), tags.flatten().dictionary_encode(null_encoding="encode")
+        codes = each.indices.to_numpy()
+        self._tagged = {t: owner[codes == k] for k, t in enumerate(each.dictionary.to_pylist())}
+        held = rows.filter(pc.is_valid(rows.column("term")))
+        terms = held.column("term").combine_chunks().dictionary_encode()
+        self._codes = {t: k for k, t in enumerate(terms.dictionary.to_pylist())}
+        lists, ats = held.column("ids").combine_chunks(), held.column("at").combine_chunks()
+        many = np.diff(lists.offsets.to_numpy())
+        code = terms.indices.to_numpy().astype(np.int64)
+        owner, (place, known) = np.repeat(code, many), self._places(lists.flatten().to_numpy())
+        # one sorted number for each word and post; posts that aren't asked about fall out
+        key = np.unique(owner[known] * max(1, self.size) + place[known])
+        self._starts = np.searchsorted(key, np.arange(len(self._codes) + 1) * max(1, self.size))
+        self._holders = (key % max(1, self.size)).astype(np.int32)
+        # words of longer phrases: post and place of each time they stand there
+        long = np.repeat(np.diff(ats.offsets.to_numpy()) > 0, many)
+        owner, place, known = owner[long], place[long], known[long]
+        spots = (place * len(FIELDS) << 32) + ats.flatten().to_numpy()
+        order = np.lexsort((spots[known], owner[known]))
+        self._spots = spots[known][order]
+        self._spot_starts = np.searchsorted(owner[known][order], np.arange(len(self._codes) + 1))
+        self._bits, self._fit = {}, {}
+
+    def _places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.size:
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self._ids, ids), self.size - 1)
+        return self._by_id[at], self._ids[at] == ids
+
+    def holders(self, phrase: str) -> np.ndarray:
+        """Sorted places of the posts that hold a phrase within one field."""
+        words = phrase.split(" ")
+        codes = [self._codes.get(w, -1) for w in words]
+        if min(codes) < 0:
+            return np.zeros(0, np.int32)
+        if len(words) == 1:
+            return self._holders[self._starts[codes[0]] : self._starts[codes[0] + 1]]
+        own = [self._spots[self._spot_starts[c] : self._spot_starts[c + 1]] - k for k, c in enumerate(codes)]
+        found = own[0]
+        for more in own[1:]:
+            found = np.intersect1d(found, more, assume_unique=True)
+        return np.unique((found >> 32) // len(FIELDS)).astype(np.int32)
+
+    def _among(self, places: np.ndarray, phrase: str, holders: np.ndarray) -> np.ndarray:
+        """Those of ``places`` that hold a phrase; frequent ones are kept as bits."""
+        if len(holders) * 32 < self.size:
+            return np.intersect1d(places, holders, assume_unique=True)
+        if phrase not in self._bits:
+            mask = np.zeros(self.size, bool)
+            mask[holders] = True
+            self._bits[phrase] = np.packbits(mask, bitorder="little")
+        return places[self._bits[phrase][places >> 3] >> (places & 7) & 1 == 1]
+
+    def holding(self, phrases: list[str]) -> np.ndarray:
+        """Sorted places of the posts that hold all phrases."""
+        if not phrases:
+            return np.arange(self.size, dtype=np.int32)
+        held = {p: self.holders(p) for p in phrases}
+        (_, rarest), *rest = sorted((len(held[p]), p) for p in held)
+        found = held[rarest]
+        for _, phrase in rest:
+            found = self._among(found, phrase, held[phrase])
+        return found
+
+    def fitting(self, tags: tuple, least: float) -> np.ndarray:
+        """Which posts have all tags and a value of ``least`` at least; NaN is more than any number."""
+        if (tags, least) not in self._fit:
+            if len(self._fit) >= 1000:
+                self._fit.clear()
+            fit = (self._values >= least) | np.isnan(self._values)
+            fit &= ~self.posts.column("value").is_null().to_numpy()
+            for tag in tags:
+                mask = np.zeros(self.size, bool)
+                mask[self._tagged.get(tag, [])] = True
+                fit &= mask
+            self._fit[tags, least] = fit
+        return self._fit[tags, least]
+
+
+def answered(subscriptions: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """subscription, id, date, ts, n: each subscription's newest ``size`` posts of each block, the first of them with the number of all."""
+    out = "subscription long, id long, date string, ts long, n long"
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        block = Block(rows)
+        owners, places, counts, last, found = [], [], [], None, None
+        columns = (asked.column(c).to_pylist() for c in ("subscription", "phrases", "tags", "min_value"))
+        for own, phrases, tags, least in sorted(zip(*columns), key=lambda r: r[1]) if block.size else ():
+            if phrases != last:
+                last, found = phrases, block.holding(phrases)
+            if not len(found):
+                continue
+            hits = found[block.fitting(tuple(tags), least)[found]]
+            if len(hits):
+                newest = hits[:size]
+                owners += [own] * len(newest)
+                places.append(newest)
+                counts += [len(hits)] + [0] * (len(newest) - 1)
+        posts = block.posts.take(pa.array(np.concatenate(places) if places else np.zeros(0, np.int32)))
+        return pa.table({"subscription": pa.array(owners, pa.int64()), "id": posts.column("id"), "date": posts.column("date"), "ts": posts.column("ts"), "n": pa.array(counts, pa.int64())})
+
+    return subscriptions.groupBy("deal", "block").cogroup(blocks.groupBy("deal", "block")).applyInArrow(run, out)
+
+
+def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, size: int = 5, index: Index | None = None) -> DataFrame:
     """subscription, total, ids: each enabled subscription's posts after ``since``, the newest ``size`` of them.
 
-    A reverse index: each subscription is keyed by its rarest word (by ``terms``, term and n, of a stored index; else
-    in the new posts), without words by its first tag, without either by nothing. The new posts' words and tags meet
-    the keys in one join, and only those pairs are verified: value and tags in the join itself, then positions of all
-    phrases, looked up for the pairs alone. Equal subscriptions are answered once. Subscriptions stay a table, however
-    many they are. One word needs no positions.
+    The new posts are dealt to blocks, each with the postings of its posts for the words that are asked (of a stored
+    ``index`` of these posts; else their texts are cut), and groups of subscriptions meet the blocks. A subscription
+    and a post never become a row: a block gives numbers of hits and the newest ones, from which the newest of all are
+    taken. Equal subscriptions are answered once. Subscriptions stay a table, however many they are. Only words of
+    longer phrases need positions.
     """
     rows = posts.where(F.col("ts") > since)
-    rows = rows.where("is_rep") if "is_rep" in posts.columns else rows
-    asking = subscriptions.where("enabled").select("id", "keyword", F.coalesce("min_value", F.lit(0)).cast("double").alias("min_value"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    rows = (rows.where("is_rep") if "is_rep" in posts.columns else rows).withColumn("id", F.col("id").cast("long"))
+    n, text = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-n // BLOCK), -(-(text or 0) // BLOCK_TEXT))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    asking = subscriptions.where("enabled").select(F.col("id").cast("long").alias("id"), "keyword", F.coalesce("min_value", F.lit(0)).cast("double").alias("min_value"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     alike = asking.groupBy("keyword", "min_value", "tags").agg(F.min("id").alias("id"), F.collect_set("id").alias("members"))
-    words, few = at_hand(standing_phrases(alike.select("id", "keyword", "min_value", "tags", F.lit(True).alias("enabled"))))
-    near = (lambda df: F.broadcast(df)) if few is not None else (lambda df: df)
-    held = segment_of(rows, 0).select("term", "id", "field", "positions", "first")
-    counts = terms.groupBy("term").agg(F.sum("n").alias("n")) if terms is not None else held.where("first").groupBy("term").agg(F.count("*").alias("n"))
-    if few is not None:
-        asked = F.broadcast(words.select("term").where("term is not null").distinct())
-        counts, _ = at_hand(counts.join(asked, "term", "left_semi"))
-    known = words.join(near(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    word = F.when(F.col("term").isNotNull(), F.concat(F.lit("w:"), "term"))
-    keys = known.groupBy("subscription", "min_value", "tags", "parts").agg(F.min(F.struct("n", word.alias("key"))).alias("r"), F.max("size").alias("longest"))
-    tag = F.when(F.size("tags") > 0, F.concat(F.lit("t:"), F.col("tags")[0]))
-    keys = keys.withColumn("key", F.coalesce("r.key", tag, F.lit("*"))).drop("r")
-    own = rows.select("id", "date", "ts", "value", F.coalesce("tags", F.array().cast("array<string>")).alias("own_tags"))
-    by_word = held.where("first").select("id", F.concat(F.lit("w:"), "term").alias("key"))
-    by_tag = own.select("id", F.explode(F.array_append(F.transform("own_tags", lambda t: F.concat(F.lit("t:"), t)), "*")).alias("key")).distinct()
-    # posts' own columns come before the pairs, which a filter then thins out where they are made
-    keyed = by_word.unionByName(by_tag).join(near(keys.select("key").distinct()), "key", "left_semi").join(own, "id")
-    met = keyed.join(near(keys), "key").where((F.col("value") >= F.col("min_value")) & (F.size(F.array_except("tags", "own_tags")) == 0))
-    plain = met.where((F.col("parts") <= 1) & (F.col("longest") <= 1)).select("subscription", "id", "date", "ts")
-    asked = met.where((F.col("parts") > 1) | (F.col("longest") > 1)).select("subscription", "id", "date", "ts", "parts")
-    needed = words.join(near(keys.where("parts > 1 or longest > 1").select("subscription")), "subscription", "left_semi").select("subscription", "part", "k", "term", "size")
-    # pairs ask for their words: a frequent word's posts don't meet all subscriptions that hold it
-    sought = asked.select("subscription", "id").join(near(needed), "subscription")
-    each = held.join(near(needed.select("term").distinct()), "term", "left_semi").join(sought, ["id", "term"])
-    each = each.select("subscription", "id", "part", "field", "size", F.transform("positions", lambda i: i - F.col("k")).alias("starts"))
-    fields = each.groupBy("subscription", "id", "part", "field").agg(F.max("size").alias("size"), F.count("*").alias("there"), F.collect_list("starts").alias("starts"))
-    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.col("starts")[0], F.array_intersect)
-    whole = fields.where((F.col("there") == F.col("size")) & (F.size(common) > 0)).select("subscription", "id", "part").distinct().groupBy("subscription", "id").agg(F.count("*").alias("parts"))
-    hits = plain.unionByName(asked.join(whole, ["subscription", "id", "parts"], "left_semi").drop("parts"))
+    asked, few = at_hand(standing_phrases(alike))
+    deals = max(1, -(-(len(few) if few is not None else asked.count()) // GROUP))
+    asked = asked.withColumn("deal", F.pmod(F.xxhash64("phrases"), F.lit(deals)).cast("int"))
+    words = asked.select("deal", F.explode("phrases").alias("phrase")).select("deal", F.explode(F.split("phrase", " ")).alias("term"), F.contains("phrase", F.lit(" ")).alias("long"))
+    needed = words.groupBy("term").agg(F.max("long").alias("long"), F.collect_set("deal").alias("deals"))
+    held = (index.postings if index is not None else segment_of(rows, 0)).join(sized(needed.select("term", "long")), "term").where(F.col("first") | F.col("long"))
+    if index is not None and n <= MOST_GONE:
+        held = held.join(F.broadcast(rows.select("id")), "id", "left_semi")
+    fields = F.create_map(*(F.lit(x) for k, f in enumerate(FIELDS) for x in (f, k)))
+    at = F.transform("positions", lambda p: F.shiftleft(fields[F.col("field")].cast("long"), 32) + p)
+    if few is not None and not any(" " in p for r in few for p in r["phrases"]):
+        at = F.lit(None).cast("array<long>")  # no positions are read
+    pieces = packed(held.select("term", block, "id", F.explode_outer(F.when(F.col("long"), at)).alias("at")))
+    if deals > 1:
+        pieces = pieces.join(sized(needed.select("term", F.explode("deals").alias("deal"))), "term")
+    else:
+        pieces = pieces.withColumn("deal", F.lit(0))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = rows.select("id", F.col("date").cast("string").alias("date"), F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"), F.coalesce("tags", F.array().cast("array<string>")).alias("own_tags"), block, every(deals).alias("deal"))
+    met = answered(asked.withColumn("block", every(blocks)), own.unionByName(pieces, allowMissingColumns=True), size)
     w = Window.partitionBy("subscription").orderBy(F.desc("date"), F.desc("ts"), "id")
-    newest = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
-    totals = hits.groupBy("subscription").agg(F.count("*").alias("total"))
-    ids = newest.groupBy("subscription").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
-    found = totals.join(ids, "subscription").join(alike.select(F.col("id").alias("subscription"), "members"), "subscription")
+    newest = F.collect_list(F.when(F.col("place") <= size, F.struct("place", "id")))
+    best = met.withColumn("place", F.row_number().over(w)).groupBy("subscription").agg(F.sum("n").alias("total"), F.transform(F.array_sort(newest), lambda x: x["id"]).alias("ids"))
+    found = best.join(alike.select(F.col("id").alias("subscription"), "members"), "subscription")
     return found.select(F.explode("members").alias("subscription"), "total", "ids")
 
 

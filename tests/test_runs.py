@@ -232,3 +232,44 @@ def test_related_posts_are_those_of_the_sql(spark, tmp_path, own):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     plain = lambda found: [(i, str(round(float(r), 6))) for i, r in found]
     assert plain(tuple(r) for r in QUERIES["j18_related"](spark, str(tmp_path)).collect()) == plain(con.execute(ORACLES["j18_related"]).fetchall())
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_subscriptions_meet_blocks_of_posts(spark, tmp_path, monkeypatch, stored):
+    """Phrases, tags and values in several blocks and groups; no row is made for a subscription and a post."""
+    import random
+    from sievework.operators import index
+
+    monkeypatch.setattr(overlays, "BLOCK", 60)
+    monkeypatch.setattr(overlays, "GROUP", 40)
+    monkeypatch.setattr(overlays, "PACKED", 500)
+    rng = random.Random(5)
+    vocabulary = ["ash", "bay", "cob", "dew", "elm", "fig", "gum"]
+    posts = [(i, f"2024-01-{i % 9 + 1:02}" if i % 31 else None, i % 13, [None, 2.0, float("nan"), 7.0][i % 4], [t for t in ("x", "y", "z") if rng.random() < 0.6] if i % 17 else None, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9))), rng.choice(vocabulary), i % 19 > 0) for i in range(300)]
+    rows = spark.createDataFrame(posts, "id long, date string, ts long, value double, tags array<string>, text string, channel string, is_rep boolean").repartition(3)
+    asked = [(i, " ".join(rng.choice(["", "-"]).join(rng.choices(vocabulary + ["yew"] * (i % 30 == 0), k=rng.randint(1, 2)) if rng.random() < 0.5 else rng.choices(vocabulary, k=1)) for _ in range(rng.randint(0, 3))), rng.choice([[], ["x"], ["z", "x"], None]), rng.choice([0.0, 2.5, None]), i % 23 > 0) for i in range(150)]
+    subs = spark.createDataFrame(asked, "id long, keyword string, tags array<string>, min_value double, enabled boolean")
+    want = {}
+    for own, keyword, tags, least, enabled in asked:
+        phrases = [k.split("-") for k in keyword.split()]
+        hits = []
+        for i, date, ts, value, mine, words, channel, rep in posts:
+            holds = lambda p: any(f[k : k + len(p)] == p for f in (words.split(), [channel], mine or []) for k in range(len(f)))
+            if rep and ts > 1 and value is not None and not value < (least or 0) and set(tags or []) <= set(mine or []) and all(map(holds, phrases)):
+                hits.append((date or "", ts, -i))
+        if enabled and hits:
+            want[own] = (len(hits), [-i for _, _, i in sorted(hits, reverse=True)[:5]])
+    made = index.build(rows, str(tmp_path / "i")) if stored else None
+    found = overlays.subscription_hits(rows, subs, 1, index=made)
+    assert {r["subscription"]: (r["total"], r["ids"]) for r in found.collect()} == want and len(want) > 40
+    pairs = overlays.answered(*cells(spark, subscriptions=30, posts=200), 5).collect()
+    assert len(pairs) == 30 * 5 and sum(r["n"] for r in pairs) == 30 * 200
+
+
+def cells(spark, subscriptions, posts):
+    """One group of subscriptions to a word and one block of posts that all hold it."""
+    both = {"deal": F.lit(0), "block": F.lit(0)}
+    asked = spark.range(subscriptions).select(F.col("id").alias("subscription"), F.lit(0.0).alias("min_value"), F.array().cast("array<string>").alias("tags"), F.array(F.lit("ash")).alias("phrases"))
+    own = spark.range(posts).select("id", F.lit("2024-01-01").alias("date"), F.col("id").alias("ts"), F.lit(1.0).alias("value"), F.array().cast("array<string>").alias("own_tags"))
+    held = overlays.packed(spark.range(posts).select(F.lit("ash").alias("term"), F.lit(0).alias("block"), "id", F.lit(None).cast("long").alias("at")))
+    return asked.withColumns(both), own.withColumns(both).unionByName(held.withColumn("deal", F.lit(0)), allowMissingColumns=True)
