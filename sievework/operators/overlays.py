@@ -160,7 +160,8 @@ class Block:
         code = terms.indices.to_numpy().astype(np.int64)
         owner, (place, known) = np.repeat(code, many), self._places(lists.flatten().to_numpy())
         # one sorted number for each word and post; posts that aren't asked about fall out
-        key = np.unique(owner[known] * max(1, self.size) + place[known])
+        key = np.sort(owner[known] * max(1, self.size) + place[known])
+        key = key[np.diff(key, prepend=-1) > 0]
         self._starts = np.searchsorted(key, np.arange(len(self._codes) + 1) * max(1, self.size))
         self._holders = (key % max(1, self.size)).astype(np.int32)
         # words of longer phrases: post and place of each time they stand there
@@ -192,29 +193,36 @@ class Block:
             found = np.intersect1d(found, more, assume_unique=True)
         return np.unique((found >> 32) // len(FIELDS)).astype(np.int32)
 
-    def _among(self, places: np.ndarray, phrase: str, holders: np.ndarray) -> np.ndarray:
-        """Those of ``places`` that hold a phrase; frequent ones are kept as bits."""
-        if len(holders) * 32 < self.size:
-            return np.intersect1d(places, holders, assume_unique=True)
+    def _packed(self, phrase: str, holders: np.ndarray) -> np.ndarray:
+        """A frequent phrase's posts as bits."""
         if phrase not in self._bits:
             mask = np.zeros(self.size, bool)
             mask[holders] = True
             self._bits[phrase] = np.packbits(mask, bitorder="little")
-        return places[self._bits[phrase][places >> 3] >> (places & 7) & 1 == 1]
+        return self._bits[phrase]
 
     def holding(self, phrases: list[str]) -> np.ndarray:
-        """Sorted places of the posts that hold all phrases."""
-        if not phrases:
-            return np.arange(self.size, dtype=np.int32)
+        """The posts that hold all phrases: their sorted places, or bits if each of the phrases is frequent."""
         held = {p: self.holders(p) for p in phrases}
-        (_, rarest), *rest = sorted((len(held[p]), p) for p in held)
-        found = held[rarest]
-        for _, phrase in rest:
-            found = self._among(found, phrase, held[phrase])
+        each = sorted((len(h), p) for p, h in held.items())
+        if not each or each[0][0] * 32 >= self.size:
+            found = np.packbits(np.ones(self.size, bool), bitorder="little")
+            for _, phrase in each:
+                found = found & self._packed(phrase, held[phrase])
+            return found
+        found = held[each[0][1]]
+        for many, phrase in each[1:]:
+            if not len(found):
+                break
+            if many * 32 < self.size:
+                at = np.minimum(np.searchsorted(held[phrase], found), many - 1)
+                found = found[held[phrase][at] == found]
+            else:
+                found = found[self._packed(phrase, held[phrase])[found >> 3] >> (found & 7) & 1 == 1]
         return found
 
-    def fitting(self, tags: tuple, least: float) -> np.ndarray:
-        """Which posts have all tags and a value of ``least`` at least; NaN is more than any number."""
+    def fitting(self, tags: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which posts have all tags and a value of ``least`` at least, and that as bits; NaN is more than any number."""
         if (tags, least) not in self._fit:
             if len(self._fit) >= 1000:
                 self._fit.clear()
@@ -224,9 +232,20 @@ class Block:
                 mask = np.zeros(self.size, bool)
                 mask[self._tagged.get(tag, [])] = True
                 fit &= mask
-            self._fit[tags, least] = fit
+            self._fit[tags, least] = fit, np.packbits(fit, bitorder="little")
         return self._fit[tags, least]
 
+    def newest(self, found: np.ndarray, tags: tuple, least: float, size: int) -> tuple[int, np.ndarray]:
+        """How many posts of ``holding`` fit, and the places of the newest of them."""
+        fit, bits = self.fitting(tags, least)
+        if found.dtype != np.uint8:
+            hits = found[fit[found]]
+            return len(hits), hits[:size]
+        both = found & bits
+        some = np.flatnonzero(both)[:size]
+        places = (some[:, None] * 8 + np.arange(8))[np.unpackbits(both[some], bitorder="little").reshape(-1, 8) == 1]
+        return int(np.bitwise_count(both).sum(dtype=np.int64)), places[:size].astype(np.int32)
+
 
 def answered(subscriptions: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """subscription, id, date, ts, n: each subscription's newest ``size`` posts of each block, the first of them with the number of all."""
@@ -241,12 +260,11 @@ def answered(subscriptions: DataFrame, blocks: DataFrame, size: int) -> DataFram
                 last, found = phrases, block.holding(phrases)
             if not len(found):
                 continue
-            hits = found[block.fitting(tuple(tags), least)[found]]
-            if len(hits):
-                newest = hits[:size]
+            many, newest = block.newest(found, tuple(tags), least, size)
+            if many:
                 owners += [own] * len(newest)
                 places.append(newest)
-                counts += [len(hits)] + [0] * (len(newest) - 1)
+                counts += [many] + [0] * (len(newest) - 1)
         posts = block.posts.take(pa.array(np.concatenate(places) if places else np.zeros(0, np.int32)))
         return pa.table({"subscription": pa.array(owners, pa.int64()), "id": posts.column("id"), "date": posts.column("date"), "ts": posts.column("ts"), "n": pa.array(counts, pa.int64())})
 
