@@ -22,7 +22,7 @@ TAG_LENGTH = 12
 #: Posts and characters of a block of posts, subscriptions of a group, about; a group meets a block in one task.
 BLOCK, BLOCK_TEXT, GROUP = 32_768, 100_000_000, 250_000
 #: Postings that a task packs at once.
-PACKED = 2_000_000
+PACKED = 1_000_000
 
 
 def tagged(tags: Column, tag: Column) -> Column:
@@ -105,23 +105,29 @@ def standing_phrases(subscriptions: DataFrame) -> DataFrame:
 
 
 def packed(postings: DataFrame) -> DataFrame:
-    """term, block, ids, at: each task's postings (term, block, id, at) of a term and block in one row. ``at`` has no nulls."""
-    names = ["term", "block", "ids", "at"]
+    """block, terms, many, spots, ids, at: a million of a task's postings (term, block, id, at) in one row for each block.
+
+    ``ids`` has ``many`` values of each term, ``at`` those that aren't null, ``spots`` in number.
+    """
+    names = ["block", "terms", "many", "spots", "ids", "at"]
 
     def pack(rows: pa.Table) -> pa.RecordBatch:
         terms = rows.column("term").combine_chunks().dictionary_encode()
         block, ids, at = (rows.column(c).combine_chunks() for c in ("block", "id", "at"))
         block = block.to_numpy()
-        many = int(block.max()) + 1
-        key = terms.indices.to_numpy().astype(np.int64) * many + block
+        kinds = len(terms.dictionary)
+        key = block.astype(np.int64) * kinds + terms.indices.to_numpy()
         order = np.argsort(key, kind="stable")
         key, at = key[order], at.take(pa.array(order))
-        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        known = np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False)))
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
         ends = np.append(begins, len(key))
+        known = np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False)))[ends]
+        own, term = np.divmod(key[begins], kinds)
+        rows = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))  # the first term of each block
         lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-        term, own = np.divmod(key[begins], many)
-        return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term)), pa.array(own.astype(np.int32)), lists(ends, ids.take(pa.array(order))), lists(known[ends], at.drop_null())], names)
+        counts = lambda ends: lists(rows, pa.array(np.diff(ends).astype(np.int32)))
+        columns = [pa.array(own[rows[:-1]].astype(np.int32)), lists(rows, terms.dictionary.take(pa.array(term))), counts(ends), counts(known), lists(ends[rows], ids.take(pa.array(order))), lists(known[rows], at.drop_null())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
         held, n = [], 0
@@ -134,14 +140,14 @@ def packed(postings: DataFrame) -> DataFrame:
         if n:
             yield pack(pa.Table.from_batches(held))
 
-    return postings.select("term", "block", "id", "at").mapInArrow(run, "term string, block int, ids array<long>, at array<long>")
+    return postings.select("term", "block", "id", "at").mapInArrow(run, "block int, terms array<string>, many array<int>, spots array<int>, ids array<long>, at array<long>")
 
 
 class Block:
     """Some posts, newest first, and where words stand in them: which posts hold phrases, have tags and are worth something."""
 
     def __init__(self, rows: pa.Table):
-        posts = rows.filter(pc.is_null(rows.column("term")))
+        posts = rows.filter(pc.is_valid(rows.column("id")))
         posts = posts.take(pc.sort_indices(posts, sort_keys=[("date", "descending"), ("ts", "descending"), ("id", "ascending")], null_placement="at_end"))
         self.posts, self.size = posts, posts.num_rows
         ids = posts.column("id").to_numpy()
@@ -152,22 +158,20 @@ class Block:
         owner, each = np.repeat(np.arange(self.size), np.diff(tags.offsets.to_numpy())), tags.flatten().dictionary_encode(null_encoding="encode")
         codes = each.indices.to_numpy()
         self._tagged = {t: owner[codes == k] for k, t in enumerate(each.dictionary.to_pylist())}
-        held = rows.filter(pc.is_valid(rows.column("term")))
-        terms = held.column("term").combine_chunks().dictionary_encode()
+        held = rows.filter(pc.is_null(rows.column("id")))
+        terms, many, spots, ids, at = (held.column(c).combine_chunks().flatten() for c in ("terms", "many", "spots", "ids", "at"))
+        terms, many = terms.dictionary_encode(), many.to_numpy()
         self._codes = {t: k for k, t in enumerate(terms.dictionary.to_pylist())}
-        lists, ats = held.column("ids").combine_chunks(), held.column("at").combine_chunks()
-        many = np.diff(lists.offsets.to_numpy())
-        code = terms.indices.to_numpy().astype(np.int64)
-        owner, (place, known) = np.repeat(code, many), self._places(lists.flatten().to_numpy())
+        owner, (place, known) = np.repeat(terms.indices.to_numpy().astype(np.int64), many), self._places(ids.to_numpy())
         # one sorted number for each word and post; posts that aren't asked about fall out
         key = np.sort(owner[known] * max(1, self.size) + place[known])
         key = key[np.diff(key, prepend=-1) > 0]
         self._starts = np.searchsorted(key, np.arange(len(self._codes) + 1) * max(1, self.size))
         self._holders = (key % max(1, self.size)).astype(np.int32)
         # words of longer phrases: post and place of each time they stand there
-        long = np.repeat(np.diff(ats.offsets.to_numpy()) > 0, many)
+        long = np.repeat(spots.to_numpy() > 0, many)
         owner, place, known = owner[long], place[long], known[long]
-        spots = (place * len(FIELDS) << 32) + ats.flatten().to_numpy()
+        spots = (place * len(FIELDS) << 32) + at.to_numpy()
         order = np.lexsort((spots[known], owner[known]))
         self._spots = spots[known][order]
         self._spot_starts = np.searchsorted(owner[known][order], np.arange(len(self._codes) + 1))
@@ -290,9 +294,9 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
     asked, few = at_hand(standing_phrases(alike))
     deals = max(1, -(-(len(few) if few is not None else asked.count()) // GROUP))
     asked = asked.withColumn("deal", F.pmod(F.xxhash64("phrases"), F.lit(deals)).cast("int"))
-    words = asked.select("deal", F.explode("phrases").alias("phrase")).select("deal", F.explode(F.split("phrase", " ")).alias("term"), F.contains("phrase", F.lit(" ")).alias("long"))
-    needed = words.groupBy("term").agg(F.max("long").alias("long"), F.collect_set("deal").alias("deals"))
-    held = (index.postings if index is not None else segment_of(rows, 0)).join(sized(needed.select("term", "long")), "term").where(F.col("first") | F.col("long"))
+    words = asked.select(F.explode("phrases").alias("phrase")).select(F.explode(F.split("phrase", " ")).alias("term"), F.contains("phrase", F.lit(" ")).alias("long"))
+    needed = words.groupBy("term").agg(F.max("long").alias("long"))
+    held = (index.postings if index is not None else segment_of(rows, 0)).join(sized(needed), "term").where(F.col("first") | F.col("long"))
     if index is not None and n <= MOST_GONE:
         held = held.join(F.broadcast(rows.select("id")), "id", "left_semi")
     fields = F.create_map(*(F.lit(x) for k, f in enumerate(FIELDS) for x in (f, k)))
@@ -300,13 +304,9 @@ def subscription_hits(posts: DataFrame, subscriptions: DataFrame, since: int, si
     if few is not None and not any(" " in p for r in few for p in r["phrases"]):
         at = F.lit(None).cast("array<long>")  # no positions are read
     pieces = packed(held.select("term", block, "id", F.explode_outer(F.when(F.col("long"), at)).alias("at")))
-    if deals > 1:
-        pieces = pieces.join(sized(needed.select("term", F.explode("deals").alias("deal"))), "term")
-    else:
-        pieces = pieces.withColumn("deal", F.lit(0))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = rows.select("id", F.col("date").cast("string").alias("date"), F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"), F.coalesce("tags", F.array().cast("array<string>")).alias("own_tags"), block, every(deals).alias("deal"))
-    met = answered(asked.withColumn("block", every(blocks)), own.unionByName(pieces, allowMissingColumns=True), size)
+    met = answered(asked.withColumn("block", every(blocks)), own.unionByName(pieces.withColumn("deal", every(deals)), allowMissingColumns=True), size)
     w = Window.partitionBy("subscription").orderBy(F.desc("date"), F.desc("ts"), "id")
     newest = F.collect_list(F.when(F.col("place") <= size, F.struct("place", "id")))
     best = met.withColumn("place", F.row_number().over(w)).groupBy("subscription").agg(F.sum("n").alias("total"), F.transform(F.array_sort(newest), lambda x: x["id"]).alias("ids"))
